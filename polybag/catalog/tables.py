@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from polybag.functions import hash_uniform
 from polybag.operators import labels as lab
 from polybag.operators import scoring
+from polybag.operators.skew import spread_join
+from polybag.session import saved
 
 EVENT_CLASSES = 5
 VECTOR_CLASSES = 10
@@ -97,10 +99,10 @@ def event_scores(spark: SparkSession, sf_dir: str, vocabulary: DataFrame) -> Dat
 def evaluated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, gt, scores, pred): each event against the labels of its user."""
     rows = user_labels(spark, sf_dir)
-    vocabulary = lab.top_labels(rows, EVENT_CLASSES)
+    vocabulary = saved(lab.top_labels(rows, EVENT_CLASSES), "vocabulary")
     gt = lab.encode_labels(lab.filter_top_labels(rows, vocabulary), vocabulary)
-    scores = event_scores(spark, sf_dir, vocabulary)
-    joined = scoring.align(gt.select("sid", "gt"), scores, "sid")
+    scores = event_scores(spark, sf_dir, vocabulary).select("event_id", "sid", "scores")
+    joined = spread_join(scores, gt.select("sid", "gt"), "sid", "event_id")
     return scoring.with_predictions(joined.select("event_id", "gt", "scores"))
 
 
@@ -130,14 +132,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
+def own_class() -> Column:
+    """One-hot annotation of a vector's label."""
+    return F.transform(F.sequence(F.lit(0), F.lit(VECTOR_CLASSES - 1)),
+                       lambda c: (F.col("label") == c).cast("int"))
+
+
 def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, gt, scores): ten classes, annotated by the vector's own label."""
     rows = vectors(spark, sf_dir)
     scored = scoring.linear_scores(
         rows, scoring.class_centroids(rows, dims=VECTOR_DIMS), 60.0, -1.0, decimals=6)
-    own = F.transform(F.sequence(F.lit(0), F.lit(VECTOR_CLASSES - 1)),
-                      lambda c: (F.col("label") == c).cast("int"))
-    return scored.select("vec_id", own.alias("gt"), "scores")
+    return scored.select("vec_id", own_class().alias("gt"), "scores")
 
 
 def view_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def bag_sizes(counts: DataFrame, max_bag: int) -> DataFrame:
 
 
 def make_bags(images: DataFrame, max_bag: int, distinct: bool = True,
-              heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+              heavy_rows: int = HEAVY_ROWS, heavy: DataFrame | None = None) -> DataFrame:
     """Assign every image to a bag: (sid, path, bag_no, bag_id, instance_no).
 
     Images are taken in hash order of their path (the order of a set is arbitrary to begin
@@ -44,7 +44,8 @@ def make_bags(images: DataFrame, max_bag: int, distinct: bool = True,
     leftover images form the last bag.
     """
     source = entity_images(images) if distinct else images.select("sid", "path")
-    ranked = rank_within(source, "sid", "path", rank="_r", total="_n", heavy_rows=heavy_rows)
+    ranked = rank_within(source, "sid", "path", rank="_r", total="_n",
+                         heavy_rows=heavy_rows, heavy=heavy)
     return (
         ranked.withColumn("_size", halve_to_fit("_n", max_bag))
         .withColumn("bag_no", F.expr("_r div _size"))
@@ -72,15 +73,16 @@ def bag_lengths(members: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("nslice"))
 
 
-def label_bags(bags: DataFrame, labels: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def label_bags(bags: DataFrame, labels: DataFrame, heavy_rows: int = HEAVY_ROWS,
+               heavy: DataFrame | None = None) -> DataFrame:
     """Bags N:1 entity labels; an entity with very many bags is salted."""
-    return spread_join(bags, labels, "sid", "bag_id", heavy_rows=heavy_rows)
+    return spread_join(bags, labels, "sid", "bag_id", heavy_rows=heavy_rows, heavy=heavy)
 
 
 def instance_labels(bags: DataFrame) -> DataFrame:
     """Train form: the bag's annotation repeated for each of its images."""
-    return bags.select(
-        "bag_id", "sid", "nslice", "gt", F.posexplode("images").alias("instance_no", "path"))
+    kept = [c for c in bags.columns if c != "images"]
+    return bags.select(*kept, F.posexplode("images").alias("instance_no", "path"))
 
 
 def pad_bags(batched: DataFrame, filler: str = "") -> DataFrame:

@@ -117,6 +117,10 @@ def _block_sums(temperature: float):
     return run
 
 
+def _field(name: str):
+    return lambda entry: entry[name]
+
+
 def _blocks(aligned: DataFrame, block: int) -> DataFrame:
     """Packed blocks ``(batch_id, block, blocks, ids, x, y, z)``.
 
@@ -137,7 +141,7 @@ def _blocks(aligned: DataFrame, block: int) -> DataFrame:
     return packed.select(
         "batch_id", "block", "blocks",
         F.transform("_e", lambda e: e["sample_id"]).alias("ids"),
-        *[F.flatten(F.transform("_e", lambda e, v=v: e[v])).alias(v) for v in VIEWS])
+        *[F.flatten(F.transform("_e", _field(v))).alias(v) for v in VIEWS])
 
 
 def anchor_similarities(aligned: DataFrame, temperature: float = TEMPERATURE,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +62,12 @@ def linear_scores(df: DataFrame, weights: DataFrame, scale: float, bias: float,
     )
 
 
-def bag_scores(instances: DataFrame, n_classes: int, bag: str = "bag_id",
+def bag_scores(instances: DataFrame, n_classes: int, keys: Sequence[str] = ("bag_id",),
                scores: str = "scores", decimals: int | None = None) -> DataFrame:
     """Mean score vector of each bag's instances, and how many there were.
 
+    ``keys`` may name further columns that are constant in a bag, such as its entity.
+
     One hash aggregate with a running sum per class: sums are combined before the shuffle, and
     no score is exploded into its own row.
     """
@@ -73,7 +75,7 @@ def bag_scores(instances: DataFrame, n_classes: int, bag: str = "bag_id",
         value = F.avg(F.col(scores)[i])
         return value if decimals is None else F.round(value, decimals)
 
-    return instances.groupBy(bag).agg(
+    return instances.groupBy(*keys).agg(
         F.array(*[mean(i) for i in range(n_classes)]).alias(scores),
         F.count(F.lit(1)).cast("int").alias("nslice"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polybag.functions import hash_key
-from polybag.session import pin
+from polybag.session import saved
 
 # A key with more rows than this is split over several tasks.
 HEAVY_ROWS = 1_000_000
@@ -77,10 +77,11 @@ def sorted_rank(df: DataFrame, *order: str, rank: str = "rank",
     the partitions before it.  The sorted rows are written once, because the cut points of a
     range partitioning are sampled and both the sizes and the places must use the same ones.
     """
-    placed = pin(
+    placed = saved(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "sorted",
     )
     part = F.shiftright("_place", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
@@ -105,21 +106,28 @@ def sorted_rank(df: DataFrame, *order: str, rank: str = "rank",
 
 
 def rank_within(df: DataFrame, group: str, key: str, rank: str = "rank", total: str = "n",
-                seed: int | str = "", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+                seed: int | str = "", heavy_rows: int = HEAVY_ROWS,
+                heavy: DataFrame | None = None) -> DataFrame:
     """0-based position of each row in its group, in md5 order of ``seed:key``, and group size.
 
     Groups of usual size are numbered by one window.  A heavy group is first cut by the leading
     hex digits of the hash, so that no task holds more than about ``heavy_rows`` of its rows;
-    the pieces' starting points come from their counts.
+    the pieces' starting points come from their counts.  ``heavy`` may hand in the
+    :func:`heavy_keys` of a table that contains ``df``.
     """
-    heavy = heavy_keys(df, group, heavy_rows).select(
-        group, _hex_digits(F.col("key_rows"), heavy_rows).alias("_digits"))
+    if heavy is None:
+        heavy = heavy_keys(df, group, heavy_rows)
     h = hash_key(seed, F.col(key))
+    digits = F.when(F.col("key_rows").isNotNull(), _hex_digits(F.col("key_rows"), heavy_rows))
 
     def cut(rows: DataFrame, how: str) -> DataFrame:
         # At most rows/heavy_rows keys are broadcast.
-        return rows.join(F.broadcast(heavy), group, how).withColumn(
-            "_piece", F.expr("substring(_h, 1, coalesce(_digits, 0))"))
+        return (
+            rows.join(F.broadcast(heavy), group, how)
+            .withColumn("_piece", F.substring(
+                F.col("_h"), F.lit(1), F.coalesce(digits, F.lit(0))))
+            .drop("key_rows")
+        )
 
     keyed = cut(df.withColumn("_h", h), "left")
     pieces = (
@@ -145,22 +153,23 @@ def rank_within(df: DataFrame, group: str, key: str, rank: str = "rank", total:
         .join(starts, [group, "_piece"], "left")
         .withColumn(rank, (F.coalesce("_start", F.lit(0)) + F.col("_in") - 1).cast("bigint"))
         .withColumn(total, F.coalesce("_size", "_here").cast("bigint"))
-        .drop("_h", "_digits", "_piece", "_in", "_here", "_start", "_size")
+        .drop("_h", "_piece", "_in", "_here", "_start", "_size")
     )
 
 
 def spread_join(rows: DataFrame, unique: DataFrame, key: str, spread_by: str,
-                how: str = "inner", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+                how: str = "inner", heavy_rows: int = HEAVY_ROWS,
+                heavy: DataFrame | None = None) -> DataFrame:
     """``rows`` N:1 ``unique`` on ``key``; heavy keys of ``rows`` are salted.
 
     The matching row of a heavy key is copied once per salt, one copy per ``heavy_rows`` rows,
     so the copies number at most twice ``rows / heavy_rows`` in all.
     """
-    heavy = heavy_keys(rows, key, heavy_rows).select(
-        key, F.ceil(F.col("key_rows") / heavy_rows).cast("int").alias("_ways"))
-    ways = F.coalesce(F.col("_ways"), F.lit(1))
+    if heavy is None:
+        heavy = heavy_keys(rows, key, heavy_rows)
+    ways = F.coalesce(F.ceil(F.col("key_rows") / heavy_rows).cast("int"), F.lit(1))
     left = rows.join(F.broadcast(heavy), key, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(F.col(spread_by)), ways).cast("int")).drop("_ways")
+        "_salt", F.pmod(F.xxhash64(F.col(spread_by)), ways).cast("int")).drop("key_rows")
     right = unique.join(F.broadcast(heavy), key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
+        "_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("key_rows")
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polybag.operators import bags, batches, labels as lab, splits, views
-from polybag.operators.skew import HEAVY_ROWS
+from polybag.operators.skew import HEAVY_ROWS, heavy_keys, spread_join
+from polybag.session import saved
 
 # Shipped settings (fixed values): largest bag, bags per batch and batch order of each mode.
 MODES = {
@@ -21,24 +22,35 @@ CLASSES = 10
 def entity_table(label_rows: DataFrame, k: int = CLASSES) -> tuple[DataFrame, DataFrame]:
     """(entities, vocabulary): one row per kept sid with ``codes``, ``gt`` and ``split``.
 
-    Write it once and reuse it for all modes: every mode then sees the same split.
+    Both are written once: every mode then reads the same split and the same column order.
     """
-    vocabulary = lab.top_labels(label_rows, k)
+    vocabulary = saved(lab.top_labels(label_rows, k), "vocabulary")
     kept = lab.filter_top_labels(lab.latest_labels(label_rows), vocabulary)
-    encoded = lab.encode_labels(kept, vocabulary)
-    return splits.split_assign(encoded.select("sid", "codes", "gt")), vocabulary
+    encoded = lab.encode_labels(kept, vocabulary).select("sid", "codes", "gt")
+    return saved(splits.split_assign(encoded), "entities"), vocabulary
 
 
-def labelled_bags(entities: DataFrame, images: DataFrame, mode: str,
-                  max_bag: int | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Bags of one mode's split with their annotation: (bag_id, sid, bag_no, images, nslice, gt).
+def mode_members(entities: DataFrame, images: DataFrame, mode: str, max_bag: int | None = None,
+                 heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, annotations, heavy) of one mode's split.
 
-    The split is applied to the catalogue first, so other splits' images are never shuffled.
+    The split is applied to the catalogue before bagging, so other splits' images are not
+    sorted.  One count of images per entity finds the heavy ones for all the steps here.
     """
+    heavy = heavy_keys(images, "sid", heavy_rows)
     chosen = splits.in_split(entities, mode).select("sid", "gt")
-    wanted = images.join(chosen.select("sid"), "sid", "left_semi")
-    members = bags.make_bags(wanted, max_bag or MODES[mode]["max_bag"], heavy_rows=heavy_rows)
-    return bags.label_bags(bags.bag_table(members), chosen, heavy_rows=heavy_rows)
+    wanted = spread_join(images, chosen.select("sid"), "sid", "path",
+                         heavy_rows=heavy_rows, heavy=heavy)
+    members = bags.make_bags(wanted, max_bag or MODES[mode]["max_bag"],
+                             heavy_rows=heavy_rows, heavy=heavy)
+    return members, chosen, heavy
+
+
+def labelled_bags(entities: DataFrame, images: DataFrame, mode: str,
+                  max_bag: int | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Bags of one mode with their annotation: (bag_id, sid, bag_no, images, nslice, gt)."""
+    members, chosen, heavy = mode_members(entities, images, mode, max_bag, heavy_rows)
+    return bags.label_bags(bags.bag_table(members), chosen, heavy_rows, heavy)
 
 
 def bag_samples(entities: DataFrame, images: DataFrame, mode: str,
@@ -46,7 +58,7 @@ def bag_samples(entities: DataFrame, images: DataFrame, mode: str,
                 order: str | None = None) -> DataFrame:
     """Batched samples: (batch_id, pos, bag_id, images, nslice, gt)."""
     settings = MODES[mode]
-    table = labelled_bags(entities, images, mode, max_bag)
+    table = saved(labelled_bags(entities, images, mode, max_bag), "bags")
     return batches.assign_batches(
         table, batch_size or settings["batch_size"], order or settings["order"])
 
@@ -60,11 +72,10 @@ def pretrain_samples(entities: DataFrame, images: DataFrame,
     and :func:`polybag.operators.views.render_views` draws the same plan.
     """
     # Bags of one image: bag and image coincide, so no list has to be packed and unpacked.
-    size = batch_size or MODES["pretrain"]["batch_size"]
-    chosen = splits.in_split(entities, "pretrain").select("sid", "gt")
-    wanted = images.join(chosen.select("sid"), "sid", "left_semi")
-    members = bags.label_bags(bags.make_bags(wanted, 1), chosen)
-    batched = batches.assign_batches(members, size, "shuffled")
+    members, chosen, heavy = mode_members(entities, images, "pretrain")
+    table = saved(bags.label_bags(members, chosen, heavy=heavy), "samples")
+    batched = batches.assign_batches(
+        table, batch_size or MODES["pretrain"]["batch_size"], "shuffled")
     return batched.select(
         "batch_id", "pos", "bag_id", F.col("path").alias("image_id"),
         F.col("gt").alias("label"),

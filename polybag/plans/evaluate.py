@@ -6,21 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from pyspark.sql import functions as F
+
 from polybag.operators import auc, metrics, scoring
+from polybag.operators.bags import label_bags
 
 
 def evaluated_bags(instance_scores: DataFrame, annotations: DataFrame, n_classes: int,
-                   key: str = "bag_id", decimals: int | None = None) -> DataFrame:
-    """(bag_id, gt, scores, pred): mean score per bag next to its annotation."""
-    pooled = scoring.bag_scores(instance_scores, n_classes, key, decimals=decimals)
-    return scoring.with_predictions(scoring.align(annotations, pooled, key))
+                   decimals: int | None = None, heavy: DataFrame | None = None) -> DataFrame:
+    """(bag_id, sid, gt, scores, pred): mean score per bag next to its entity's annotation.
+
+    ``instance_scores`` has bag_id, sid and scores; ``annotations`` has sid and gt.  The entity
+    rides along as a grouping column, so annotations join the pooled rows once.
+    """
+    pooled = scoring.bag_scores(instance_scores, n_classes, ("bag_id", "sid"), decimals=decimals)
+    return scoring.with_predictions(label_bags(pooled, annotations, heavy=heavy))
 
 
 def full_report(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All report metrics, overall and per label: (by, metric, label_idx, value).
 
     Two passes over the evaluated rows: one aggregate for everything countable, one sort for
-    the two AUC values.
+    the two AUC values.  Hand in a saved table, as pooling would otherwise run twice.
     """
     overall, labels = metrics.all_metrics(evaluated, by)
     areas = auc.both_aucs(evaluated, by)
@@ -48,8 +55,6 @@ def headline(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     area = auc.auc_macro(per_label, by)
     if not by:
         # Two one-row results side by side: joined on a constant key.
-        from pyspark.sql import functions as F
-
         f1, area = f1.withColumn("_k", F.lit(0)), area.withColumn("_k", F.lit(0))
         joined = f1.join(area, "_k").drop("_k")
     else:

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polybag.session import saved
+
 
 def fit_probe(train: DataFrame, n_classes: int, features: str = "embedding",
-              iterations: int = 20, penalty: float = 1e-3) -> tuple[list[list[float]], list[float]]:
+              iterations: int = 20, penalty: float = 1e-3,
+              parallelism: int = 8) -> tuple[list[list[float]], list[float]]:
     """(weights, intercepts), one logistic regression per label.
 
     ``train`` has the feature array and ``gt``.  Spark ML sums the gradients over the cluster;
     the driver only holds one weight vector per label.
     """
-    prepared = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"),
-                            "gt").persist()
-    weights, intercepts = [], []
-    for i in range(n_classes):
+    features_column = array_to_vector(F.col(features).cast("array<double>")).alias("features")
+    prepared = saved(train.select(features, "gt"), "probe").select(features_column, "gt")
+
+    def fit(i: int):
         model = LogisticRegression(
             featuresCol="features", labelCol="y", maxIter=iterations, regParam=penalty,
         ).fit(prepared.select("features", F.col("gt")[i].cast("double").alias("y")))
-        weights.append(model.coefficients.toArray().tolist())
-        intercepts.append(float(model.intercept))
-    prepared.unpersist()
-    return weights, intercepts
+        return model.coefficients.toArray().tolist(), float(model.intercept)
+
+    # Independent jobs; submitting them together keeps the executors busy.
+    with ThreadPool(min(parallelism, n_classes)) as pool:
+        fitted = pool.map(fit, range(n_classes))
+    return [w for w, _ in fitted], [b for _, b in fitted]
 
 
 def probe_scorer(weights: list[list[float]], intercepts: list[float]):

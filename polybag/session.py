@@ -55,13 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as parquet and continue from the written copy.
 
-    Used where two later steps must see the very same rows (for example positions that came
-    from a sampled range partitioning), also when an executor is lost in between.
+    For a result that several later steps read: it is computed once, all of them see the very
+    same rows (also when an executor is lost in between), and the plan starts afresh from a
+    file scan with pruning and sizes.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
