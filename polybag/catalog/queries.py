@@ -16,6 +16,7 @@ from polybag.functions import dot, join_numbers, l2_normalize, label_codes
 from polybag.operators import (
     auc, bags, batches, labels as lab, losses, metrics, runs, scoring, splits, views,
 )
+from polybag.operators.skew import find_heavy
 from polybag.plans import datasets, evaluate, probe
 from polybag.session import saved, scratch_path
 from polybag.sources import labels as label_files
@@ -75,8 +76,8 @@ def top_labels(spark, d):
 
 @query
 def filter_top_labels(spark, d):
-    rows = t.order_labels(spark, d)
-    kept = lab.filter_top_labels(rows, lab.top_labels(rows, TOP_K))
+    rows = saved(t.order_labels(spark, d), "labels")
+    kept = lab.filter_top_labels(rows, lab.vocabulary_codes(lab.top_labels(rows, TOP_K)))
     return kept.select("sid", _text("codes").alias("codes"), F.size("codes").alias("n_codes"))
 
 
@@ -87,8 +88,8 @@ def vocab_check(spark, d):
 
 @query
 def multi_hot(spark, d):
-    rows = t.order_labels(spark, d)
-    vocabulary = lab.top_labels(rows, TOP_K)
+    rows = saved(t.order_labels(spark, d), "labels")
+    vocabulary = lab.vocabulary_codes(lab.top_labels(rows, TOP_K))
     encoded = lab.encode_labels(lab.filter_top_labels(rows, vocabulary), vocabulary)
     return lab.long_annotations(encoded)
 
@@ -105,13 +106,13 @@ def split_assign(spark, d):
 
 @query
 def dataset_summary(spark, d):
-    entities, _ = datasets.entity_table(t.order_labels(spark, d), TOP_K)
+    entities, _ = datasets.entity_table(saved(t.order_labels(spark, d), "labels"), TOP_K)
     return splits.split_summary(entities, 8)
 
 
 @query
 def split_label_counts(spark, d):
-    entities, _ = datasets.entity_table(t.order_labels(spark, d), TOP_K)
+    entities, _ = datasets.entity_table(saved(t.order_labels(spark, d), "labels"), TOP_K)
     return splits.split_label_counts(entities)
 
 
@@ -146,14 +147,17 @@ def make_bags(spark, d):
 
 @query
 def bag_labels(spark, d):
-    members = bags.make_bags(t.event_images(spark, d), 20)
-    labelled = bags.label_bags(bags.bag_lengths(members), t.user_labels(spark, d))
+    images = t.event_images(spark, d)
+    heavy = find_heavy(images, "sid")
+    members = bags.make_bags(images, 20, heavy=heavy)
+    labelled = bags.label_bags(
+        bags.bag_lengths(members), t.user_labels(spark, d), heavy=heavy)
     return labelled.select("bag_id", "sid", "bag_no", "nslice", "label")
 
 
 @query
 def bag_samples(spark, d):
-    entities, _ = datasets.entity_table(t.user_labels(spark, d), TOP_K)
+    entities, _ = datasets.entity_table(saved(t.user_labels(spark, d), "labels"), TOP_K)
     samples = datasets.bag_samples(entities, t.event_images(spark, d), "test", batch_size=4)
     return samples.select("batch_id", "pos", "bag_id", "nslice", _text("images").alias("imgs"),
                           join_numbers("gt").alias("labels"))
@@ -161,7 +165,7 @@ def bag_samples(spark, d):
 
 @query
 def train_samples(spark, d):
-    entities, _ = datasets.entity_table(t.user_labels(spark, d), TOP_K)
+    entities, _ = datasets.entity_table(saved(t.user_labels(spark, d), "labels"), TOP_K)
     samples = datasets.bag_samples(entities, t.event_images(spark, d), "train")
     return bags.instance_labels(samples).select(
         "batch_id", "pos", "bag_id", "path", join_numbers("gt").alias("labels"))
@@ -217,7 +221,7 @@ def balanced_order(spark, d):
 
 def _bag_evaluation(spark, d) -> DataFrame:
     """Test bags: pooled event scores against the labels of the user."""
-    entities, vocabulary = datasets.entity_table(t.user_labels(spark, d), t.EVENT_CLASSES)
+    entities, vocabulary = datasets.entity_table(saved(t.user_labels(spark, d), "labels"), t.EVENT_CLASSES)
     members, chosen, heavy = datasets.mode_members(entities, t.event_images(spark, d), "test")
     scored = t.event_scores(spark, d, vocabulary).select("path", "scores")
     instances = members.select("bag_id", "sid", "path").join(scored, "path")
@@ -227,7 +231,8 @@ def _bag_evaluation(spark, d) -> DataFrame:
 
 @query
 def bag_scores(spark, d):
-    vocabulary = saved(lab.top_labels(t.user_labels(spark, d), t.EVENT_CLASSES), "vocabulary")
+    vocabulary = lab.vocabulary_codes(
+        lab.top_labels(t.user_labels(spark, d), t.EVENT_CLASSES))
     members = bags.make_bags(t.event_images(spark, d), 20).select("bag_id", "path")
     scored = t.event_scores(spark, d, vocabulary).select("path", "scores")
     pooled = scoring.bag_scores(
@@ -347,7 +352,7 @@ def view_align(spark, d):
 
 
 def _similarities(spark, d) -> DataFrame:
-    return losses.anchor_similarities(losses.align_views(t.view_rows(spark, d)))
+    return losses.anchor_similarities(t.view_rows(spark, d))
 
 
 @query
@@ -481,7 +486,7 @@ def channel_means(spark, d):
 
 @query
 def pretrain_samples(spark, d):
-    entities, _ = datasets.entity_table(t.user_labels(spark, d), TOP_K)
+    entities, _ = datasets.entity_table(saved(t.user_labels(spark, d), "labels"), TOP_K)
     rows = datasets.pretrain_samples(entities, t.event_images(spark, d))
 
     def shown(view: str) -> Column:
@@ -517,8 +522,9 @@ def parse_run_log(spark, d):
     parsed = runs.parse_run_log(lines).groupBy("kind", "epoch").agg(
         F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"),
         F.avg("cost_seconds").alias("cost_seconds"), F.avg("auc").alias("auc"),
-        F.min(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")).alias("ts"))
-    return parsed.select("kind", "epoch", "n", "ts", *[
+        F.min("ts").alias("ts"))
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts")
+    return parsed.select("kind", "epoch", "n", stamp, *[
         F.round(c, 6).alias(c) for c in ("loss", "cost_seconds", "auc")])
 
 
@@ -589,7 +595,7 @@ def linear_probe(spark, d):
     scored = scoring.apply_scorer(
         splits.in_split(split, "test").select("vec_id", "gt", "embedding"),
         probe.probe_scorer(weights, intercepts))
-    report = evaluate.full_report(scoring.with_predictions(scored))
+    report = evaluate.full_report(saved(scoring.with_predictions(scored), "evaluated"))
     return _rounded(report, "metric", "label_idx", decimals=6)
 
 

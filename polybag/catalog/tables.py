@@ -80,26 +80,22 @@ def event_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(_user().alias("sid"), _path().alias("path"))
 
 
-def event_scores(spark: SparkSession, sf_dir: str, vocabulary: DataFrame) -> DataFrame:
+def event_scores(spark: SparkSession, sf_dir: str, vocabulary: list[str]) -> DataFrame:
     """(event_id, sid, path, event_type, scores), scores in vocabulary order."""
-    def score(code: Column) -> Column:
+    def score(code: str) -> Column:
         own = (F.col("event_type") == code).cast("int")
         noise = hash_uniform("score", F.col("event_id"), code)
         return F.round(F.lit(0.25) + own * F.lit(0.5) + noise * F.lit(0.25), 6)
 
-    return (
-        table(spark, sf_dir, "events")
-        .select("event_id", _user().alias("sid"), _path().alias("path"), "event_type")
-        .withColumn("_vocabulary", lab.vocabulary_array(vocabulary))
-        .withColumn("scores", F.transform("_vocabulary", score))
-        .drop("_vocabulary")
-    )
+    return table(spark, sf_dir, "events").select(
+        "event_id", _user().alias("sid"), _path().alias("path"), "event_type",
+        F.array(*[score(c) for c in vocabulary]).alias("scores"))
 
 
 def evaluated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, gt, scores, pred): each event against the labels of its user."""
-    rows = user_labels(spark, sf_dir)
-    vocabulary = saved(lab.top_labels(rows, EVENT_CLASSES), "vocabulary")
+    rows = saved(user_labels(spark, sf_dir), "labels")
+    vocabulary = lab.vocabulary_codes(lab.top_labels(rows, EVENT_CLASSES))
     gt = lab.encode_labels(lab.filter_top_labels(rows, vocabulary), vocabulary)
     scores = event_scores(spark, sf_dir, vocabulary).select("event_id", "sid", "scores")
     joined = spread_join(scores, gt.select("sid", "gt"), "sid", "event_id")

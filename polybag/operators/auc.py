@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polybag.session import map_pandas
+
 
 def score_cells(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, label_idx, gt, score) rows of the evaluated table."""
@@ -37,6 +39,44 @@ def score_counts(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def outcome_counts(evaluated: DataFrame, by: Sequence[str] = (),
+                   decimals: int | None = None) -> DataFrame:
+    """Positives and negatives per (by, label, score, prediction).
+
+    Confusion counts and AUC both follow from this one table, in batch and as the state of a
+    stream (there with rounded scores, which bounds it).
+    """
+    cells = evaluated.select(
+        *by, F.posexplode(F.arrays_zip("gt", "scores", "pred")).alias("label_idx", "_c"))
+    score = F.col("_c.scores")
+    return cells.groupBy(
+        *by, "label_idx",
+        (score if decimals is None else F.round(score, decimals)).alias("score"),
+        F.col("_c.pred").alias("pred"),
+    ).agg(
+        F.sum(F.col("_c.gt")).cast("bigint").alias("pos"),
+        F.sum(1 - F.col("_c.gt")).cast("bigint").alias("neg"),
+    )
+
+
+def confusion_of(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """tp, fp, tn, fn per label from :func:`outcome_counts`."""
+    def total(column: str, pred: int):
+        return F.sum(F.when(F.col("pred") == pred, F.col(column)).otherwise(0))
+
+    return outcomes.groupBy(*by, "label_idx").agg(
+        total("pos", 1).alias("tp"), total("neg", 1).alias("fp"),
+        total("neg", 0).alias("tn"), total("pos", 0).alias("fn"))
+
+
+def auc_of(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Macro AUC from :func:`outcome_counts`."""
+    keys = [*by, "label_idx"]
+    merged = outcomes.groupBy(*keys, "score").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return auc_macro(auc_per_key(merged, keys), by)
+
+
 def _piece_sums(keys: list[str]) -> Callable[[Iterable[pd.DataFrame]], Iterable[pd.DataFrame]]:
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         # The open piece: rows arrive sorted, so a key never comes back once it has changed.
@@ -71,8 +111,9 @@ def _piece_sums(keys: list[str]) -> Callable[[Iterable[pd.DataFrame]], Iterable[
 def _piece_totals(counts: DataFrame, keys: list[str]) -> DataFrame:
     schema = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys)
     placed = counts.repartitionByRange(*keys, "score").sortWithinPartitions(*keys, "score")
-    return placed.select(*keys, "score", "pos", "neg").mapInPandas(
-        _piece_sums(keys), f"{schema}, first_score double, p bigint, n bigint, pairs double")
+    return map_pandas(
+        placed.select(*keys, "score", "pos", "neg"), _piece_sums(keys),
+        f"{schema}, first_score double, p bigint, n bigint, pairs double")
 
 
 def auc_per_key(counts: DataFrame, keys: Sequence[str]) -> DataFrame:

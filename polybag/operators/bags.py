@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polybag.functions import halve_to_fit, pad_array
-from polybag.operators.skew import HEAVY_ROWS, rank_within, spread_join
+from polybag.operators.skew import HEAVY_ROWS, Heavy, rank_within, spread_join
 
 
 def entity_images(images: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def bag_sizes(counts: DataFrame, max_bag: int) -> DataFrame:
 
 
 def make_bags(images: DataFrame, max_bag: int, distinct: bool = True,
-              heavy_rows: int = HEAVY_ROWS, heavy: DataFrame | None = None) -> DataFrame:
+              heavy_rows: int = HEAVY_ROWS, heavy: Heavy | None = None) -> DataFrame:
     """Assign every image to a bag: (sid, path, bag_no, bag_id, instance_no).
 
     Images are taken in hash order of their path (the order of a set is arbitrary to begin
@@ -74,7 +74,7 @@ def bag_lengths(members: DataFrame) -> DataFrame:
 
 
 def label_bags(bags: DataFrame, labels: DataFrame, heavy_rows: int = HEAVY_ROWS,
-               heavy: DataFrame | None = None) -> DataFrame:
+               heavy: Heavy | None = None) -> DataFrame:
     """Bags N:1 entity labels; an entity with very many bags is salted."""
     return spread_join(bags, labels, "sid", "bag_id", heavy_rows=heavy_rows, heavy=heavy)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from polybag.operators.skew import hashed_rank, sorted_rank
 from polybag.operators.splits import SPLIT_SEED
+from polybag.session import map_pandas
 
 
 def assign_batches(bags: DataFrame, batch_size: int, order: str = "lexical",
@@ -97,8 +98,8 @@ def balance_batches(batched: DataFrame, key: str = "bag_id") -> DataFrame:
         F.transform("_e", lambda e: e["nslice"].cast("int")).alias("_sizes"),
     )
     id_type = batched.schema[key].dataType.simpleString()
-    done = packed.mapInPandas(
-        _balance, f"batch_id bigint, _ids array<{id_type}>, _sizes array<int>")
+    done = map_pandas(
+        packed, _balance, f"batch_id bigint, _ids array<{id_type}>, _sizes array<int>")
     return done.select(
         "batch_id",
         F.size("_ids").alias("_n"),

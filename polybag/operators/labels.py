@@ -6,6 +6,8 @@ and ``ord`` (BIGINT row order, used for "first appearance" and "last row wins").
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +57,13 @@ def top_labels(labels: DataFrame, k: int, separator: str = ";") -> DataFrame:
         "code", (F.row_number().over(Window.orderBy(*order)) - 1).alias("idx"), "n")
 
 
-def vocabulary_array(vocabulary: DataFrame) -> Column:
-    """The vocabulary as one array value, usable as a column (scalar subquery, k entries)."""
-    return vocabulary.agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("idx", "code"))), lambda s: s["code"])
-    ).scalar()
+def vocabulary_codes(vocabulary: DataFrame) -> list[str]:
+    """The codes in column order, on the driver: the class list of a model, k entries."""
+    return [row["code"] for row in vocabulary.orderBy("idx").collect()]
+
+
+def _literals(codes: Sequence[str]) -> Column:
+    return F.array(*[F.lit(c) for c in codes]).cast("array<string>")
 
 
 def vocabulary_check(vocabulary: DataFrame, k: int) -> DataFrame:
@@ -72,28 +76,22 @@ def vocabulary_check(vocabulary: DataFrame, k: int) -> DataFrame:
     )
 
 
-def filter_top_labels(labels: DataFrame, vocabulary: DataFrame,
+def filter_top_labels(labels: DataFrame, vocabulary: Sequence[str],
                       separator: str = ";") -> DataFrame:
-    """Keep vocabulary codes in row order; drop sids left with none.  Adds ``codes``."""
+    """Keep vocabulary codes in row order; drop sids left with none.  Adds ``codes``.
+
+    The semi-join with the vocabulary happens inside each row: no explode, no regrouping.
+    """
     kept = F.filter(
         label_codes("label", separator),
-        lambda code: F.array_contains(F.col("_vocabulary"), code),
-    )
-    return (
-        labels.withColumn("_vocabulary", vocabulary_array(vocabulary))
-        .withColumn("codes", kept)
-        .where(F.size("codes") > 0)
-        .drop("_vocabulary", "label")
+        lambda code: F.array_contains(_literals(vocabulary), code),
     )
+    return labels.withColumn("codes", kept).where(F.size("codes") > 0).drop("label")
 
 
-def encode_labels(filtered: DataFrame, vocabulary: DataFrame, out: str = "gt") -> DataFrame:
+def encode_labels(filtered: DataFrame, vocabulary: Sequence[str], out: str = "gt") -> DataFrame:
     """Add the 0/1 annotation array of ``codes``."""
-    return (
-        filtered.withColumn("_vocabulary", vocabulary_array(vocabulary))
-        .withColumn(out, multi_hot("codes", "_vocabulary"))
-        .drop("_vocabulary")
-    )
+    return filtered.withColumn(out, multi_hot("codes", _literals(vocabulary)))
 
 
 def long_annotations(encoded: DataFrame, example: str = "sid") -> DataFrame:

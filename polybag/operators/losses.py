@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polybag.functions import l2_normalize
+from polybag.operators.skew import spread_join
+from polybag.session import map_arrow, saved
 
 TEMPERATURE = 0.1
 BLOCK = 512
@@ -92,7 +94,7 @@ def _block_sums(temperature: float):
             for row in range(batch.num_rows):
                 ids = col["a_ids"][row].values
                 n_a = len(ids)
-                same = col["a_block"][row].as_py() == col["b_block"][row].as_py()
+                same = col["same"][row].as_py()
                 other = "a" if same else "b"
                 n_b = len(col[other + "_ids"][row].values)
                 sides = {}
@@ -121,56 +123,65 @@ def _field(name: str):
     return lambda entry: entry[name]
 
 
-def _blocks(aligned: DataFrame, block: int) -> DataFrame:
-    """Packed blocks ``(batch_id, block, blocks, ids, x, y, z)``.
+def _blocks(views: DataFrame, block: int) -> tuple[DataFrame, bool]:
+    """Packed blocks ``(batch_id, block, blocks, ids, x, y, z)``, and whether a batch has several.
 
-    The number of blocks follows from the batch's row count; samples are dealt out by hash, so
-    a block holds about half of ``block`` samples on average.
+    The batches are counted first.  With none above the block size (the usual case) the views
+    are shuffled once, by batch, and both aligned and packed there.  Otherwise a large batch is
+    cut into a number of blocks that follows from its row count; its samples are dealt out by
+    hash, so a block holds half of ``block`` on average.
     """
-    counts = aligned.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
-    # Only batches over the block size need more than one block.  There are at most
-    # rows/block of those, each a two-column row.
-    large = counts.where(F.col("_n") > block).select(
-        "batch_id", F.ceil(F.col("_n") * 2 / block).cast("int").alias("_blocks"))
-    dealt = aligned.join(F.broadcast(large), "batch_id", "left").withColumn(
-        "blocks", F.coalesce("_blocks", F.lit(1))).withColumn(
-        "block", F.pmod(F.xxhash64("sample_id"), F.col("blocks")).cast("int"))
+    counts = views.where(F.col("view") == VIEWS[0]).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("_n"))
+    large = saved(counts.where(F.col("_n") > block), "large")
+    several = not large.isEmpty()
+    if several:
+        dealt = spread_join(
+            align_views(views), large, "batch_id", "sample_id", "left"
+        ).withColumn(
+            "blocks", F.coalesce(F.ceil(F.col("_n") * 2 / block).cast("int"), F.lit(1))
+        ).withColumn("block", F.pmod(F.xxhash64("sample_id"), F.col("blocks")).cast("int"))
+    else:
+        dealt = align_views(views.repartition("batch_id")).withColumn(
+            "blocks", F.lit(1)).withColumn("block", F.lit(0))
     entry = F.struct("sample_id", *[F.col(v).cast("array<double>").alias(v) for v in VIEWS])
     packed = dealt.groupBy("batch_id", "block", "blocks").agg(
         F.sort_array(F.collect_list(entry)).alias("_e"))
     return packed.select(
         "batch_id", "block", "blocks",
         F.transform("_e", lambda e: e["sample_id"]).alias("ids"),
-        *[F.flatten(F.transform("_e", _field(v))).alias(v) for v in VIEWS])
+        *[F.flatten(F.transform("_e", _field(v))).alias(v) for v in VIEWS]), several
 
 
-def anchor_similarities(aligned: DataFrame, temperature: float = TEMPERATURE,
+def anchor_similarities(views: DataFrame, temperature: float = TEMPERATURE,
                         block: int = BLOCK) -> DataFrame:
     """Per anchor and matrix: ``ab_own`` = s[i,i] and ``ab_rest`` = sum over j<>i of s[i,j].
 
     s[i,j] = exp(a_i . b_j / temperature) within the batch.  ``others`` counts the j<>i.
     """
-    packed = _blocks(aligned, block)
+    packed, several = _blocks(views, block)
     left = packed.select("batch_id", F.col("block").alias("a_block"),
                          F.col("ids").alias("a_ids"),
                          *[F.col(v).alias(f"a_{v}") for v in VIEWS],
                          F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b_block"))
-    # An equi-join on (batch, block): each pair of blocks meets exactly once.  A batch of one
-    # block (the usual case) has nothing to fetch; with no larger batch this side is empty and
-    # adaptive execution drops the join.
-    right = packed.where(F.col("blocks") > 1).select(
-        "batch_id", F.col("block").alias("b_block"), F.col("ids").alias("b_ids"),
-        *[F.col(v).alias(f"b_{v}") for v in VIEWS])
-    met = left.join(right, ["batch_id", "b_block"], "left").where(
-        (F.col("a_block") == F.col("b_block")) | F.col("b_ids").isNotNull()).select(
-        "batch_id", "a_block", "b_block", "a_ids", "b_ids",
-        *[f"{s}_{v}" for s in "ab" for v in VIEWS])
+    met = left.select("*", F.lit(True).alias("same"))
+    if several:
+        # An equi-join on (batch, block): each pair of blocks meets exactly once.
+        right = packed.where(F.col("blocks") > 1).select(
+            "batch_id", F.col("block").alias("b_block"), F.col("ids").alias("b_ids"),
+            *[F.col(v).alias(f"b_{v}") for v in VIEWS])
+        same = F.col("a_block") == F.col("b_block")
+        met = left.join(right, ["batch_id", "b_block"], "left").where(
+            same | F.col("b_ids").isNotNull()).withColumn("same", same)
+    met = met.drop("a_block", "b_block")
     names = [f"{a}{b}" for a, b in MATRICES]
-    keys = {c: aligned.schema[c].dataType.simpleString() for c in ("batch_id", "sample_id")}
+    keys = {c: views.schema[c].dataType.simpleString() for c in ("batch_id", "sample_id")}
     schema = ", ".join(
         [f"{c} {t}" for c, t in keys.items()] + ["others bigint"]
         + [f"{n}_{k} double" for n in names for k in ("own", "rest")])
-    sums = met.mapInArrow(_block_sums(temperature), schema)
+    sums = map_arrow(met, _block_sums(temperature), schema)
+    if not several:
+        return sums
     return sums.groupBy("batch_id", "sample_id").agg(
         F.sum("others").alias("others"),
         *[F.sum(f"{n}_{k}").alias(f"{n}_{k}") for n in names for k in ("own", "rest")])

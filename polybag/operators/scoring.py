@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polybag.functions import adaptive_threshold, dot, sigmoid
+from polybag.functions import adaptive_threshold
+from polybag.session import map_arrow
 
 
 def apply_scorer(df: DataFrame, scorer: Callable[[np.ndarray], np.ndarray],
@@ -31,7 +32,7 @@ def apply_scorer(df: DataFrame, scorer: Callable[[np.ndarray], np.ndarray],
                 [*batch.columns, scores], names=[*batch.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, `{out}` array<double>")
+    return map_arrow(df, run, f"{fields}, `{out}` array<double>")
 
 
 def class_centroids(vectors: DataFrame, label: str = "label",
@@ -46,20 +47,18 @@ def linear_scores(df: DataFrame, weights: DataFrame, scale: float, bias: float,
                   decimals: int | None = None) -> DataFrame:
     """Sigmoid of a scaled dot product with each class's weight vector.
 
-    ``weights(class, centroid)`` has one row per class and enters as a scalar subquery, so the
-    scored table is only scanned, never shuffled or crossed.
+    ``weights(class, centroid)`` has one row per class, the parameters of a model: they go to
+    the tasks with the scorer, and the scored table is only scanned.
     """
-    table = weights.agg(F.sort_array(F.collect_list(F.struct("class", "centroid")))).scalar()
+    matrix = np.array([r["centroid"] for r in weights.orderBy("class").collect()]).T
 
-    def score(w: Column) -> Column:
-        raw = sigmoid(F.lit(float(scale)) * dot(features, w["centroid"]) + F.lit(float(bias)))
-        return raw if decimals is None else F.round(raw, decimals)
+    def scorer(vectors: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-(scale * (vectors.astype(np.float64) @ matrix) + bias)))
 
-    return (
-        df.withColumn("_w", table)
-        .withColumn(out, F.transform("_w", score))
-        .drop("_w")
-    )
+    scored = apply_scorer(df, scorer, features, out)
+    if decimals is None:
+        return scored
+    return scored.withColumn(out, F.transform(out, lambda s: F.round(s, decimals)))
 
 
 def bag_scores(instances: DataFrame, n_classes: int, keys: Sequence[str] = ("bag_id",),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +12,37 @@ from polybag.session import saved
 
 # A key with more rows than this is split over several tasks.
 HEAVY_ROWS = 1_000_000
+# The heavy keys are broadcast; with more of them than this the threshold is raised.
+BROADCAST_ROWS = 500_000
+
+
+class Heavy(NamedTuple):
+    """The heavy keys of a table: ``frame(key, key_rows)``, or None if there are none."""
+
+    frame: DataFrame | None
+    rows: int
 
+    def join(self, rows: DataFrame, key: str, how: str) -> DataFrame:
+        """Add ``key_rows``; the broadcast side was counted when it was found."""
+        return rows.join(F.broadcast(self.frame), key, how)
 
-def heavy_keys(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys with more than ``heavy_rows`` rows, and their row counts.
 
-    Counts are combined before the shuffle.  The result has at most
-    ``rows / heavy_rows`` rows, which is what makes broadcasting it safe.
+def find_heavy(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS,
+               limit: int = BROADCAST_ROWS) -> Heavy:
+    """Find the keys with more than ``heavy_rows`` rows.
+
+    One aggregate, combined before the shuffle, whose result has at most ``rows / heavy_rows``
+    rows.  It is written, and its size decides the plan: without heavy keys the operators use
+    the plain window or join.
     """
-    return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("key_rows"))
-        .where(F.col("key_rows") > heavy_rows)
-    )
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
+    found = saved(counts.where(F.col("key_rows") > heavy_rows), "heavy")
+    n = found.count()
+    while n > limit:
+        heavy_rows *= 2
+        found = found.where(F.col("key_rows") > heavy_rows)
+        n = found.count()
+    return Heavy(found if n else None, heavy_rows)
 
 
 def _hex_digits(rows: Column, heavy_rows: int) -> Column:
@@ -105,39 +125,16 @@ def sorted_rank(df: DataFrame, *order: str, rank: str = "rank",
     return ranked.drop("_place", "_part", "_start", "_total")
 
 
-def rank_within(df: DataFrame, group: str, key: str, rank: str = "rank", total: str = "n",
-                seed: int | str = "", heavy_rows: int = HEAVY_ROWS,
-                heavy: DataFrame | None = None) -> DataFrame:
-    """0-based position of each row in its group, in md5 order of ``seed:key``, and group size.
-
-    Groups of usual size are numbered by one window.  A heavy group is first cut by the leading
-    hex digits of the hash, so that no task holds more than about ``heavy_rows`` of its rows;
-    the pieces' starting points come from their counts.  ``heavy`` may hand in the
-    :func:`heavy_keys` of a table that contains ``df``.
-    """
-    if heavy is None:
-        heavy = heavy_keys(df, group, heavy_rows)
-    h = hash_key(seed, F.col(key))
-    digits = F.when(F.col("key_rows").isNotNull(), _hex_digits(F.col("key_rows"), heavy_rows))
-
-    def cut(rows: DataFrame, how: str) -> DataFrame:
-        # At most rows/heavy_rows keys are broadcast.
-        return (
-            rows.join(F.broadcast(heavy), group, how)
-            .withColumn("_piece", F.substring(
-                F.col("_h"), F.lit(1), F.coalesce(digits, F.lit(0))))
-            .drop("key_rows")
-        )
-
-    keyed = cut(df.withColumn("_h", h), "left")
+def _heavy_starts(df: DataFrame, group: str, h: Column, heavy: Heavy) -> DataFrame:
+    """(group, _piece, _start, _size): where each piece of a heavy group begins."""
     pieces = (
-        cut(df.select(group, h.alias("_h")), "inner")
+        _cut(heavy.join(df.select(group, h.alias("_h")), group, "inner"), heavy)
         .groupBy(group, "_piece")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     # A heavy group has at most 16 pieces per heavy_rows rows.
     by_group = Window.partitionBy(group).orderBy("_piece")
-    starts = pieces.select(
+    return pieces.select(
         group,
         "_piece",
         F.coalesce(F.sum("_rows").over(
@@ -145,31 +142,63 @@ def rank_within(df: DataFrame, group: str, key: str, rank: str = "rank", total:
         F.sum("_rows").over(by_group.rowsBetween(
             Window.unboundedPreceding, Window.unboundedFollowing)).alias("_size"),
     )
-    inside = Window.partitionBy(group, "_piece").orderBy("_h", key)
+
+
+def _cut(rows: DataFrame, heavy: Heavy) -> DataFrame:
+    """The leading hex digits of ``_h`` as ``_piece``, empty for usual groups."""
+    digits = F.when(F.col("key_rows").isNotNull(), _hex_digits(F.col("key_rows"), heavy.rows))
+    return rows.withColumn("_piece", F.substring(
+        F.col("_h"), F.lit(1), F.coalesce(digits, F.lit(0)))).drop("key_rows")
+
+
+def rank_within(df: DataFrame, group: str, key: str, rank: str = "rank", total: str = "n",
+                seed: int | str = "", heavy_rows: int = HEAVY_ROWS,
+                heavy: Heavy | None = None) -> DataFrame:
+    """0-based position of each row in its group, in md5 order of ``seed:key``, and group size.
+
+    Groups of usual size are numbered by one window.  A heavy group is first cut by the leading
+    hex digits of the hash, so that no task holds more than about ``heavy_rows`` of its rows;
+    the pieces' starting points come from their counts.  ``heavy`` may hand in the heavy keys
+    of a table that contains ``df``.
+    """
+    heavy = heavy or find_heavy(df, group, heavy_rows)
+    h = hash_key(seed, F.col(key))
+    keyed = df.withColumn("_h", h)
+    groups = [group]
+    if heavy.frame is not None:
+        keyed = _cut(heavy.join(keyed, group, "left"), heavy)
+        groups = [group, "_piece"]
+    inside = Window.partitionBy(*groups).orderBy("_h", key)
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = (
+        keyed.withColumn(rank, (F.row_number().over(inside) - 1).cast("bigint"))
+        .withColumn(total, F.count(F.lit(1)).over(whole))
+        .drop("_h")
+    )
+    if heavy.frame is None:
+        return numbered
     return (
-        keyed.withColumn("_in", F.row_number().over(inside))
-        .withColumn("_here", F.count(F.lit(1)).over(whole))
-        .join(starts, [group, "_piece"], "left")
-        .withColumn(rank, (F.coalesce("_start", F.lit(0)) + F.col("_in") - 1).cast("bigint"))
-        .withColumn(total, F.coalesce("_size", "_here").cast("bigint"))
-        .drop("_h", "_piece", "_in", "_here", "_start", "_size")
+        numbered.join(_heavy_starts(df, group, h, heavy), groups, "left")
+        .withColumn(rank, F.col(rank) + F.coalesce("_start", F.lit(0)))
+        .withColumn(total, F.coalesce("_size", total))
+        .drop("_piece", "_start", "_size")
     )
 
 
 def spread_join(rows: DataFrame, unique: DataFrame, key: str, spread_by: str,
                 how: str = "inner", heavy_rows: int = HEAVY_ROWS,
-                heavy: DataFrame | None = None) -> DataFrame:
+                heavy: Heavy | None = None) -> DataFrame:
     """``rows`` N:1 ``unique`` on ``key``; heavy keys of ``rows`` are salted.
 
     The matching row of a heavy key is copied once per salt, one copy per ``heavy_rows`` rows,
     so the copies number at most twice ``rows / heavy_rows`` in all.
     """
-    if heavy is None:
-        heavy = heavy_keys(rows, key, heavy_rows)
-    ways = F.coalesce(F.ceil(F.col("key_rows") / heavy_rows).cast("int"), F.lit(1))
-    left = rows.join(F.broadcast(heavy), key, "left").withColumn(
+    heavy = heavy or find_heavy(rows, key, heavy_rows)
+    if heavy.frame is None:
+        return rows.join(unique, key, how)
+    ways = F.coalesce(F.ceil(F.col("key_rows") / heavy.rows).cast("int"), F.lit(1))
+    left = heavy.join(rows, key, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(F.col(spread_by)), ways).cast("int")).drop("key_rows")
-    right = unique.join(F.broadcast(heavy), key, "left").withColumn(
+    right = heavy.join(unique, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop("key_rows")
     return left.join(right, [key, "_salt"], how).drop("_salt")

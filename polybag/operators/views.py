@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from polybag.functions import hash_uniform, pixels as px
 from polybag.operators.skew import hashed_rank
+from polybag.session import map_arrow
 
 VIEW_SEED = 286501567
 SLOTS = 2
@@ -232,8 +233,9 @@ def apply_operations(images: DataFrame, n: int = SLOTS, key: str = "image_id") -
                     names=[key, "view", "pixels"])
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, "view", "height", "width", "pixels", "ops").mapInArrow(
-        run, f"`{key}` {kind}, view string, pixels array<int>")
+    return map_arrow(
+        images.select(key, "view", "height", "width", "pixels", "ops"), run,
+        f"`{key}` {kind}, view string, pixels array<int>")
 
 
 def planned_operations(key: str = "image_id", n: int = SLOTS, m: float = MAGNITUDE,
@@ -331,7 +333,7 @@ def render_views(images: DataFrame, views: Sequence[str] = PRETRAIN_VIEWS,
 
     kind = images.schema[key].dataType.simpleString()
     cell = "float" if tensor else "int"
-    return plan.mapInArrow(run, f"`{key}` {kind}, view string, payload array<{cell}>")
+    return map_arrow(plan, run, f"`{key}` {kind}, view string, payload array<{cell}>")
 
 
 # ---------------------------------------------------------------- whole-image statistics

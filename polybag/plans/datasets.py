@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polybag.operators import bags, batches, labels as lab, splits, views
-from polybag.operators.skew import HEAVY_ROWS, heavy_keys, spread_join
+from polybag.operators.skew import HEAVY_ROWS, Heavy, find_heavy, spread_join
 from polybag.session import saved
 
 # Shipped settings (fixed values): largest bag, bags per batch and batch order of each mode.
@@ -19,25 +19,26 @@ MODES = {
 CLASSES = 10
 
 
-def entity_table(label_rows: DataFrame, k: int = CLASSES) -> tuple[DataFrame, DataFrame]:
+def entity_table(label_rows: DataFrame, k: int = CLASSES) -> tuple[DataFrame, list[str]]:
     """(entities, vocabulary): one row per kept sid with ``codes``, ``gt`` and ``split``.
 
-    Both are written once: every mode then reads the same split and the same column order.
+    The entities are written once: every mode then reads the same split.  ``label_rows`` is
+    read several times, so it should be a stored table.
     """
-    vocabulary = saved(lab.top_labels(label_rows, k), "vocabulary")
+    vocabulary = lab.vocabulary_codes(lab.top_labels(label_rows, k))
     kept = lab.filter_top_labels(lab.latest_labels(label_rows), vocabulary)
     encoded = lab.encode_labels(kept, vocabulary).select("sid", "codes", "gt")
     return saved(splits.split_assign(encoded), "entities"), vocabulary
 
 
 def mode_members(entities: DataFrame, images: DataFrame, mode: str, max_bag: int | None = None,
-                 heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame, Heavy]:
     """(members, annotations, heavy) of one mode's split.
 
     The split is applied to the catalogue before bagging, so other splits' images are not
     sorted.  One count of images per entity finds the heavy ones for all the steps here.
     """
-    heavy = heavy_keys(images, "sid", heavy_rows)
+    heavy = find_heavy(images, "sid", heavy_rows)
     chosen = splits.in_split(entities, mode).select("sid", "gt")
     wanted = spread_join(images, chosen.select("sid"), "sid", "path",
                          heavy_rows=heavy_rows, heavy=heavy)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from polybag.operators import auc, metrics, scoring
 from polybag.operators.bags import label_bags
+from polybag.operators.skew import Heavy
 
 
 def evaluated_bags(instance_scores: DataFrame, annotations: DataFrame, n_classes: int,
-                   decimals: int | None = None, heavy: DataFrame | None = None) -> DataFrame:
+                   decimals: int | None = None, heavy: Heavy | None = None) -> DataFrame:
     """(bag_id, sid, gt, scores, pred): mean score per bag next to its entity's annotation.
 
     ``instance_scores`` has bag_id, sid and scores; ``annotations`` has sid and gt.  The entity
@@ -46,19 +47,15 @@ def brief_report(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def headline(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(f1_macro, f1_micro, auc) as an evaluation returns them, one row per ``by``."""
-    counts = metrics.confusion_counts(evaluated, by)
-    f1 = metrics.f1_zero_division(counts, by)
-    per_label = auc.auc_per_key(
-        auc.score_counts(auc.score_cells(evaluated, by), [*by, "label_idx"]),
-        [*by, "label_idx"])
-    area = auc.auc_macro(per_label, by)
-    if not by:
-        # Two one-row results side by side: joined on a constant key.
-        f1, area = f1.withColumn("_k", F.lit(0)), area.withColumn("_k", F.lit(0))
-        joined = f1.join(area, "_k").drop("_k")
-    else:
-        joined = f1.join(area, list(by))
-    return (joined.withColumnRenamed("sk_f1_macro", "f1_macro")
-            .withColumnRenamed("sk_f1_micro", "f1_micro")
-            .withColumnRenamed("sk_auc_macro", "auc"))
+    """(f1_macro, f1_micro, auc) as an evaluation returns them, one row per ``by``.
+
+    One shuffle of the cells; F1 and AUC are both derived from its counts.
+    """
+    outcomes = auc.outcome_counts(evaluated, by)
+    # A constant key lines up the two one-row results when there is no other.
+    keys = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
+    names = list(by) or ["_all"]
+    f1 = metrics.f1_zero_division(auc.confusion_of(outcomes, by), by).select(
+        *keys, F.col("sk_f1_macro").alias("f1_macro"), F.col("sk_f1_micro").alias("f1_micro"))
+    area = auc.auc_of(outcomes, by).select(*keys, F.col("sk_auc_macro").alias("auc"))
+    return f1.join(area, names).drop("_all")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +68,35 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Does what ``spark-submit --py-files`` does, for a session started without it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_polybag_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="polybag-"), "polybag.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._polybag_shipped = True
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package available to ``fn``."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def map_pandas(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` with this package available to ``fn``."""
+    ship_package(df.sparkSession)
+    return df.mapInPandas(fn, schema)

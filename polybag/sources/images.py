@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polybag.session import map_arrow
+
 
 def _entity(path: str):
     """The parent directory's name."""
@@ -35,11 +37,10 @@ def decode_images(spark: SparkSession, root: str, pattern: str = "*.jpg") -> Dat
         .load(root)
         .select("image.*")
     )
-    return images.select(
-        _entity("origin").alias("sid"),
-        F.col("origin").alias("path"),
-        "height", "width", "nChannels", "data",
-    ).mapInArrow(_to_rgb, "sid string, path string, height int, width int, pixels binary")
+    raw = images.select(
+        _entity("origin").alias("sid"), F.col("origin").alias("path"),
+        "height", "width", "nChannels", "data")
+    return map_arrow(raw, _to_rgb, "sid string, path string, height int, width int, pixels binary")
 
 
 def _to_rgb(batches):

@@ -27,31 +27,12 @@ def confusion_state(evaluated_stream: DataFrame) -> DataFrame:
 
 def score_state(evaluated_stream: DataFrame) -> DataFrame:
     """Running counts per (label, rounded score, prediction): enough for every label metric."""
-    cells = evaluated_stream.select(
-        F.posexplode(F.arrays_zip("gt", "scores", "pred")).alias("label_idx", "_c"))
-    return cells.groupBy(
-        "label_idx",
-        F.round(F.col("_c.scores"), SCORE_DECIMALS).alias("score"),
-        F.col("_c.pred").alias("pred"),
-    ).agg(
-        F.sum(F.col("_c.gt")).cast("bigint").alias("pos"),
-        F.sum(1 - F.col("_c.gt")).cast("bigint").alias("neg"),
-    )
+    return auc.outcome_counts(evaluated_stream, decimals=SCORE_DECIMALS)
 
 
 def metrics_of_state(state: DataFrame) -> DataFrame:
     """(metric, label_idx, value) rows from the score state."""
-    hit, miss = F.col("pred") == 1, F.col("pred") == 0
-
-    def total(column: str, when):
-        return F.sum(F.when(when, F.col(column)).otherwise(0))
-
-    counts = state.groupBy("label_idx").agg(
-        total("pos", hit).alias("tp"), total("neg", hit).alias("fp"),
-        total("neg", miss).alias("tn"), total("pos", miss).alias("fn"))
-    by_score = state.groupBy("label_idx", "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    area = auc.auc_macro(auc.auc_per_key(by_score, ["label_idx"]))
+    counts = auc.confusion_of(state)
     micro = ["label_accuracy_micro", "label_precision_micro", "label_recall_micro",
              "label_f1_micro", "lab_sensitivity", "lab_specificity"]
     macro = ["label_accuracy_macro", "label_precision_macro", "label_recall_macro",
@@ -61,7 +42,7 @@ def metrics_of_state(state: DataFrame) -> DataFrame:
         metrics.melt(metrics.label_micro_metrics(counts), micro)
         .unionByName(metrics.melt(metrics.label_macro_metrics(counts), macro))
         .unionByName(metrics.melt(zero, ["sk_f1_macro", "sk_f1_micro"]))
-        .unionByName(metrics.melt(area, ["sk_auc_macro"]))
+        .unionByName(metrics.melt(auc.auc_of(state), ["sk_auc_macro"]))
     )
 
 
