@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polybag.functions import hash_uniform
+from polybag.functions import bind, hash_uniform
 from polybag.operators import labels as lab
 from polybag.operators import scoring
 from polybag.operators.skew import spread_join
@@ -163,10 +163,10 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, height, width, pixels): the channels read the 64 levels 21 apart."""
     level = F.transform("embedding", lambda v: F.floor(
         (v.cast("double") + 1) * 127.5).cast("int"))
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(SIDE * SIDE * 3 - 1)),
-        lambda i: F.get(F.col("_level"), (F.floor(i / 3).cast("int") + (i % 3) * 21) % 64))
-    return vectors(spark, sf_dir).withColumn("_level", level).select(
+    places = F.array(*[
+        F.lit((i // 3 + i % 3 * 21) % VECTOR_DIMS) for i in range(SIDE * SIDE * 3)])
+    cells = bind(level, lambda levels: F.transform(places, lambda p: F.get(levels, p)))
+    return vectors(spark, sf_dir).select(
         F.col("vec_id").alias("image_id"), F.lit(SIDE).alias("height"),
         F.lit(SIDE).alias("width"), cells.alias("pixels"))
 

@@ -14,6 +14,7 @@ from polybag.session import saved
 HEAVY_ROWS = 1_000_000
 # The heavy keys are broadcast; with more of them than this the threshold is raised.
 BROADCAST_ROWS = 500_000
+LISTED_ROWS = 1_000
 
 
 class Heavy(NamedTuple):
@@ -32,17 +33,21 @@ def find_heavy(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS,
     """Find the keys with more than ``heavy_rows`` rows.
 
     One aggregate, combined before the shuffle, whose result has at most ``rows / heavy_rows``
-    rows.  It is written, and its size decides the plan: without heavy keys the operators use
-    the plain window or join.
+    rows; their number decides the plan.  Without any, the operators use the plain window or
+    join.  A short list is kept in the plan, a longer one is written.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
-    found = saved(counts.where(F.col("key_rows") > heavy_rows), "heavy")
-    n = found.count()
-    while n > limit:
+    found = counts.where(F.col("key_rows") > heavy_rows)
+    few = found.limit(min(LISTED_ROWS, limit) + 1).collect()
+    if not few:
+        return Heavy(None, heavy_rows)
+    if len(few) <= min(LISTED_ROWS, limit):
+        return Heavy(df.sparkSession.createDataFrame(few, found.schema), heavy_rows)
+    found = saved(found, "heavy")
+    while found.count() > limit:
         heavy_rows *= 2
         found = found.where(F.col("key_rows") > heavy_rows)
-        n = found.count()
-    return Heavy(found if n else None, heavy_rows)
+    return Heavy(found, heavy_rows)
 
 
 def _hex_digits(rows: Column, heavy_rows: int) -> Column:

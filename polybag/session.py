@@ -19,6 +19,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Column calls need not record where they were written.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
