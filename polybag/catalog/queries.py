@@ -284,13 +284,13 @@ def f1_zero_division(spark, d):
 
 
 def _label_auc(evaluated: DataFrame) -> DataFrame:
-    counts = auc.score_counts(auc.score_cells(evaluated), ["label_idx"])
-    return auc.auc_per_key(counts, ["label_idx"])
+    return auc.auc_per_label(auc.score_counts(auc.score_cells(evaluated)))
 
 
 @query
 def auc_per_label(spark, d):
-    return _rounded(_label_auc(t.evaluated_events(spark, d)), "label_idx", "p", "n")
+    areas = _label_auc(t.evaluated_events(spark, d)).where(F.col("label_idx") != auc.POOLED)
+    return _rounded(areas, "label_idx", "p", "n")
 
 
 @query

@@ -54,14 +54,16 @@ def multi_hot(codes: ColumnLike, vocabulary: ColumnLike) -> Column:
 # ---------------------------------------------------------------- bags
 
 def halve_to_fit(n: ColumnLike, limit: int) -> Column:
-    """Halve ``n`` (whole division) until it is at most ``limit``."""
+    """Halve ``n`` (whole division) until it is at most ``limit``.
+
+    Halving is a shift, so the number of steps follows from the two bit lengths: shifted to the
+    length of ``limit``, ``n`` either fits or needs one step more.
+    """
     n = _c(n).cast("bigint")
-    top = F.lit(limit).cast("bigint")
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(63)),
-        n,
-        lambda size, _: F.when(size > top, F.shiftright(size, 1)).otherwise(size),
-    )
+    surplus = F.length(F.bin(n)) - F.lit(int(limit).bit_length())
+    aligned = F.call_function("shiftright", n, surplus)
+    return F.when(n <= limit, n).when(aligned <= limit, aligned).otherwise(
+        F.shiftright(aligned, 1))
 
 
 def pad_array(values: ColumnLike, size: Column, filler: Column) -> Column:

@@ -2,12 +2,13 @@
 
 AUC = sum over positives of (negatives scored below + half the negatives tied) / (P * N).
 
-1. Cells are counted per (keys, score): ties become one row, combined before the shuffle.
-2. The counts are range-partitioned by (keys, score).  Every (keys, score) is one row, so the
+1. Cells are counted per (label, score): ties become one row, combined before the shuffle.
+2. The counts are range-partitioned by score.  A score has at most one row per label, so the
    partitions are even however concentrated the scores are.
-3. Each partition returns, per key, its P, N and the pair sum within itself.
-4. Pieces are few (partitions + keys); one more prefix sum over them adds the pairs between
-   pieces.
+3. Each partition walks its rows once and returns, per label and for all labels pooled, its
+   P, N and the pair sum within itself.
+4. These pieces are few (partitions x labels); one more prefix sum over them adds the pairs
+   between pieces.
 
 Only one branch reads the range-partitioned rows, so a retry with other cut points cannot mix.
 """
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 
 from polybag.session import map_pandas
 
+# The label index under which all labels together are reported.
+POOLED = -1
+
 
 def score_cells(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, label_idx, gt, score) rows of the evaluated table."""
@@ -31,9 +35,9 @@ def score_cells(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ).select(*by, "label_idx", F.col("_c.gt").alias("gt"), F.col("_c.scores").alias("score"))
 
 
-def score_counts(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Positives and negatives at each distinct score."""
-    return cells.groupBy(*keys, "score").agg(
+def score_counts(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives of each label at each distinct score."""
+    return cells.groupBy(*by, "label_idx", "score").agg(
         F.sum("gt").cast("bigint").alias("pos"),
         F.sum(1 - F.col("gt")).cast("bigint").alias("neg"),
     )
@@ -71,99 +75,131 @@ def confusion_of(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def auc_of(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Macro AUC from :func:`outcome_counts`."""
-    keys = [*by, "label_idx"]
-    merged = outcomes.groupBy(*keys, "score").agg(
+    merged = outcomes.groupBy(*by, "label_idx", "score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return auc_macro(auc_per_key(merged, keys), by)
-
+    return auc_macro(auc_per_label(merged, by), by)
+
+
+class _Tally:
+    """Running P, N and pair sums of one key group inside a partition."""
+
+    def __init__(self, key: tuple):
+        self.key = key
+        self.labels: dict[int, list[float]] = {}
+        self.tied = None  # the last score with its pooled pos and neg, still open
+
+    def _add(self, label: int, first: float, pos: np.ndarray, neg: np.ndarray) -> None:
+        total = self.labels.setdefault(label, [first, 0, 0, 0.0])
+        below = total[2] + np.cumsum(neg) - neg
+        total[3] += float(np.dot(pos.astype(np.float64), below + neg / 2.0))
+        total[1] += int(pos.sum())
+        total[2] += int(neg.sum())
+
+    def add(self, labels: np.ndarray, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Rows in score order."""
+        order = np.argsort(labels, kind="stable")
+        found, starts = np.unique(labels[order], return_index=True)
+        for label, at in zip(found, np.split(order, starts[1:])):
+            self._add(int(label), float(score[at[0]]), pos[at], neg[at])
+        # Pooled: rows of equal score count as one, also across the edge of an Arrow batch.
+        if self.tied is not None:
+            score, pos, neg = (np.concatenate([[t], a]) for t, a in zip(
+                self.tied, (score, pos, neg)))
+        starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        pos, neg = np.add.reduceat(pos, starts), np.add.reduceat(neg, starts)
+        if len(starts) > 1:
+            self._add(POOLED, float(score[0]), pos[:-1], neg[:-1])
+        self.tied = (score[-1], pos[-1], neg[-1])
+
+    def pieces(self) -> list[tuple]:
+        score, pos, neg = self.tied
+        self._add(POOLED, float(score), np.array([pos]), np.array([neg]))
+        return [(*self.key, label, *total) for label, total in self.labels.items()]
+
+
+def _piece_sums(by: list[str]) -> Callable[[Iterable[pd.DataFrame]], Iterable[pd.DataFrame]]:
+    columns = [*by, "label_idx", "first_score", "p", "n", "pairs"]
 
-def _piece_sums(keys: list[str]) -> Callable[[Iterable[pd.DataFrame]], Iterable[pd.DataFrame]]:
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        # The open piece: rows arrive sorted, so a key never comes back once it has changed.
-        current, first, p, n, pairs = None, 0.0, 0, 0, 0.0
-        done: list[tuple] = []
-
-        def flush() -> pd.DataFrame:
-            columns = [*keys, "first_score", "p", "n", "pairs"]
-            out = pd.DataFrame(done, columns=columns)
-            done.clear()
-            return out
-
+        tally, done = None, []
         for pdf in batches:
-            for key, rows in pdf.groupby(keys, sort=False, dropna=False):
-                if key != current:
-                    if current is not None:
-                        done.append((*current, first, p, n, pairs))
-                    current, first, p, n, pairs = key, rows["score"].iloc[0], 0, 0, 0.0
-                pos, neg = rows["pos"].to_numpy(), rows["neg"].to_numpy()
-                below = n + np.cumsum(neg) - neg
-                pairs += float(np.dot(pos.astype(float), below + neg / 2.0))
-                p, n = p + int(pos.sum()), n + int(neg.sum())
+            if pdf.empty:
+                continue
+            # Rows are sorted by the keys first: cut the batch where a key changes.
+            changed = np.zeros(len(pdf), dtype=bool)
+            for c in by:
+                changed[1:] |= pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1]
+            cuts = [0, *np.flatnonzero(changed), len(pdf)]
+            arrays = [pdf[c].to_numpy() for c in ("label_idx", "score", "pos", "neg")]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                key = tuple(pdf[c].iloc[start] for c in by)
+                if tally is None or key != tally.key:
+                    if tally is not None:
+                        done += tally.pieces()
+                    tally = _Tally(key)
+                tally.add(*(a[start:end] for a in arrays))
             if len(done) > 10_000:
-                yield flush()
-        if current is not None:
-            done.append((*current, first, p, n, pairs))
-            yield flush()
+                yield pd.DataFrame(done, columns=columns)
+                done = []
+        if tally is not None:
+            yield pd.DataFrame(done + tally.pieces(), columns=columns)
 
     return run
 
 
-def _piece_totals(counts: DataFrame, keys: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys)
-    placed = counts.repartitionByRange(*keys, "score").sortWithinPartitions(*keys, "score")
-    return map_pandas(
-        placed.select(*keys, "score", "pos", "neg"), _piece_sums(keys),
-        f"{schema}, first_score double, p bigint, n bigint, pairs double")
+def auc_per_label(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, label_idx, p, n, auc) for every label and, as label -1, for all labels pooled.
 
-
-def auc_per_key(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """AUC of each key combination; NULL when one class is missing.
-
-    ``counts`` comes from :func:`score_counts`.  With no keys the cells are pooled.
+    ``counts`` has (by, label_idx, score, pos, neg), one row per score.  AUC is NULL when one
+    class is missing.
     """
-    keys = list(keys)
-    if not keys:
-        pooled = auc_per_key(counts.withColumn("_all", F.lit(0)), ["_all"])
-        return pooled.drop("_all")
-    before = (Window.partitionBy(*keys).orderBy("first_score")
+    by = list(by)
+    schema = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in by)
+    pieces = map_pandas(
+        counts.repartitionByRange(*by, "score").sortWithinPartitions(*by, "score")
+        .select(*by, "label_idx", "score", "pos", "neg"),
+        _piece_sums(by),
+        f"{schema + ', ' if by else ''}label_idx int, first_score double, p bigint, n bigint, "
+        "pairs double")
+    before = (Window.partitionBy(*by, "label_idx").orderBy("first_score")
               .rowsBetween(Window.unboundedPreceding, -1))
-    pieces = _piece_totals(counts, keys).withColumn(
-        "_below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    sums = pieces.groupBy(*keys).agg(
-        F.sum("p").alias("p"),
-        F.sum("n").alias("n"),
-        F.sum(F.col("pairs") + F.col("p").cast("double") * F.col("_below")).alias("pairs"),
-    )
+    below = F.coalesce(F.sum("n").over(before), F.lit(0))
     possible = F.col("p").cast("double") * F.col("n")
-    return sums.select(
-        *keys, "p", "n",
-        F.when(possible > 0, F.col("pairs") / possible).alias("auc"))
+    return (
+        pieces.withColumn("_below", below)
+        .groupBy(*by, "label_idx")
+        .agg(
+            F.sum("p").alias("p"),
+            F.sum("n").alias("n"),
+            F.sum(F.col("pairs") + F.col("p").cast("double") * F.col("_below")).alias("pairs"),
+        )
+        .select(*by, "label_idx", "p", "n",
+                F.when(possible > 0, F.col("pairs") / possible).alias("auc"))
+    )
+
+
+def _areas(per_label: DataFrame, by: Sequence[str]) -> DataFrame:
+    label = F.col("label_idx") >= 0
+    undefined = F.sum((label & F.col("auc").isNull()).cast("int")) > 0
+    return per_label.groupBy(*by).agg(
+        F.when(undefined, F.lit(-1.0)).otherwise(F.avg(F.when(label, F.col("auc"))))
+        .alias("sk_auc_macro"),
+        F.max(F.when(~label, F.col("auc"))).alias("sk_auc_micro"),
+    )
 
 
 def auc_macro(per_label: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean over labels; -1 for the whole value if any label has a single class."""
-    undefined = F.sum(F.col("auc").isNull().cast("int")) > 0
-    return per_label.groupBy(*by).agg(
-        F.when(undefined, F.lit(-1.0)).otherwise(F.avg("auc")).alias("sk_auc_macro"))
+    return _areas(per_label, by).drop("sk_auc_micro")
 
 
 def auc_micro(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """AUC over all (example, label) cells pooled."""
-    counts = score_counts(score_cells(evaluated, by), list(by))
-    return auc_per_key(counts, by).select(*by, F.col("auc").alias("sk_auc_micro"))
+    """AUC over all (example, label) cells pooled.  Labels are not kept apart in the counts."""
+    cells = score_cells(evaluated, by).withColumn("label_idx", F.lit(0))
+    pooled = auc_per_label(score_counts(cells, by), by).where(F.col("label_idx") == POOLED)
+    return pooled.select(*by, F.col("auc").alias("sk_auc_micro"))
 
 
 def both_aucs(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Macro and micro in one sorted pass: the pooled cells are one more key (label -1)."""
-    by = list(by)
-    cells = score_cells(evaluated, by).withColumn(
-        "label_idx", F.explode(F.array(F.col("label_idx"), F.lit(-1))))
-    counts = score_counts(cells, [*by, "label_idx"])
-    per_key = auc_per_key(counts, [*by, "label_idx"])
-    label = F.col("label_idx") >= 0
-    undefined = F.sum((label & F.col("auc").isNull()).cast("int")) > 0
-    return per_key.groupBy(*by).agg(
-        F.when(undefined, F.lit(-1.0)).otherwise(F.avg(F.when(label, F.col("auc"))))
-        .alias("sk_auc_macro"),
-        F.max(F.when(~label, F.col("auc"))).alias("sk_auc_micro"),
-    )
+    """Macro and micro from one sorted pass."""
+    return _areas(auc_per_label(score_counts(score_cells(evaluated, by), by), by), by)

@@ -1,6 +1,7 @@
 """Metrics: hand-worked goldens, brute force, and Spark ML as a cross-check."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MultilabelClassificationEvaluator
 from pyspark.sql import functions as F
@@ -84,11 +85,11 @@ def test_empty_label_scores_one_with_smoothing(golden):
 
 
 def test_auc_golden(golden):
-    per_label = auc.auc_per_key(
-        auc.score_counts(auc.score_cells(golden), ["label_idx"]), ["label_idx"])
+    per_label = auc.auc_per_label(auc.score_counts(auc.score_cells(golden)))
     values = {r.label_idx: r.auc for r in per_label.collect()}
     assert values[0] == values[1] == 1.0 and values[2] == 0.875 and values[3] is None
     assert auc.auc_macro(per_label).first()[0] == -1.0
+    assert values[auc.POOLED] == pytest.approx(0.95)
     assert auc.auc_macro(per_label.where("label_idx < 3")).first()[0] == pytest.approx(0.958333, abs=1e-6)
 
 
@@ -117,9 +118,19 @@ def test_auc_with_all_scores_in_a_sliver(spark):
     gt, score = (rng.random(3000) < 0.4).astype(int), 0.5 + rng.random(3000) * 1e-9
     rows = spark.createDataFrame(
         [(int(g), float(s)) for g, s in zip(gt, score)], "gt int, score double").repartition(8)
-    counts = auc.score_counts(rows.withColumn("label_idx", F.lit(0)), ["label_idx"])
-    found = auc.auc_per_key(counts, ["label_idx"]).first().auc
-    assert found == pytest.approx(_brute(gt, score), abs=1e-12)
+    counts = auc.score_counts(rows.withColumn("label_idx", F.lit(0)))
+    found = auc.auc_per_label(counts).collect()
+    assert len(found) == 2
+    assert all(r.auc == pytest.approx(_brute(gt, score), abs=1e-12) for r in found)
+
+
+def test_ties_across_arrow_batches_count_once():
+    counts = pd.DataFrame({"label_idx": [0, 1, 2, 0, 1], "score": [.5, .5, .5, .7, .7],
+                           "pos": [1, 2, 0, 3, 1], "neg": [4, 1, 1, 0, 2]})
+    whole = auc._piece_sums([])([counts])
+    parts = auc._piece_sums([])([counts[:1], counts[1:2], counts[2:4], counts[4:]])
+    assert pd.concat(whole).sort_values("label_idx").values.tolist() == pd.concat(
+        parts).sort_values("label_idx").values.tolist()
 
 
 def test_spark_ml_agrees_where_the_rules_coincide(spark, evaluated, sample):
