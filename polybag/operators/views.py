@@ -98,60 +98,57 @@ def augmentation_plan(images: DataFrame, views: Sequence[str] = ("aux",), n: int
         F.when(negative, -1).otherwise(1).alias("sign"))
 
 
-def view_plan(images: DataFrame, views: Sequence[str] = PRETRAIN_VIEWS, key: str = "image_id",
-              seed: int = VIEW_SEED, keep: Sequence[str] = ()) -> DataFrame:
-    """The recipe choices of each image and view; ``keep`` names image columns to carry along.
+def _choices(view: str, key: str, seed: int) -> Column:
+    """The recipe choices of one view as a struct column."""
+    steps = RECIPES[view]
 
-    The shorter edge is brought to 256 and a box of random area and shape is cut from it (one
-    draw, kept inside the frame); jitter factors are 1 and flags 0 where a recipe lacks the step.
-    Without a crop step the whole image is the box.
-    """
     def draw(name: str) -> Column:
-        return hash_uniform(seed, F.col(key), F.col("view"), name)
-
-    def has(step: str) -> Column:
-        return F.col("view").isin([v for v in views if step in RECIPES[v]])
+        return hash_uniform(seed, F.col(key), view, name)
 
     def between(name: str, low: float, high: float) -> Column:
         return draw(name) * (high - low) + low
 
-    shorter = F.least("height", "width")
-    framed = (
-        images.withColumn("view", _names(views))
-        .withColumn("frame_h", F.floor(F.col("height") * FRAME / shorter).cast("int"))
-        .withColumn("frame_w", F.floor(F.col("width") * FRAME / shorter).cast("int"))
-        .withColumn("_area", between("area", *CROP_SCALE) * F.col("frame_h") * F.col("frame_w"))
-        .withColumn("_ratio", F.exp(between("ratio", *[float(np.log(r)) for r in CROP_RATIO])))
-    )
+    def framed(edge: str) -> Column:
+        return F.floor(F.col(edge) * FRAME / F.least("height", "width")).cast("int")
 
-    def side(area_term: Column, edge: str) -> Column:
-        cut = F.least(F.floor(F.sqrt(area_term) + 0.5).cast("int"), F.col(edge))
-        return F.when(has("crop"), F.greatest(cut, F.lit(1))).otherwise(F.col(edge))
-
-    def start(name: str, edge: str, length: str) -> Column:
-        room = F.col(edge) - F.col(length) + 1
-        return F.floor(draw(name) * room).cast("int")
+    def side(area: Column, edge: Column) -> Column:
+        return F.greatest(
+            F.least(F.floor(F.sqrt(area) + 0.5).cast("int"), edge), F.lit(1))
 
     def factor(name: str) -> Column:
-        return F.when(has("jitter"), between(name, 1 - JITTER, 1 + JITTER)).otherwise(1.0)
+        return between(name, 1 - JITTER, 1 + JITTER) if "jitter" in steps else F.lit(1.0)
 
     def chance(step: str, p: float) -> Column:
-        return F.when(has(step) & (draw(step) < p), 1).otherwise(0)
-
-    boxed = framed.withColumn("box_w", side(F.col("_area") * F.col("_ratio"), "frame_w")).withColumn(
-        "box_h", side(F.col("_area") / F.col("_ratio"), "frame_h"))
-    return boxed.select(
-        key, "view", *keep, "frame_h", "frame_w",
-        start("x", "frame_w", "box_w").alias("box_x"),
-        start("y", "frame_h", "box_h").alias("box_y"),
-        "box_w", "box_h",
-        factor("brightness").alias("brightness"),
-        factor("contrast").alias("contrast"),
-        factor("saturation").alias("saturation"),
-        F.when(has("jitter"), between("hue", -JITTER, JITTER)).otherwise(0.0).alias("hue"),
-        chance("gray", GRAY_CHANCE).alias("gray"),
-        chance("flip", FLIP_CHANCE).alias("flip"),
-    )
+        return (draw(step) < p).cast("int") if step in steps else F.lit(0)
+
+    frame_h, frame_w = framed("height"), framed("width")
+    box_w, box_h, box_x, box_y = frame_w, frame_h, F.lit(0), F.lit(0)
+    if "crop" in steps:
+        area = between("area", *CROP_SCALE) * frame_h * frame_w
+        ratio = F.exp(between("ratio", *[float(np.log(r)) for r in CROP_RATIO]))
+        box_w, box_h = side(area * ratio, frame_w), side(area / ratio, frame_h)
+        box_x = F.floor(draw("x") * (frame_w - box_w + 1)).cast("int")
+        box_y = F.floor(draw("y") * (frame_h - box_h + 1)).cast("int")
+    hue = between("hue", -JITTER, JITTER) if "jitter" in steps else F.lit(0.0)
+    fields = {
+        "frame_h": frame_h, "frame_w": frame_w, "box_x": box_x, "box_y": box_y,
+        "box_w": box_w, "box_h": box_h, "brightness": factor("brightness"),
+        "contrast": factor("contrast"), "saturation": factor("saturation"), "hue": hue,
+        "gray": chance("gray", GRAY_CHANCE), "flip": chance("flip", FLIP_CHANCE),
+    }
+    return F.struct(F.lit(view).alias("view"), *[c.alias(n) for n, c in fields.items()])
+
+
+def view_plan(images: DataFrame, views: Sequence[str] = PRETRAIN_VIEWS, key: str = "image_id",
+              seed: int = VIEW_SEED) -> DataFrame:
+    """The recipe choices of each image and view.
+
+    The shorter edge is brought to 256 and a box of random area and shape is cut from it (one
+    draw, kept inside the frame); jitter factors are 1 and flags 0 where a recipe lacks the step.
+    Without a crop step the whole image is the box.
+    """
+    choices = F.array(*[_choices(v, key, seed) for v in views])
+    return images.select(key, F.explode(choices).alias("_p")).select(key, "_p.*")
 
 
 # ---------------------------------------------------------------- rendering
@@ -209,38 +206,49 @@ def _list_array(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))
 
 
-def apply_operations(images: DataFrame, n: int = SLOTS, key: str = "image_id") -> DataFrame:
-    """Run ``n`` planned operations on raw pixels.
+def _operations(plans: pa.Array, rows: int) -> list[tuple[np.ndarray, ...]]:
+    """Per slot: names, magnitudes and draws, from an array column of operation structs."""
+    ops = plans.flatten()
+    name, magnitude, u, v = (
+        ops.field(f).to_numpy(zero_copy_only=False).reshape(rows, -1)
+        for f in ("op", "magnitude", "u", "v"))
+    return [(name[:, i], magnitude[:, i], np.stack([u[:, i], v[:, i]], axis=1))
+            for i in range(name.shape[1])]
+
+
+def _emit(batch: pa.RecordBatch, rows: np.ndarray, key: str, view: str,
+          values: np.ndarray) -> pa.RecordBatch:
+    ids = _column(batch, key).take(pa.array(rows))
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.repeat(pa.scalar(view), len(rows)), _list_array(values)],
+        names=[key, "view", "values"])
+
+
+def _apply_plans(images: DataFrame, plans: dict[str, Column], key: str) -> DataFrame:
+    """Run the planned operations of each view; pixels cross to Python once for all views."""
+    names = list(plans)
 
-    ``images`` carries ``ops``, an array of struct(op, magnitude, u, v) in slot order; the
-    result has the key, ``view`` and ``pixels`` as ARRAY<INT>.
-    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in (c for b in batches for c in _chunks(b)):
             for h, w, rows in _sizes(batch):
                 stack = _stack(_column(batch, "pixels"), rows, h, w)
-                ops = _column(batch, "ops").take(pa.array(rows)).flatten()
-                fields = {f: ops.field(f).to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-                          for f in ("op", "magnitude", "u", "v")}
-                for slot in range(fields["op"].shape[1]):
-                    draws = np.stack([fields["u"][:, slot], fields["v"][:, slot]], axis=1)
-                    stack = _apply(stack, fields["op"][:, slot], fields["magnitude"][:, slot],
-                                   draws)
-                taken = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [_column(batch, key).take(taken), _column(batch, "view").take(taken),
-                     _list_array(stack.astype(np.int32))],
-                    names=[key, "view", "pixels"])
+                for i, view in enumerate(names):
+                    out = stack
+                    planned = _column(batch, f"ops{i}").take(pa.array(rows))
+                    for slot in _operations(planned, len(rows)):
+                        out = _apply(out, *slot)
+                    yield _emit(batch, rows, key, view, out.astype(np.int32))
 
     kind = images.schema[key].dataType.simpleString()
-    return map_arrow(
-        images.select(key, "view", "height", "width", "pixels", "ops"), run,
-        f"`{key}` {kind}, view string, pixels array<int>")
+    planned = images.select(key, "height", "width", "pixels", *[
+        c.alias(f"ops{i}") for i, c in enumerate(plans.values())])
+    return map_arrow(planned, run, f"`{key}` {kind}, view string, `values` array<int>"
+                     ).withColumnRenamed("values", "pixels")
 
 
-def planned_operations(key: str = "image_id", n: int = SLOTS, m: float = MAGNITUDE,
+def planned_operations(view: str, key: str = "image_id", n: int = SLOTS, m: float = MAGNITUDE,
                        seed: int = VIEW_SEED) -> Column:
-    """The plan of :func:`augmentation_plan` for a row with ``view``, as one array column."""
+    """The plan of :func:`augmentation_plan` for one view, as an array column."""
     table = F.array(*[
         F.struct(F.lit(name).alias("op"), F.lit(magnitude_of(m, low, high)).alias("magnitude"),
                  F.lit(name in SIGNED).alias("signed"))
@@ -248,7 +256,7 @@ def planned_operations(key: str = "image_id", n: int = SLOTS, m: float = MAGNITU
 
     def slot(i: int) -> Column:
         def draw(name: str) -> Column:
-            return hash_uniform(seed, F.col(key), F.col("view"), i, name)
+            return hash_uniform(seed, F.col(key), view, i, name)
 
         entry = F.element_at(table, F.floor(draw("op") * len(AUGMENTATIONS)).cast("int") + 1)
         sign = F.when(entry["signed"] & (draw("sign") > 0.5), -1.0).otherwise(1.0)
@@ -263,23 +271,40 @@ def augment_views(images: DataFrame, views: Sequence[str] = ("aux",), n: int = S
                   m: float = MAGNITUDE, key: str = "image_id",
                   seed: int = VIEW_SEED) -> DataFrame:
     """Apply the augmentation plan: one row per image and view with its new pixels."""
-    planned = images.withColumn("view", _names(views)).withColumn(
-        "ops", planned_operations(key, n, m, seed))
-    return apply_operations(planned, n, key)
+    return _apply_plans(
+        images, {v: planned_operations(v, key, n, m, seed) for v in views}, key)
 
 
 def apply_kernels(images: DataFrame, kernels: Sequence[tuple[str, float]],
                   key: str = "image_id") -> DataFrame:
     """Each image through each named operation at a fixed magnitude (``view`` = its name)."""
-    listed = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("op"), F.lit(float(v)).alias("magnitude"))
-        for name, v in kernels]))
-    planned = images.withColumn("_k", listed).withColumn("view", F.col("_k.op")).withColumn(
-        "ops", F.array(F.struct(
-            F.col("_k.op").alias("op"), F.col("_k.magnitude").alias("magnitude"),
-            hash_uniform(VIEW_SEED, F.col(key), F.col("view"), 0, "u").alias("u"),
-            hash_uniform(VIEW_SEED, F.col(key), F.col("view"), 0, "v").alias("v"))))
-    return apply_operations(planned, 1, key)
+    plans = {
+        name: F.array(F.struct(
+            F.lit(name).alias("op"), F.lit(float(v)).alias("magnitude"),
+            hash_uniform(VIEW_SEED, F.col(key), name, 0, "u").alias("u"),
+            hash_uniform(VIEW_SEED, F.col(key), name, 0, "v").alias("v")))
+        for name, v in kernels}
+    return _apply_plans(images, plans, key)
+
+
+def _render(stack: np.ndarray, view: str, plan: pa.StructArray, ops: pa.Array | None,
+            size: int) -> np.ndarray:
+    """One view of a stack of images, by its recipe."""
+    steps = RECIPES[view]
+    p = {f.name: plan.field(f.name).to_numpy(zero_copy_only=False)
+         for f in plan.type if f.name != "view"}
+    box = np.stack([p["box_x"], p["box_y"], p["box_w"], p["box_h"]], 1).astype(float)
+    frame = np.stack([p["frame_h"], p["frame_w"]], 1).astype(float)
+    out = px.crop_resize(stack, box, frame, size)
+    flipped, grey = p["flip"] == 1, p["gray"] == 1
+    out[flipped] = px.flip(out[flipped])
+    if ops is not None:
+        for slot in _operations(ops, len(out)):
+            out = _apply(out, *slot)
+    if "jitter" in steps:
+        out = _jitter(out, p)
+    out[grey] = px.luma(out[grey])
+    return out
 
 
 def render_views(images: DataFrame, views: Sequence[str] = PRETRAIN_VIEWS,
@@ -288,52 +313,28 @@ def render_views(images: DataFrame, views: Sequence[str] = PRETRAIN_VIEWS,
     """Carry out the recipes: ``payload`` is the normalised tensor, or plain pixels.
 
     Order of steps: frame and crop, flip, planned operations or colour jitter, grey, tensor.
-    The plan is derived in the row itself, so pixels are never joined or shuffled.
+    The plans are columns of the image's own row, so pixels are neither joined nor shuffled,
+    and they cross to Python once for all views.
     """
-    plan = view_plan(images, views, key, seed, keep=("height", "width", "pixels")).withColumn(
-        "ops", F.when(F.col("view").isin([v for v in views if "augment" in RECIPES[v]]),
-                      planned_operations(key, seed=seed)))
-    names = ["frame_h", "frame_w", "box_x", "box_y", "box_w", "box_h", "brightness",
-             "contrast", "saturation", "hue", "gray", "flip"]
+    augmented = [v for v in views if "augment" in RECIPES[v]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in (c for b in batches for c in _chunks(b, 64)):
-            view = _column(batch, "view").to_numpy(zero_copy_only=False)
             for h, w, rows in _sizes(batch):
-                stack = _stack(_column(batch, "pixels"), rows, h, w)
-                p = {c: _column(batch, c).to_numpy(zero_copy_only=False)[rows] for c in names}
-                box = np.stack([p["box_x"], p["box_y"], p["box_w"], p["box_h"]], 1).astype(float)
-                frame = np.stack([p["frame_h"], p["frame_w"]], 1).astype(float)
-                stack = px.crop_resize(stack, box, frame, size)
-                flipped = p["flip"] == 1
-                stack[flipped] = px.flip(stack[flipped])
-                planned = np.array(["augment" in RECIPES[v] for v in view[rows]])
-                if planned.any():
-                    at = rows[planned]
-                    ops = _column(batch, "ops").take(pa.array(at)).flatten()
-                    f = {c: ops.field(c).to_numpy(zero_copy_only=False).reshape(len(at), -1)
-                         for c in ("op", "magnitude", "u", "v")}
-                    part = stack[planned]
-                    for slot in range(f["op"].shape[1]):
-                        draws = np.stack([f["u"][:, slot], f["v"][:, slot]], axis=1)
-                        part = _apply(part, f["op"][:, slot], f["magnitude"][:, slot], draws)
-                    stack[planned] = part
-                jittered = np.array(["jitter" in RECIPES[v] for v in view[rows]])
-                if jittered.any():
-                    stack[jittered] = _jitter(
-                        stack[jittered], {c: p[c][jittered] for c in names})
-                grey = p["gray"] == 1
-                stack[grey] = px.luma(stack[grey])
-                taken = pa.array(rows)
-                payload = px.to_tensor(stack) if tensor else stack.astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [_column(batch, key).take(taken), _column(batch, "view").take(taken),
-                     _list_array(payload)],
-                    names=[key, "view", "payload"])
-
-    kind = images.schema[key].dataType.simpleString()
-    cell = "float" if tensor else "int"
-    return map_arrow(plan, run, f"`{key}` {kind}, view string, payload array<{cell}>")
+                stack, at = _stack(_column(batch, "pixels"), rows, h, w), pa.array(rows)
+                for view in views:
+                    ops = _column(batch, f"ops_{view}").take(at) if view in augmented else None
+                    out = _render(stack, view, _column(batch, f"plan_{view}").take(at), ops, size)
+                    yield _emit(batch, rows, key, view,
+                                px.to_tensor(out) if tensor else out.astype(np.int32))
+
+    kind, cell = images.schema[key].dataType.simpleString(), "float" if tensor else "int"
+    planned = images.select(
+        key, "height", "width", "pixels",
+        *[_choices(v, key, seed).alias(f"plan_{v}") for v in views],
+        *[planned_operations(v, key, seed=seed).alias(f"ops_{v}") for v in augmented])
+    return map_arrow(planned, run, f"`{key}` {kind}, view string, `values` array<{cell}>"
+                     ).withColumnRenamed("values", "payload")
 
 
 # ---------------------------------------------------------------- whole-image statistics
