@@ -206,7 +206,7 @@ SELECT batch_id, pos, bag_id, nslice,
        coalesce(sum(nslice) OVER (PARTITION BY batch_id ORDER BY pos
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
 FROM batched""")
-ORACLE["balance_batches"] = "WITH RECURSIVE " + ", ".join([*BAGS, batched("bags", 8), """
+BALANCE = "WITH RECURSIVE " + ", ".join([*BAGS, batched("bags", 8), """
 totals AS (SELECT batch_id, sum(nslice)::BIGINT AS total, count(*) AS n_bags
            FROM batched GROUP BY batch_id)""", """
 reach AS (
@@ -216,7 +216,27 @@ reach AS (
   FROM reach r JOIN batched b ON b.batch_id = r.batch_id AND b.pos = r.i
   JOIN totals s ON s.batch_id = r.batch_id
   JOIN (SELECT unnest([0, 1]) AS take) ON r.picked + take <= s.n_bags // 2
-       AND r.v + take * b.nslice <= s.total // 2)"""]) + """
+       AND r.v + take * b.nslice <= s.total // 2)""", """
+best AS (
+  SELECT batch_id, any_value(n_bags)::INTEGER AS n, max(v) AS v
+  FROM reach JOIN totals USING (batch_id)
+  WHERE i = n_bags AND picked = n_bags // 2 GROUP BY batch_id)""", """
+back AS (
+  SELECT batch_id, n AS i, n // 2 AS wanted, v AS remaining, false AS took FROM best
+  UNION ALL
+  SELECT k.batch_id, k.i - 1, k.wanted - (r.i IS NOT NULL)::INTEGER,
+         k.remaining - CASE WHEN r.i IS NULL THEN 0 ELSE b.nslice END, r.i IS NOT NULL
+  FROM back k JOIN batched b ON b.batch_id = k.batch_id AND b.pos = k.i - 1
+  LEFT JOIN reach r ON r.batch_id = k.batch_id AND r.i = k.i - 1 AND r.picked = k.wanted - 1
+       AND r.v = k.remaining - b.nslice)"""])
+ORACLE["balanced_order"] = BALANCE + """
+SELECT batch_id, place AS pos, bag_id, nslice, (place >= n // 2)::INTEGER AS half
+FROM (SELECT b.batch_id, b.bag_id, b.nslice, n,
+             (row_number() OVER (PARTITION BY b.batch_id ORDER BY k.took DESC,
+                CASE WHEN k.took THEN -b.pos ELSE b.pos END) - 1)::INTEGER AS place
+      FROM back k JOIN batched b ON b.batch_id = k.batch_id AND b.pos = k.i
+      JOIN best ON best.batch_id = b.batch_id)"""
+ORACLE["balance_batches"] = BALANCE + """
 SELECT batch_id, max(v) AS half_sum, any_value(total) AS total, any_value(n_bags) AS n_bags
 FROM reach JOIN totals USING (batch_id)
 WHERE i = n_bags AND picked = n_bags // 2 GROUP BY batch_id"""
@@ -625,6 +645,60 @@ holes AS (SELECT *, {corner('u')} AS x0, {corner('v')} AS y0 FROM rasters)""",
               f"{SIN} * ({CX} - 4) + {COS} * ({CY} - 4) + 4"),
         mapped("CutoutAbs", fill(), "holes")]))
 
+
+
+def once() -> str:
+    """One drawn operation per image: a branch per operation and sign, on its own images."""
+    m = {n: views.magnitude_of(10, lo, hi) for n, lo, hi in views.AUGMENTATIONS}
+
+    def shifted(op: str, sign: int) -> str:
+        v, a = number(m[op] * sign), math.radians(m[op] * sign)
+        cos, sin = number(math.cos(a)), number(math.sin(a))
+        sx, sy = {
+            "ShearX": (f"{CX} + {v} * {CY}", CY), "ShearY": (CX, f"{CY} + {v} * {CX}"),
+            "TranslateXabs": (f"{CX} + {v}", CY), "TranslateYabs": (CX, f"{CY} + {v}"),
+            "Rotate": (f"{cos} * ({CX} - 4) - {sin} * ({CY} - 4) + 4",
+                       f"{sin} * ({CX} - 4) + {cos} * ({CY} - 4) + 4"),
+        }[op]
+        return moved(op, sx, sy).replace("FROM rasters", f"FROM drawn WHERE op = '{op}' "
+                                         f"AND sign = {sign}")
+
+    side = number(m["CutoutAbs"])
+    corners = [f"trunc(greatest(0, {uniform(key)} * 8 - {side} / 2))" for key in (
+        f"'{SEED}:' || image_id || ':aux:0:u'", f"'{SEED}:' || image_id || ':aux:0:v'")]
+    r, g, b = px.CUTOUT_COLOR
+    hole = (f"CASE WHEN {X} BETWEEN x0 AND least(8, x0 + {side}) AND {Y} BETWEEN y0 "
+            f"AND least(8, y0 + {side}) THEN [{r}, {g}, {b}][i % 3 + 1] ELSE {P} END")
+    bodies = {
+        "AutoContrast": f"CASE WHEN {SPAN} = 0 THEN {P} ELSE least(255, greatest(0, "
+                        f"trunc({P} * {SCALE} - lo[i % 3 + 1] * {SCALE}))) END",
+        "Equalize": P,  # 64 pixels are too few to move any level
+        "Invert": f"255 - {P}",
+        "Posterize": f"{P} & 128",
+        "Solarize": f"CASE WHEN {P} < {number(m['Solarize'])} THEN {P} ELSE 255 - {P} END",
+        "SolarizeAdd": f"CASE WHEN {ADDED} < 128 THEN {ADDED} ELSE 255 - {ADDED} END",
+        "Contrast": f"trunc(grey + {number(m['Contrast'])} * ({P} - grey))",
+        "Sharpness": f"trunc(({SMOOTH}) + {number(m['Sharpness'])} * ({P} - ({SMOOTH})))",
+        "CutoutAbs": hole,
+        "ToBLUR": filtered("blur"), "ToCONTOUR": filtered("contour"),
+        "ToEMBOSS": filtered("emboss"), "ToEDGES": filtered("edges"),
+    }
+    parts = [mapped(op, body, f"drawn WHERE op = '{op}'") for op, body in bodies.items()]
+    parts += [shifted(op, sign) for op in ("ShearX", "ShearY", "TranslateXabs", "TranslateYabs",
+                                           "Rotate") for sign in (1, -1)]
+    key = f"'{SEED}:' || image_id || ':aux:0:"
+    return with_(RASTERS, CHANNELS, f"""
+drawn AS (
+  SELECT *, CASE WHEN op IN ({SIGNED}) AND s > 0.5 THEN -1 ELSE 1 END AS sign,
+         {corners[0]} AS x0, {corners[1]} AS y0
+  FROM (SELECT c.*, grey, {NAMES}[floor({uniform(key + "op'")} * 18)::INTEGER + 1] AS op,
+               {uniform(key + "sign'")} AS s
+        FROM stretched c JOIN (SELECT image_id, grey FROM greyed) USING (image_id)))""",
+                 select=f"SELECT image_id, 'aux' AS view, pixels FROM ({' UNION ALL '.join(parts)})")
+
+
+ORACLE["augment_once"] = once()
+
 MEAN = "[" + ", ".join(number(v) for v in px.CHANNEL_MEAN) + "]"
 STD = "[" + ", ".join(number(v) for v in px.CHANNEL_STD) + "]"
 NORMALIZED = f"(p / 255.0::DOUBLE - {MEAN}[i % 3 + 1]) / {STD}[i % 3 + 1]"

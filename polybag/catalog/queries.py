@@ -418,6 +418,12 @@ def augment_views(spark, d):
     return done.select("image_id", "view", join_numbers("pixels").alias("pixels"))
 
 
+@query
+def augment_once(spark, d):
+    done = views.augment_views(t.rasters(spark, d), ("aux",), n=1)
+    return done.select("image_id", "view", join_numbers("pixels").alias("pixels"))
+
+
 @query
 def render_views(spark, d):
     done = views.render_views(t.rasters(spark, d), size=t.SIDE)
