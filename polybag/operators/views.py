@@ -98,45 +98,61 @@ def augmentation_plan(images: DataFrame, views: Sequence[str] = ("aux",), n: int
         F.when(negative, -1).otherwise(1).alias("sign"))
 
 
-def _choices(view: str, key: str, seed: int) -> Column:
-    """The recipe choices of one view as a struct column."""
-    steps = RECIPES[view]
+def with_choices(images: DataFrame, views: Sequence[str], key: str = "image_id",
+                 seed: int = VIEW_SEED) -> DataFrame:
+    """Add ``plan_<view>``, the recipe choices of each view as a struct.
 
-    def draw(name: str) -> Column:
+    Built in steps, so that a draw used twice (the box area) is computed once per row.
+    """
+    def draw(view: str, name: str) -> Column:
         return hash_uniform(seed, F.col(key), view, name)
 
-    def between(name: str, low: float, high: float) -> Column:
-        return draw(name) * (high - low) + low
+    def between(view: str, name: str, low: float, high: float) -> Column:
+        return draw(view, name) * (high - low) + low
 
     def framed(edge: str) -> Column:
         return F.floor(F.col(edge) * FRAME / F.least("height", "width")).cast("int")
 
-    def side(area: Column, edge: Column) -> Column:
+    def side(area: Column, edge: str) -> Column:
         return F.greatest(
-            F.least(F.floor(F.sqrt(area) + 0.5).cast("int"), edge), F.lit(1))
-
-    def factor(name: str) -> Column:
-        return between(name, 1 - JITTER, 1 + JITTER) if "jitter" in steps else F.lit(1.0)
-
-    def chance(step: str, p: float) -> Column:
-        return (draw(step) < p).cast("int") if step in steps else F.lit(0)
-
-    frame_h, frame_w = framed("height"), framed("width")
-    box_w, box_h, box_x, box_y = frame_w, frame_h, F.lit(0), F.lit(0)
-    if "crop" in steps:
-        area = between("area", *CROP_SCALE) * frame_h * frame_w
-        ratio = F.exp(between("ratio", *[float(np.log(r)) for r in CROP_RATIO]))
-        box_w, box_h = side(area * ratio, frame_w), side(area / ratio, frame_h)
-        box_x = F.floor(draw("x") * (frame_w - box_w + 1)).cast("int")
-        box_y = F.floor(draw("y") * (frame_h - box_h + 1)).cast("int")
-    hue = between("hue", -JITTER, JITTER) if "jitter" in steps else F.lit(0.0)
-    fields = {
-        "frame_h": frame_h, "frame_w": frame_w, "box_x": box_x, "box_y": box_y,
-        "box_w": box_w, "box_h": box_h, "brightness": factor("brightness"),
-        "contrast": factor("contrast"), "saturation": factor("saturation"), "hue": hue,
-        "gray": chance("gray", GRAY_CHANCE), "flip": chance("flip", FLIP_CHANCE),
-    }
-    return F.struct(F.lit(view).alias("view"), *[c.alias(n) for n, c in fields.items()])
+            F.least(F.floor(F.sqrt(area) + 0.5).cast("int"), F.col(edge)), F.lit(1))
+
+    def plan(view: str) -> Column:
+        steps = RECIPES[view]
+        width, height, x, y = F.col("_frame_w"), F.col("_frame_h"), F.lit(0), F.lit(0)
+        if "crop" in steps:
+            width, height = F.col(f"_w_{view}"), F.col(f"_h_{view}")
+            x = F.floor(draw(view, "x") * (F.col("_frame_w") - width + 1)).cast("int")
+            y = F.floor(draw(view, "y") * (F.col("_frame_h") - height + 1)).cast("int")
+
+        def factor(name: str) -> Column:
+            return (between(view, name, 1 - JITTER, 1 + JITTER) if "jitter" in steps
+                    else F.lit(1.0))
+
+        def chance(step: str, p: float) -> Column:
+            return (draw(view, step) < p).cast("int") if step in steps else F.lit(0)
+
+        fields = {
+            "frame_h": F.col("_frame_h"), "frame_w": F.col("_frame_w"), "box_x": x, "box_y": y,
+            "box_w": width, "box_h": height, "brightness": factor("brightness"),
+            "contrast": factor("contrast"), "saturation": factor("saturation"),
+            "hue": between(view, "hue", -JITTER, JITTER) if "jitter" in steps else F.lit(0.0),
+            "gray": chance("gray", GRAY_CHANCE), "flip": chance("flip", FLIP_CHANCE),
+        }
+        return F.struct(F.lit(view).alias("view"), *[c.alias(n) for n, c in fields.items()])
+
+    crops = [v for v in views if "crop" in RECIPES[v]]
+    log_ratio = [float(np.log(r)) for r in CROP_RATIO]
+    framed_images = images.withColumns({"_frame_h": framed("height"), "_frame_w": framed("width")})
+    drawn = framed_images.withColumns({
+        **{f"_area_{v}": between(v, "area", *CROP_SCALE) * F.col("_frame_h") * F.col("_frame_w")
+           for v in crops},
+        **{f"_ratio_{v}": F.exp(between(v, "ratio", *log_ratio)) for v in crops}})
+    boxed = drawn.withColumns({
+        **{f"_w_{v}": side(F.col(f"_area_{v}") * F.col(f"_ratio_{v}"), "_frame_w") for v in crops},
+        **{f"_h_{v}": side(F.col(f"_area_{v}") / F.col(f"_ratio_{v}"), "_frame_h") for v in crops}})
+    return boxed.withColumns({f"plan_{v}": plan(v) for v in views}).select(
+        *images.columns, *[f"plan_{v}" for v in views])
 
 
 def view_plan(images: DataFrame, views: Sequence[str] = PRETRAIN_VIEWS, key: str = "image_id",
@@ -147,8 +163,9 @@ def view_plan(images: DataFrame, views: Sequence[str] = PRETRAIN_VIEWS, key: str
     draw, kept inside the frame); jitter factors are 1 and flags 0 where a recipe lacks the step.
     Without a crop step the whole image is the box.
     """
-    choices = F.array(*[_choices(v, key, seed) for v in views])
-    return images.select(key, F.explode(choices).alias("_p")).select(key, "_p.*")
+    plans = F.array(*[F.col(f"plan_{v}") for v in views])
+    return with_choices(images, views, key, seed).select(
+        key, F.explode(plans).alias("_p")).select(key, "_p.*")
 
 
 # ---------------------------------------------------------------- rendering
@@ -329,10 +346,9 @@ def render_views(images: DataFrame, views: Sequence[str] = PRETRAIN_VIEWS,
                                 px.to_tensor(out) if tensor else out.astype(np.int32))
 
     kind, cell = images.schema[key].dataType.simpleString(), "float" if tensor else "int"
-    planned = images.select(
-        key, "height", "width", "pixels",
-        *[_choices(v, key, seed).alias(f"plan_{v}") for v in views],
-        *[planned_operations(v, key, seed=seed).alias(f"ops_{v}") for v in augmented])
+    chosen = with_choices(images.select(key, "height", "width", "pixels"), views, key, seed)
+    planned = chosen.select(
+        "*", *[planned_operations(v, key, seed=seed).alias(f"ops_{v}") for v in augmented])
     return map_arrow(planned, run, f"`{key}` {kind}, view string, `values` array<{cell}>"
                      ).withColumnRenamed("values", "payload")
 
