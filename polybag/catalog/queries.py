@@ -30,8 +30,8 @@ DECIMALS = 9
 POOL_DECIMALS = 12
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
+def query(fn, name: str | None = None):
+    QUERIES[name or fn.__name__] = fn
     return fn
 
 
@@ -221,7 +221,8 @@ def balanced_order(spark, d):
 
 def _bag_evaluation(spark, d) -> DataFrame:
     """Test bags: pooled event scores against the labels of the user."""
-    entities, vocabulary = datasets.entity_table(saved(t.user_labels(spark, d), "labels"), t.EVENT_CLASSES)
+    entities, vocabulary = datasets.entity_table(
+        saved(t.user_labels(spark, d), "labels"), t.EVENT_CLASSES)
     members, chosen, heavy = datasets.mode_members(entities, t.event_images(spark, d), "test")
     scored = t.event_scores(spark, d, vocabulary).select("path", "scores")
     instances = members.select("bag_id", "sid", "path").join(scored, "path")
@@ -332,8 +333,7 @@ def score_samples(spark, d):
         "vec_id", F.posexplode("scores").alias("label_idx", "score"))
 
 
-@query
-def l2_normalize_vectors(spark, d):
+def _unit_vectors(spark, d):
     scaled = t.vectors(spark, d).select("vec_id", F.transform(
         "embedding", lambda v: v.cast("double") * (F.col("vec_id") % 7 + 1)).alias("raw"))
     return scaled.select(
@@ -341,7 +341,7 @@ def l2_normalize_vectors(spark, d):
     ).withColumn("value", F.round("value", DECIMALS))
 
 
-QUERIES["l2_normalize"] = QUERIES.pop("l2_normalize_vectors")
+query(_unit_vectors, "l2_normalize")
 
 
 @query
@@ -605,16 +605,13 @@ def linear_probe(spark, d):
     return _rounded(report, "metric", "label_idx", decimals=6)
 
 
-# ---------------------------------------------------------------- user records
+# ---------------------------------------------------------------- another label table
 
 @query
-def label_codes_check(spark, d):
+def document_labels(spark, d):
     """Documents' labels as a two-class annotation, through the same text form."""
     text = F.concat_ws(";", F.when(F.col("quality") == 1, "quality"),
                        F.when(F.col("toxic") == 1, "toxic"))
     rows = t.table(spark, d, "labels").where("quality + toxic > 0").select(
         F.col("doc_id").alias("sid"), text.alias("label"), F.col("doc_id").alias("ord"))
     return rows.select("sid", F.size(label_codes("label")).alias("n"), "label")
-
-
-QUERIES["document_labels"] = QUERIES.pop("label_codes_check")
