@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polybag.llm import op2_url_filters, op3_mixing, op7_sharding, op8_license_scans
+import corpus_pipeline
+from polybag.llm import (
+    op1_html, op2_url_filters, op3_mixing, op4_fingerprints, op5_substrings, op6_quality,
+    op7_sharding, op8_license_scans, op9_decontamination, op10_simhash)
 from polybag.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +20,19 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html": _on("pages", op1_html.html_digest),
     "op2_url_filters": _on("pages", op2_url_filters.url_digest),
     "op3_mixing": _on("documents", op3_mixing.mix_digest),
+    "op4_fingerprints": _on("documents", op4_fingerprints.fingerprint_digest),
+    "op5_substrings": _on("documents", op5_substrings.substring_digest),
+    "op6_quality": lambda spark, sf_dir: op6_quality.quality_digest(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_sharding": _on("documents", op7_sharding.shard_digest),
     "op8_license_scans": _on("documents", op8_license_scans.license_digest),
+    "op9_decontamination": lambda spark, sf_dir: op9_decontamination.leak_digest(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op10_simhash": _on("documents", op10_simhash.simhash_digest),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
