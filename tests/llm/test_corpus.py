@@ -201,7 +201,7 @@ def test_near_duplicates_go_and_others_stay(docs_of, awkward, nothing):
     assert kept.columns == docs.columns and len(ids) == len(set(ids))
     assert {groups[i] for i in ids} == set(range(60))
     assert len(ids) <= 62
-    assert op10_simhash.drop_near_duplicates(awkward).count() == 7
+    assert op10_simhash.drop_near_duplicates(awkward).count() == 6
     assert op10_simhash.drop_near_duplicates(nothing).count() == 0
 
 
