@@ -11,7 +11,7 @@ import math
 from polybag.catalog import queries as q
 from polybag.catalog import tables as t
 from polybag.functions import pixels as px
-from polybag.operators import losses, views
+from polybag.operators import losses, metrics, views
 
 EPS = "1e-8::DOUBLE"
 SEED = views.VIEW_SEED
@@ -91,6 +91,8 @@ OL = [ORDER_LABELS, cells("order_labels")]
 
 ORACLE["scan_labels"] = with_(
     ORDER_LABELS, select="SELECT sid::VARCHAR AS sid, label, ord FROM order_labels")
+ORACLE["scan_label_files"] = with_(ORDER_LABELS, select="""
+SELECT sid::VARCHAR AS sid, label, row_number() OVER (ORDER BY ord) - 1 AS ord FROM order_labels""")
 ORACLE["explode_labels"] = with_(
     *OL, select="SELECT sid, pos::INTEGER AS pos, code FROM order_labels_cells")
 ORACLE["label_frequency"] = with_(
@@ -387,6 +389,33 @@ FULL = " UNION ALL ".join([
 ORACLE["eval_report"] = with_(*BAG_EVALUATION, *metric_ctes(), select=FULL)
 ORACLE["eval_report_brief"] = with_(*BAG_EVALUATION, *metric_ctes(), select=BRIEF)
 
+PADDED = [f"SELECT {i + 1} AS section, '{m}' AS metric, '{m + ':':<27}' AS form"
+          for i, m in enumerate(metrics.REPORT_METRICS[:-1])]
+TITLES = [("label_accuracy", "label_accuracy_macro: ", "label_accuracy: "),
+          ("lab_precision", "label_precious_macro: ", "lab_precision:  "),
+          ("lab_recall", "label_recall_macro: ", "lab_recall:     "),
+          ("lab_f1", "label_f1_macro: ", "lab_f1:         ")]
+
+
+def lined(layout: str, forms: list[str], more: list[str]) -> str:
+    values = f"""SELECT section, -1 AS row, form || printf('%.4f', value) AS line
+    FROM report JOIN ({' UNION ALL '.join(forms)}) USING (metric) WHERE label_idx IS NULL"""
+    return f"""SELECT '{layout}' AS layout,
+    (row_number() OVER (ORDER BY section, row) - 1)::INTEGER AS line_no, line
+    FROM ({' UNION ALL '.join([values, *more])})"""
+
+
+LISTS = [part for i, (metric, title, word) in enumerate(TITLES) for part in (
+    f"SELECT {30 + i}, -1, '{title}'",
+    f"SELECT {30 + i}, label_idx, printf('(label:%d,{word}%.4f)', label_idx, value) "
+    f"FROM report WHERE metric = '{metric}' AND label_idx IS NOT NULL")]
+ORACLE["report_text"] = with_(*BAG_EVALUATION, *metric_ctes(), f"report AS ({FULL})", select=" UNION ALL ".join([
+    lined("full", [*PADDED, "SELECT 29, 'label_f1_average', 'label_f1_average: '"],
+          [f"SELECT 0, -1, '{'-' * 44}'", "SELECT 28, -1, ''", *LISTS]),
+    lined("brief", PADDED[:13], []),
+    lined("score", [f"SELECT {i} AS section, '{m}' AS metric, '{n}:' AS form"
+                    for i, (n, m) in enumerate(metrics.SCORE_METRICS.items())], [])]))
+
 ORACLE["positive_slices"] = with_(*EVENTS, select="""
 SELECT a.label_idx, any_value(n.n) AS n_examples, b.label_idx AS other_idx,
        sum(b.gt)::BIGINT AS n_gt, sum(b.pred)::BIGINT AS n_pred,
@@ -774,15 +803,13 @@ UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events"""
 STREAM = [f"""
 scored AS (
   SELECT event_id AS example, label_idx::INTEGER AS label_idx, (event_type = code)::INTEGER AS gt,
-         round(0.3::DOUBLE * (event_type = code)::INTEGER
-               + 0.7::DOUBLE * {uniform("'stream:' || event_id || ':' || code")}, 4) AS score
+         0.3::DOUBLE * (event_type = code)::INTEGER
+         + 0.7::DOUBLE * {uniform("'stream:' || event_id || ':' || code")} AS score
   FROM (SELECT event_id, event_type, unnest(range(5)) AS label_idx,
                unnest(['click', 'error', 'purchase', 'signup', 'view']) AS code FROM events))""",
           PREDICTED, *metric_ctes()]
 ORACLE["stream_confusion"] = with_(*STREAM, select="SELECT * FROM counts")
-ORACLE["stream_metrics"] = with_(*STREAM, select=" UNION ALL ".join([
-    melted("micro", MICRO), melted("macro", MACRO),
-    melted("zero", ["sk_f1_macro", "sk_f1_micro"]), melted("area", ["sk_auc_macro"])]))
+ORACLE["stream_metrics"] = with_(*STREAM, select=FULL)
 ORACLE["stream_epoch_loss"] = with_(STEPS, select="""
 SELECT run_id, epoch, round(avg(loss), 6) AS loss, count(*) AS steps
 FROM steps GROUP BY run_id, epoch""")

@@ -20,6 +20,7 @@ from polybag.operators.skew import find_heavy
 from polybag.plans import datasets, evaluate, probe
 from polybag.session import saved, scratch_path
 from polybag.sources import labels as label_files
+from polybag.sources import runs as run_files
 from polybag.streaming import evaluation as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,15 @@ def scan_labels(spark, d):
     return label_files.scan_ordered(spark, path)
 
 
+@query
+def scan_label_files(spark, d):
+    """Several files without an order column."""
+    path = scratch_path(spark, "labels")
+    rows = t.order_labels(spark, d).repartitionByRange(4, "ord").sortWithinPartitions("ord")
+    rows.select(F.col("sid").cast("string").alias("Gene"), "label").write.csv(path, header=True)
+    return label_files.scan_labels(spark, path)
+
+
 @query
 def explode_labels(spark, d):
     return lab.explode_labels(t.order_labels(spark, d)).select("sid", "pos", "code")
@@ -319,6 +329,14 @@ def eval_report_brief(spark, d):
     return _rounded(evaluate.brief_report(_bag_evaluation(spark, d)), "metric", "label_idx")
 
 
+@query
+def report_text(spark, d):
+    report = saved(_rounded(evaluate.full_report(_bag_evaluation(spark, d)), "metric", "label_idx"), "report")
+    parts = [run_files.report_lines(report, layout).select(F.lit(layout).alias("layout"), "line_no", "line")
+             for layout in ("full", "brief", "score")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def positive_slices(spark, d):
     sliced = runs.positive_slices(t.evaluated_events(spark, d), t.EVENT_CLASSES)

@@ -115,9 +115,9 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     types = F.array(*[F.lit(t) for t in ("click", "error", "purchase", "signup", "view")])
     own = F.transform(types, lambda t: (F.col("event_type") == t).cast("int"))
-    scores = F.transform(types, lambda t: F.round(
+    scores = F.transform(types, lambda t: (
         F.lit(0.3) * (F.col("event_type") == t).cast("int")
-        + F.lit(0.7) * hash_uniform("stream", F.col("event_id"), t), 4))
+        + F.lit(0.7) * hash_uniform("stream", F.col("event_id"), t)))
     return scoring.with_predictions(
         stream.select("event_id", own.alias("gt"), scores.alias("scores")))
 

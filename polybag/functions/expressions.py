@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -42,8 +43,8 @@ def hash_uniform(*parts: ColumnLike | int) -> Column:
 # ---------------------------------------------------------------- labels
 
 def label_codes(label: ColumnLike, separator: str = ";") -> Column:
-    """The list of codes in a multi-valued label string."""
-    return F.split(_c(label), "[" + separator + "]")
+    """The list of codes in a multi-valued label string; the separator is taken literally."""
+    return F.split(_c(label), re.escape(separator))
 
 
 def multi_hot(codes: ColumnLike, vocabulary: ColumnLike) -> Column:

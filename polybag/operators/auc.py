@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polybag.operators.metrics import outcome_cells, term_sums
 from polybag.session import map_pandas
 
 # The label index under which all labels together are reported.
@@ -45,39 +46,38 @@ def score_counts(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def outcome_counts(evaluated: DataFrame, by: Sequence[str] = (),
                    decimals: int | None = None) -> DataFrame:
-    """Positives and negatives per (by, label, score, prediction).
+    """Positives and negatives per (by, label, score, prediction), and the example terms.
 
-    Confusion counts and AUC both follow from this one table, in batch and as the state of a
-    stream (there with rounded scores, which bounds it).
+    Confusion counts, example means and AUC all follow from this one table, in batch and as the
+    state of a stream.  ``decimals`` rounds the scores, which bounds the table and blurs the AUC.
     """
-    cells = evaluated.select(
-        *by, F.posexplode(F.arrays_zip("gt", "scores", "pred")).alias("label_idx", "_c"))
     score = F.col("_c.scores")
-    return cells.groupBy(
+    return outcome_cells(evaluated, by, ["scores"]).groupBy(
         *by, "label_idx",
         (score if decimals is None else F.round(score, decimals)).alias("score"),
         F.col("_c.pred").alias("pred"),
     ).agg(
         F.sum(F.col("_c.gt")).cast("bigint").alias("pos"),
         F.sum(1 - F.col("_c.gt")).cast("bigint").alias("neg"),
+        *term_sums(),
     )
 
 
 def confusion_of(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """tp, fp, tn, fn per label from :func:`outcome_counts`."""
+    """tp, fp, tn, fn and the example terms per label from :func:`outcome_counts`."""
     def total(column: str, pred: int):
         return F.sum(F.when(F.col("pred") == pred, F.col(column)).otherwise(0))
 
     return outcomes.groupBy(*by, "label_idx").agg(
         total("pos", 1).alias("tp"), total("neg", 1).alias("fp"),
-        total("neg", 0).alias("tn"), total("pos", 0).alias("fn"))
+        total("neg", 0).alias("tn"), total("pos", 0).alias("fn"), *term_sums())
 
 
-def auc_of(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Macro AUC from :func:`outcome_counts`."""
+def areas_of(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Macro and micro AUC from :func:`outcome_counts`."""
     merged = outcomes.groupBy(*by, "label_idx", "score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return auc_macro(auc_per_label(merged, by), by)
+    return _areas(auc_per_label(merged, by), by)
 
 
 class _Tally:

@@ -47,17 +47,17 @@ def _count(a: str) -> Column:
     return F.aggregate(a, F.lit(0), lambda s, v: s + v)
 
 
-def _example_terms(evaluated: DataFrame, by: By) -> DataFrame:
+def _example_terms(evaluated: DataFrame, by: By, keep: Sequence[str] = ()) -> DataFrame:
     """Per-example contributions, computed in the row: no shuffle by example."""
     sums = evaluated.select(
-        *by, "gt", "pred",
+        *by, "gt", "pred", *keep,
         _overlap("gt", "pred").alias("_both"),
         _count("gt").alias("_gt"),
         _count("pred").alias("_pred"),
     )
     either = F.col("_gt") + F.col("_pred") - F.col("_both")
     return sums.select(
-        *by, "gt", "pred",
+        *by, "gt", "pred", *keep,
         (F.col("gt") == F.col("pred")).cast("double").alias("_exact"),
         eps_ratio("_both", either).alias("_acc"),
         eps_ratio("_both", "_pred").alias("_prec"),
@@ -162,28 +162,41 @@ def f1_zero_division(counts: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
-def all_metrics(evaluated: DataFrame, by: By = ()) -> tuple[DataFrame, DataFrame]:
-    """All but the AUC from one pass: (overall metrics, per-label metrics).
+# Sums over the examples, as carried next to the counts of a label.
+EXAMPLE_TERMS = ("_exact", "_acc", "_prec", "_rec", "_examples")
+
 
-    The per-example terms ride on the first cell of each example, so confusion counts and
-    example means come out of the same aggregate.
+def outcome_cells(evaluated: DataFrame, by: By = (), keep: Sequence[str] = ()) -> DataFrame:
+    """(by, label_idx, _c, example terms) rows; ``_c`` has gt, pred and the arrays of ``keep``.
+
+    The terms of an example ride on its first cell, so they can be summed along with the counts.
     """
-    cells = _example_terms(evaluated, by).select(
-        *by, "_exact", "_acc", "_prec", "_rec",
-        F.posexplode(F.arrays_zip("gt", "pred")).alias("label_idx", "_c"))
-    first = F.col("label_idx") == 0
-    terms = ["_exact", "_acc", "_prec", "_rec"]
-    labels = _per_label(cells.groupBy(*by, "label_idx").agg(
-        *_outcomes(),
-        *[F.sum(F.when(first, F.col(t))).alias(t) for t in terms],
-        F.count(F.when(first, F.lit(1))).alias("_examples"),
-    ))
+    cells = _example_terms(evaluated, by, keep).withColumn("_examples", F.lit(1)).select(
+        *by, *EXAMPLE_TERMS,
+        F.posexplode(F.arrays_zip("gt", "pred", *keep)).alias("label_idx", "_c"))
+    return cells.select(*by, "label_idx", "_c", *[
+        F.when(F.col("label_idx") == 0, F.col(t)).otherwise(0).alias(t) for t in EXAMPLE_TERMS])
+
+
+def term_sums() -> list[Column]:
+    return [F.sum(t).alias(t) for t in EXAMPLE_TERMS]
+
+
+def all_metrics(evaluated: DataFrame, by: By = ()) -> tuple[DataFrame, DataFrame]:
+    """All but the AUC from one pass: (overall metrics, per-label metrics)."""
+    return metrics_of_counts(outcome_cells(evaluated, by).groupBy(*by, "label_idx").agg(
+        *_outcomes(), *term_sums()), by)
+
+
+def metrics_of_counts(counts: DataFrame, by: By = ()) -> tuple[DataFrame, DataFrame]:
+    """(overall, per label) from confusion counts and example terms per label."""
+    labels = _per_label(counts)
     examples = F.sum("_examples")
     names = ["example_subset_accuracy", "example_accuracy", "example_precision",
              "example_recall"]
     zero_division = _zero_f1(F.col("tp"), F.col("fp"), F.col("fn"))
     overall = labels.groupBy(*by).agg(
-        *[(F.sum(t) / examples).alias(n) for t, n in zip(terms, names)],
+        *[(F.sum(t) / examples).alias(n) for t, n in zip(EXAMPLE_TERMS, names)],
         *_macro_columns(),
         *_pooled_columns(),
         F.avg(zero_division).alias("sk_f1_macro"),
@@ -198,6 +211,16 @@ def all_metrics(evaluated: DataFrame, by: By = ()) -> tuple[DataFrame, DataFrame
     return overall, labels.select(*by, "label_idx", *LABEL_METRICS)
 
 
+def report_rows(overall: DataFrame, labels: DataFrame, areas: DataFrame, by: By = ()) -> DataFrame:
+    """The whole report as (by, metric, label_idx, value) rows."""
+    countable = [m for m in REPORT_METRICS if not m.startswith("sk_auc")]
+    return (
+        melt(overall, countable, by)
+        .unionByName(melt(areas, ["sk_auc_macro", "sk_auc_micro"], by))
+        .unionByName(melt_labels(labels, by))
+    )
+
+
 def melt(overall: DataFrame, names: Sequence[str], by: By = ()) -> DataFrame:
     """One-row metrics to (metric, label_idx NULL, value) rows."""
     pairs = F.array(*[

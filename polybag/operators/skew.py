@@ -12,9 +12,11 @@ from polybag.session import saved
 
 # A key with more rows than this is split over several tasks.
 HEAVY_ROWS = 1_000_000
-# The heavy keys are broadcast; with more of them than this the threshold is raised.
+# A longer list of heavy keys is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 500_000
 LISTED_ROWS = 1_000
+# Pieces a hash order is cut into at least, as hex digits, for the sake of parallel work.
+LEAST_DIGITS = 3
 
 
 class Heavy(NamedTuple):
@@ -22,10 +24,17 @@ class Heavy(NamedTuple):
 
     frame: DataFrame | None
     rows: int
+    broadcast: bool = True
 
     def join(self, rows: DataFrame, key: str, how: str) -> DataFrame:
-        """Add ``key_rows``; the broadcast side was counted when it was found."""
-        return rows.join(F.broadcast(self.frame), key, how)
+        """Add ``key_rows``; NULL is a key like others.
+
+        A broadcast list was counted when it was found.  A longer one is joined by a shuffle: its
+        keys are then a small part of the rows each, though above the threshold.
+        """
+        listed = self.frame.withColumnRenamed(key, "_listed")
+        return rows.join(F.broadcast(listed) if self.broadcast else listed,
+                         F.col(key).eqNullSafe(F.col("_listed")), how).drop("_listed")
 
 
 def find_heavy(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS,
@@ -44,10 +53,7 @@ def find_heavy(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS,
     if len(few) <= min(LISTED_ROWS, limit):
         return Heavy(df.sparkSession.createDataFrame(few, found.schema), heavy_rows)
     found = saved(found, "heavy")
-    while found.count() > limit:
-        heavy_rows *= 2
-        found = found.where(F.col("key_rows") > heavy_rows)
-    return Heavy(found, heavy_rows)
+    return Heavy(found, heavy_rows, found.count() <= limit)
 
 
 def _hex_digits(rows: Column, heavy_rows: int) -> Column:
@@ -60,13 +66,21 @@ def _hex_digits(rows: Column, heavy_rows: int) -> Column:
 
 
 def hashed_rank(df: DataFrame, key: str, rank: str = "rank", total: str | None = None,
-                seed: int | str = "", digits: int = 3) -> DataFrame:
+                seed: int | str = "", digits: int | None = None,
+                piece_rows: int = HEAVY_ROWS) -> DataFrame:
     """0-based position of each row in md5 order of ``seed:key`` (ties broken by ``key``).
 
     Same result as ``row_number()`` over the whole table, without the single task that needs:
     the leading hex digits cut the order into ``16**digits`` even pieces, rows are numbered
     within a piece, and the start of each piece is a prefix sum over one small row per piece.
+    Unless given, ``digits`` follows from the number of rows: no piece has more than about
+    ``piece_rows`` of them.  The order is the same for any number of pieces.
     """
+    if digits is None:
+        rows = df.select(key).count()
+        digits = LEAST_DIGITS
+        while rows > piece_rows * 16**digits:
+            digits += 1
     h = hash_key(seed, F.col(key))
     keyed = df.withColumn("_h", h).withColumn("_piece", F.substring("_h", 1, digits))
     sizes = (
@@ -74,7 +88,7 @@ def hashed_rank(df: DataFrame, key: str, rank: str = "rank", total: str | None =
         .groupBy("_piece")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    # One row per piece, 16**digits at most, so one task and a broadcast are enough.
+    # One row per piece, at most 16 per ``piece_rows`` rows, so one task and a broadcast do.
     before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_piece").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
@@ -182,11 +196,14 @@ def rank_within(df: DataFrame, group: str, key: str, rank: str = "rank", total:
     )
     if heavy.frame is None:
         return numbered
+    starts = _heavy_starts(df, group, h, heavy).withColumnsRenamed(
+        {group: "_owner", "_piece": "_part"})
     return (
-        numbered.join(_heavy_starts(df, group, h, heavy), groups, "left")
+        numbered.join(starts, F.col(group).eqNullSafe(F.col("_owner"))
+                      & (F.col("_piece") == F.col("_part")), "left")
         .withColumn(rank, F.col(rank) + F.coalesce("_start", F.lit(0)))
         .withColumn(total, F.coalesce("_size", total))
-        .drop("_piece", "_start", "_size")
+        .drop("_piece", "_start", "_size", "_owner", "_part")
     )
 
 

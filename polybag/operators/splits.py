@@ -14,13 +14,13 @@ VAL_CUT = 0.5
 
 
 def seeded_order(df: DataFrame, key: str = "sid", seed: int = SPLIT_SEED,
-                 rank: str = "rank", total: str | None = None, digits: int = 3) -> DataFrame:
+                 rank: str = "rank", total: str | None = None, digits: int | None = None) -> DataFrame:
     """A reproducible shuffle: rows numbered in the order of a seeded hash of their key."""
     return hashed_rank(df, key, rank=rank, total=total, seed=seed, digits=digits)
 
 
 def split_assign(sids: DataFrame, key: str = "sid", seed: int = SPLIT_SEED,
-                 digits: int = 3) -> DataFrame:
+                 digits: int | None = None) -> DataFrame:
     """Add ``split``: the first floor(.4 n) of the seeded order train, up to floor(.5 n) val.
 
     ``sids`` has one row per entity, so no bag of an entity can leak into another split.

@@ -31,13 +31,7 @@ def full_report(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     the two AUC values.  Hand in a saved table, as pooling would otherwise run twice.
     """
     overall, labels = metrics.all_metrics(evaluated, by)
-    areas = auc.both_aucs(evaluated, by)
-    countable = [m for m in metrics.REPORT_METRICS if not m.startswith("sk_auc")]
-    return (
-        metrics.melt(overall, countable, by)
-        .unionByName(metrics.melt(areas, ["sk_auc_macro", "sk_auc_micro"], by))
-        .unionByName(metrics.melt_labels(labels, by))
-    )
+    return metrics.report_rows(overall, labels, auc.both_aucs(evaluated, by), by)
 
 
 def brief_report(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,5 +51,5 @@ def headline(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     names = list(by) or ["_all"]
     f1 = metrics.f1_zero_division(auc.confusion_of(outcomes, by), by).select(
         *keys, F.col("sk_f1_macro").alias("f1_macro"), F.col("sk_f1_micro").alias("f1_micro"))
-    area = auc.auc_of(outcomes, by).select(*keys, F.col("sk_auc_macro").alias("auc"))
+    area = auc.areas_of(outcomes, by).select(*keys, F.col("sk_auc_macro").alias("auc"))
     return f1.join(area, names).drop("_all")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polybag.operators.metrics import BRIEF_METRICS, LABEL_METRICS
+from polybag.operators.metrics import (
+    BRIEF_METRICS, LABEL_METRICS, REPORT_METRICS, SCORE_METRICS)
 from polybag.operators.runs import parse_run_log
 
 # Report layout (fixed values): width of the name column, headings of the per-label lists.
@@ -53,41 +54,54 @@ def overwrite_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").parquet(path)
 
 
-def report_lines(report: DataFrame, names: Sequence[str] = tuple(BRIEF_METRICS)) -> DataFrame:
+def _pieces(layout: str) -> list[tuple[str, str | None]]:
+    """(format, metric) of each line before the per-label lists; without a metric the line is fixed."""
+    if layout == "score":
+        return [(f"{name}:%.4f", metric) for name, metric in SCORE_METRICS.items()]
+    padded = [(f"{name + ':':<{NAME_WIDTH}}%.4f", name) for name in REPORT_METRICS]
+    if layout == "brief":
+        return padded[:len(BRIEF_METRICS)]
+    if layout == "full":
+        return [(RULE, None), *padded[:-1], ("", None),
+                (f"{REPORT_METRICS[-1]}: %.4f", REPORT_METRICS[-1])]
+    raise ValueError(f"unknown layout: {layout}")
+
+
+def report_lines(report: DataFrame, layout: str = "full") -> DataFrame:
     """The text form of a report: (line_no, line) with four decimals.
 
-    ``report`` has (metric, label_idx, value): a few rows per label, so ordering it is cheap.
+    ``full`` has all metrics and the lists of each label, ``brief`` the thirteen that need no
+    scores, ``score`` the five of the short file.  ``report`` has (metric, label_idx, value): a
+    few rows per label, so ordering it is cheap.
     """
-    rank = {n: i for i, n in enumerate(names)}
-    overall = report.where(F.col("label_idx").isNull() & F.col("metric").isin(list(rank)))
-    place = F.lit(None).cast("int")
-    for name, i in rank.items():
-        place = F.when(F.col("metric") == name, i).otherwise(place)
-    lines = overall.select(
-        place.alias("section"), F.lit(-1).alias("row"),
-        F.format_string(f"%-{NAME_WIDTH}s%.4f", F.concat("metric", F.lit(":")), "value")
-        .alias("line"))
-    for i, metric in enumerate(LABEL_METRICS):
+    spark = report.sparkSession
+    pieces = _pieces(layout)
+    table = spark.createDataFrame(
+        [(i, line, metric) for i, (line, metric) in enumerate(pieces)],
+        "section int, form string, name string")
+    overall = report.where(F.col("label_idx").isNull()).select("metric", "value")
+    lines = table.where("name IS NULL").select("section", F.lit(-1).alias("row"), F.col("form").alias("line"))
+    lines = lines.unionByName(table.join(F.broadcast(overall), table["name"] == overall["metric"]).select(
+        "section", F.lit(-1).alias("row"), F.replace(
+            "form", F.lit("%.4f"), F.format_string("%.4f", "value")).alias("line")))
+    for i, metric in enumerate(LABEL_METRICS if layout == "full" else []):
         title, word = LIST_HEADINGS[metric]
         entries = report.where((F.col("metric") == metric) & F.col("label_idx").isNotNull())
-        part = entries.select(
-            F.lit(len(rank) + i).alias("section"), F.col("label_idx").alias("row"),
-            F.format_string(f"(label:%d,{word}%.4f)", "label_idx", "value").alias("line"))
+        section = F.lit(len(pieces) + i).alias("section")
         # The heading rides on the first label, so a report without lists has no heading.
-        headings = entries.where(F.col("label_idx") == 0).select(
-            F.lit(len(rank) + i).alias("section"), F.lit(-1).alias("row"),
-            F.lit(title).alias("line"))
-        lines = lines.unionByName(headings).unionByName(part)
-    return lines.orderBy("section", "row")
+        heading = entries.where(F.col("label_idx") == 0).select(
+            section, F.lit(-1).alias("row"), F.lit(title).alias("line"))
+        lines = lines.unionByName(heading).unionByName(entries.select(
+            section, F.col("label_idx").alias("row"),
+            F.format_string(f"(label:%d,{word}%.4f)", "label_idx", "value").alias("line")))
+    place = F.row_number().over(Window.orderBy("section", "row")) - 1
+    return lines.select(place.alias("line_no"), "line")
 
 
-def write_report_text(report: DataFrame, path: str, names: Sequence[str] = tuple(BRIEF_METRICS),
+def write_report_text(report: DataFrame, path: str, layout: str = "full",
                       append: bool = False) -> None:
-    """Write the text form as one small file; an appended block starts with a rule."""
-    lines = report_lines(report, names).select(F.col("line").alias("value"))
-    if append:
-        rule = report.sparkSession.range(1).select(F.lit(RULE).alias("value"))
-        lines = rule.unionByName(lines)
+    """Write the text form as one small file."""
+    lines = report_lines(report, layout).orderBy("line_no").select(F.col("line").alias("value"))
     lines.coalesce(1).write.mode("append" if append else "overwrite").text(path)
 
 

@@ -1,13 +1,13 @@
 """The incremental evaluator and the running epoch loss, as Structured Streaming jobs.
 
 State is a handful of counters per label, so it stays small however long the stream runs.
-AUC is not a sum; its state is the number of positives and negatives per (label, score rounded
-to four places), at most 10,001 rows per label.
+AUC is not a sum; its state is the number of positives and negatives per (label, score), as many
+rows as there are distinct scores.  Rounding the scores bounds it, if a blurred AUC will do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,33 +17,21 @@ from polybag.operators import auc, metrics
 from polybag.operators.runs import epoch_of
 from polybag.session import scratch_path
 
-SCORE_DECIMALS = 4
-
-
 def confusion_state(evaluated_stream: DataFrame) -> DataFrame:
     """Running tp, fp, tn, fn per label: the batch operator, on a stream."""
     return metrics.confusion_counts(evaluated_stream)
 
 
-def score_state(evaluated_stream: DataFrame) -> DataFrame:
-    """Running counts per (label, rounded score, prediction): enough for every label metric."""
-    return auc.outcome_counts(evaluated_stream, decimals=SCORE_DECIMALS)
-
-
-def metrics_of_state(state: DataFrame) -> DataFrame:
-    """(metric, label_idx, value) rows from the score state."""
-    counts = auc.confusion_of(state)
-    micro = ["label_accuracy_micro", "label_precision_micro", "label_recall_micro",
-             "label_f1_micro", "lab_sensitivity", "lab_specificity"]
-    macro = ["label_accuracy_macro", "label_precision_macro", "label_recall_macro",
-             "label_f1_macro", "label_f1_average"]
-    zero = metrics.f1_zero_division(counts)
-    return (
-        metrics.melt(metrics.label_micro_metrics(counts), micro)
-        .unionByName(metrics.melt(metrics.label_macro_metrics(counts), macro))
-        .unionByName(metrics.melt(zero, ["sk_f1_macro", "sk_f1_micro"]))
-        .unionByName(metrics.melt(auc.auc_of(state), ["sk_auc_macro"]))
-    )
+def score_state(evaluated_stream: DataFrame, by: Sequence[str] = (),
+                decimals: int | None = None) -> DataFrame:
+    """Running counts per (by, label, score, prediction): enough for the whole report."""
+    return auc.outcome_counts(evaluated_stream, by, decimals)
+
+
+def metrics_of_state(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The report of the batch evaluation, (by, metric, label_idx, value), from the score state."""
+    overall, labels = metrics.metrics_of_counts(auc.confusion_of(state, by), by)
+    return metrics.report_rows(overall, labels, auc.areas_of(state, by), by)
 
 
 def epoch_loss_state(log_stream: DataFrame, steps_per_epoch: int) -> DataFrame:
@@ -66,15 +54,21 @@ def start(state: DataFrame, sink: Callable[[DataFrame, int], None],
 
 def final_state(spark: SparkSession, state: DataFrame,
                 finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Read everything available, and return the last written state.
+    """Read everything available, and return the last written state, or what ``finish`` makes of it.
 
     Each batch replaces the output of the one before it, so a repeated batch does no harm.
+    ``finish`` works on the written state: the stateful aggregate runs once per batch, however
+    often the result needs its rows.
     """
     out, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "stream")
+    result = scratch_path(spark, "result") if finish else out
 
     def sink(batch: DataFrame, _: int) -> None:
-        (finish(batch) if finish else batch).write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(out)
+        if finish:
+            written = batch.sparkSession.read.schema(batch.schema).parquet(out)
+            finish(written).write.mode("overwrite").parquet(result)
 
     query = start(state, sink, checkpoint)
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(result)

@@ -63,10 +63,21 @@ def test_heavy_entities_get_the_same_bags(images):
     assert plain == split
 
 
-def test_heavy_threshold_rises_until_the_list_is_small(images):
+def test_a_long_list_of_heavy_keys_is_joined_by_a_shuffle(images):
     heavy = find_heavy(images, "sid", heavy_rows=2, limit=2)
-    assert 0 < heavy.frame.count() <= 2 and heavy.rows > 2
-    assert find_heavy(images, "sid", heavy_rows=10_000).frame is None
+    every = find_heavy(images, "sid", heavy_rows=2)
+    assert heavy.rows == 2 and not heavy.broadcast and every.broadcast
+    assert sorted(heavy.frame.collect()) == sorted(every.frame.collect())
+    plain = _layout(bags.make_bags(images, 20))
+    assert _layout(bags.make_bags(images, 20, heavy_rows=2, heavy=heavy)) == plain
+
+
+def test_a_null_group_is_split_like_others(spark):
+    rows = spark.range(1200).selectExpr("if(id < 1000, null, concat('k', id % 3)) AS g", "id AS k")
+    plain = {r.k: (r.rank, r.n) for r in rank_within(rows, "g", "k").collect()}
+    split = rank_within(rows, "g", "k", heavy_rows=50)
+    assert {r.k: (r.rank, r.n) for r in split.collect()} == plain
+    assert max(n for _, n in plain.values()) == 1000
 
 
 def test_rank_within_one_group_holding_nearly_all(spark):

@@ -7,6 +7,7 @@ import pytest
 
 from polybag.operators import labels as lab
 from polybag.operators import splits
+from polybag.operators.skew import hashed_rank
 from polybag.plans import datasets
 from polybag.sources.labels import scan_labels
 
@@ -69,6 +70,21 @@ def test_scan_keeps_single_codes_as_text(spark, tmp_path):
         c for c, _ in counted.most_common(27)]
 
 
+def test_files_of_a_folder_are_read_in_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Gene,label\ng1,1\n")
+    (tmp_path / "b.csv").write_text("Gene,label\n" + "".join(f"g{i},{i}\n" for i in range(500)) + "g1,9\n")
+    table = scan_labels(spark, str(tmp_path))
+    assert {r.sid: r.label for r in lab.latest_labels(table).collect()}["g1"] == "9"
+    assert [r.ord for r in table.orderBy("ord").collect()] == list(range(502))
+    assert table.orderBy("ord").first().label == "1"
+
+
+@pytest.mark.parametrize("separator", ["||", "^", ".", "]", "\\", "-", ";"])
+def test_separators_are_literal(spark, separator):
+    row = spark.createDataFrame([("s", f"a{separator}b|c{separator}d", 0)], "sid string, label string, ord bigint")
+    assert [r.code for r in lab.explode_labels(row, separator).collect()] == ["a", "b|c", "d"]
+
+
 @pytest.mark.parametrize("n,sizes", [(1487, (594, 149, 744)), (1600, (640, 160, 800)),
                                      (1, (0, 0, 1)), (7, (2, 1, 4))])
 def test_split_sizes_are_exact(spark, n, sizes):
@@ -98,3 +114,11 @@ def test_modes_share_a_split_without_overlap(spark, mini):
     assert len(parts["train"] | parts["val"] | parts["test"]) == 50
     summary = {r.split: r for r in splits.split_summary(entities, 8).collect()}
     assert summary["train"].n_batches == 2 and summary["test"].n_batches == 3
+
+
+def test_order_is_the_same_for_any_number_of_pieces(spark):
+    sids = spark.range(3000).selectExpr("concat('g', id) AS sid")
+    orders = [{r.sid: r.rank for r in splits.seeded_order(sids, digits=d).collect()} for d in (1, 3, None)]
+    assert orders[0] == orders[1] == orders[2]
+    many = hashed_rank(sids, "sid", seed=splits.SPLIT_SEED, piece_rows=0.1)
+    assert {r.sid: r.rank for r in many.collect()} == orders[0]

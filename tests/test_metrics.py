@@ -195,15 +195,29 @@ def test_report_files(spark, golden, tmp_path):
     assert spark.read.parquet(table).count() == 2 * report.count()
     files.overwrite_report(report, table)
     assert spark.read.parquet(table).count() == report.count()
-    lines = [r.line for r in files.report_lines(report).collect()]
-    assert lines[0] == "example_subset_accuracy:   0.2500"
-    assert lines[13] == "label_accuracy_macro: "
-    assert "(label:2,lab_recall:     0.0000)" in lines and len(lines) == 13 + 4 * 5
+    values = {(r.metric, r.label_idx): f"{r.value:.4f}" for r in report.collect()}
+    padded = [f"{m + ':':<27}{values[m, None]}" for m in metrics.REPORT_METRICS[:-1]]
+    lists = [("label_accuracy", "label_accuracy_macro: ", "label_accuracy: "),
+             ("lab_precision", "label_precious_macro: ", "lab_precision:  "),
+             ("lab_recall", "label_recall_macro: ", "lab_recall:     "),
+             ("lab_f1", "label_f1_macro: ", "lab_f1:         ")]
+    full = ["-" * 44, *padded, "", f"label_f1_average: {values['label_f1_average', None]}"]
+    for name, title, word in lists:
+        full += [title, *(f"(label:{i},{word}{values[name, i]})" for i in range(4))]
+
+    def lines(layout):
+        return [r.line for r in files.report_lines(report, layout).orderBy("line_no").collect()]
+
+    assert lines("full") == full and full[1] == "example_subset_accuracy:   0.2500"
+    assert lines("brief") == padded[:13]
+    assert lines("score") == [f"{short}:{values[m, None]}" for short, m in (
+        ("auc", "sk_auc_macro"), ("f1_macro", "sk_f1_macro"), ("f1_micro", "sk_f1_micro"),
+        ("sensitivity", "lab_sensitivity"), ("specificity", "lab_specificity"))]
     text = str(tmp_path / "text")
-    files.write_report_text(report, text, metrics.REPORT_METRICS, append=True)
-    files.write_report_text(report, text, metrics.REPORT_METRICS, append=True)
+    files.write_report_text(report, text, append=True)
+    files.write_report_text(report, text, append=True)
     written = [r.value for r in spark.read.text(text).collect()]
-    assert written.count(files.RULE) == 2
+    assert written.count(files.RULE) == 2 and sorted(written) == sorted(full * 2)
     brief = {r.metric for r in evaluate.brief_report(golden).collect()}
     assert brief == set(metrics.BRIEF_METRICS)
     short = {r.metric: r.value for r in metrics.subset_metrics(

@@ -95,9 +95,9 @@ def _batch_events(spark, sf_dir):
 
     events = t.table(spark, sf_dir, "events")
     own = F.array(*[(F.col("event_type") == c).cast("int") for c in types])
-    scores = F.array(*[F.round(
+    scores = F.array(*[
         F.lit(0.3) * (F.col("event_type") == c).cast("int")
-        + F.lit(0.7) * hash_uniform("stream", F.col("event_id"), c), 4) for c in types])
+        + F.lit(0.7) * hash_uniform("stream", F.col("event_id"), c) for c in types])
     return scoring.with_predictions(events.select("event_id", own.alias("gt"), scores.alias("scores")))
 
 
@@ -105,13 +105,29 @@ def test_final_stream_state_equals_batch(spark, sf_dir):
     batch = _batch_events(spark, sf_dir)
     state = live.final_state(spark, live.confusion_state(t.stream_events(spark, sf_dir)))
     assert sorted(state.collect()) == sorted(metrics.confusion_counts(batch).collect())
-    values = {r.metric: r.value for r in live.final_state(
-        spark, live.score_state(t.stream_events(spark, sf_dir)), live.metrics_of_state).collect()}
-    report = {r.metric: r.value for r in evaluate.full_report(batch).where("label_idx IS NULL").collect()}
-    for name, value in values.items():
+    live_report, report = (
+        {(r.metric, r.label_idx): r.value for r in rows.collect()} for rows in (
+            live.final_state(spark, live.score_state(t.stream_events(spark, sf_dir)),
+                             live.metrics_of_state),
+            evaluate.full_report(batch)))
+    assert set(live_report) == set(report)
+    for name, value in live_report.items():
         assert value == pytest.approx(report[name], abs=1e-12), name
 
 
+def test_stream_keeps_close_scores_apart(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(0, [1], [0.50003]), (1, [0], [0.50001])], "example_id bigint, gt array<int>, scores array<double>")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = scoring.with_predictions(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+
+    def area(**rounding):
+        state = live.final_state(spark, live.score_state(stream, **rounding), live.metrics_of_state)
+        return {r.metric: r.value for r in state.collect()}["sk_auc_macro"]
+
+    assert area() == 1.0 and area(decimals=4) == 0.5
+
+
 def test_stream_continues_over_several_batches(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     schema = "example_id bigint, gt array<int>, scores array<double>"
