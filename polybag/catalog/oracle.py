@@ -189,6 +189,9 @@ annotation AS (SELECT sid, {hot('gt')} AS labels FROM gt GROUP BY sid)"""]
 ORACLE["bag_samples"] = with_(*mode_bags("test", 20, 4, "bag_id"), select="""
 SELECT batch_id, pos, bag_id, nslice, images AS imgs, labels
 FROM batched JOIN annotation USING (sid)""")
+ORACLE["val_samples"] = with_(*mode_bags("val", 20, 1, "bag_id"), select="""
+SELECT batch_id, pos, bag_id, nslice, images AS imgs, labels
+FROM batched JOIN annotation USING (sid)""")
 ORACLE["train_samples"] = with_(*mode_bags("train", 1, 8, SHUFFLED), select="""
 SELECT batch_id, pos, bag_id, images AS path, labels FROM batched JOIN annotation USING (sid)""")
 ORACLE["pad_bags"] = with_(*BAGS, batched("bags", 8), select="""
@@ -208,7 +211,7 @@ SELECT batch_id, pos, bag_id, nslice,
        coalesce(sum(nslice) OVER (PARTITION BY batch_id ORDER BY pos
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
 FROM batched""")
-BALANCE = "WITH RECURSIVE " + ", ".join([*BAGS, batched("bags", 8), """
+BALANCED = ["""
 totals AS (SELECT batch_id, sum(nslice)::BIGINT AS total, count(*) AS n_bags
            FROM batched GROUP BY batch_id)""", """
 reach AS (
@@ -230,14 +233,28 @@ back AS (
          k.remaining - CASE WHEN r.i IS NULL THEN 0 ELSE b.nslice END, r.i IS NOT NULL
   FROM back k JOIN batched b ON b.batch_id = k.batch_id AND b.pos = k.i - 1
   LEFT JOIN reach r ON r.batch_id = k.batch_id AND r.i = k.i - 1 AND r.picked = k.wanted - 1
-       AND r.v = k.remaining - b.nslice)"""])
-ORACLE["balanced_order"] = BALANCE + """
+       AND r.v = k.remaining - b.nslice)"""]
+BALANCE = "WITH RECURSIVE " + ", ".join([*BAGS, batched("bags", 8), *BALANCED])
+BALANCED_ORDER = """
 SELECT batch_id, place AS pos, bag_id, nslice, (place >= n // 2)::INTEGER AS half
 FROM (SELECT b.batch_id, b.bag_id, b.nslice, n,
              (row_number() OVER (PARTITION BY b.batch_id ORDER BY k.took DESC,
                 CASE WHEN k.took THEN -b.pos ELSE b.pos END) - 1)::INTEGER AS place
       FROM back k JOIN batched b ON b.batch_id = k.batch_id AND b.pos = k.i
       JOIN best ON best.batch_id = b.batch_id)"""
+ORACLE["balanced_order"] = BALANCE + BALANCED_ORDER
+ORACLE["collate_batches"] = "WITH RECURSIVE " + ", ".join([
+    *mode_bags("test", 20, 4, "bag_id"), *BALANCED, f"ordered AS ({BALANCED_ORDER})", """
+placed AS (
+  SELECT o.batch_id, o.bag_id, labels, sum(o.nslice) OVER (PARTITION BY o.batch_id ORDER BY o.pos)
+           - o.nslice AS start
+  FROM ordered o JOIN batched USING (batch_id, bag_id) JOIN annotation USING (sid))"""]) + f"""
+SELECT 'instance' AS part, batch_id, (start + instance_no)::BIGINT AS row_no, bag_id, path, labels
+FROM placed JOIN members USING (bag_id)
+UNION ALL
+SELECT 'instance', batch_id, unnest(range(total, 20 * n_bags)), NULL, NULL,
+       '{','.join(['0'] * q.TOP_K)}' FROM totals
+UNION ALL SELECT 'bag', batch_id, start::BIGINT, bag_id, NULL, labels FROM placed"""
 ORACLE["balance_batches"] = BALANCE + """
 SELECT batch_id, max(v) AS half_sum, any_value(total) AS total, any_value(n_bags) AS n_bags
 FROM reach JOIN totals USING (batch_id)
@@ -544,12 +561,12 @@ def between(name: str, low: float, high: float) -> str:
 
 
 LOG_RATIO = (math.log(3.0 / 4.0), math.log(4.0 / 3.0))
-ORACLE["view_plan"] = f"""
-WITH framed AS (
+FRAMED = """
+framed AS (
   SELECT image_id, view, floor(512 * 256 / 512)::INTEGER AS frame_h,
          floor(width * 256 / 512)::INTEGER AS frame_w
-  FROM (SELECT event_id AS image_id, (512 + user_id % 3 * 64)::INTEGER AS width,
-               unnest(['basic1', 'basic2', 'aux', 'eval']) AS view FROM events)),
+  FROM ({}))"""
+VIEW_PLAN = f"""
 boxed AS (
   SELECT *, CASE WHEN view = 'eval' THEN frame_w
                  ELSE greatest(least(floor(sqrt(area * ratio) + 0.5)::INTEGER, frame_w), 1) END
@@ -558,7 +575,8 @@ boxed AS (
               ELSE greatest(least(floor(sqrt(area / ratio) + 0.5)::INTEGER, frame_h), 1) END
               AS box_h
   FROM (SELECT *, {between('area', 0.2, 1.0)} * frame_h * frame_w AS area,
-               exp({between('ratio', *LOG_RATIO)}) AS ratio FROM framed))
+               exp({between('ratio', *LOG_RATIO)}) AS ratio FROM framed)),
+plans AS (
 SELECT image_id, view, frame_h, frame_w,
        floor({draw('x')} * (frame_w - box_w + 1))::INTEGER AS box_x,
        floor({draw('y')} * (frame_h - box_h + 1))::INTEGER AS box_y, box_w, box_h,
@@ -567,7 +585,10 @@ SELECT image_id, view, frame_h, frame_w,
        round(CASE WHEN view LIKE 'basic%' THEN {between('hue', -0.4, 0.4)} ELSE 0 END, 6) AS hue,
        (view LIKE 'basic%' AND {draw('gray')} < 0.2::DOUBLE)::INTEGER AS gray,
        (view <> 'eval' AND {draw('flip')} < 0.5::DOUBLE)::INTEGER AS flip
-FROM boxed"""
+FROM boxed)"""
+ORACLE["view_plan"] = with_(FRAMED.format("""
+SELECT event_id AS image_id, (512 + user_id % 3 * 64)::INTEGER AS width,
+       unnest(['basic1', 'basic2', 'aux', 'eval']) AS view FROM events"""), VIEW_PLAN, select="SELECT * FROM plans")
 
 RASTERS = """
 rasters AS (
@@ -577,6 +598,16 @@ rasters AS (
           floor((v::DOUBLE + 1) * 127.5::DOUBLE)::INTEGER) AS level FROM embeddings))"""
 
 
+ORACLE["scan_images"] = """
+SELECT label::VARCHAR AS sid, vec_id || '.bmp' AS name, 246::BIGINT AS length FROM embeddings"""
+ORACLE["decode_images"] = with_(RASTERS, select="""
+SELECT label::VARCHAR AS sid, vec_id || '.bmp' AS name, 8 AS height, 8 AS width,
+       array_to_string(pixels, ',') AS pixels
+FROM rasters JOIN embeddings ON vec_id = image_id""")
+ORACLE["undecodable_images"] = """
+SELECT n_regionkey::VARCHAR AS sid, 1::BIGINT AS n FROM nation GROUP BY n_regionkey"""
+
+
 def lumas(at: str) -> str:
     r, g, b = px.LUMA
     return (f"((pixels[{at} - {at} % 3 + 1] * {r} + pixels[{at} - {at} % 3 + 2] * {g} "
@@ -753,19 +784,26 @@ FROM numbered a JOIN numbered b
   ON b.r = floor({uniform(f"'{SEED}:' || a.image_id || ':pair'")} * a.n)::BIGINT""")
 
 
-def planned(view: str) -> str:
-    def d(name: str) -> str:
-        return uniform(f"'{SEED}:' || path || ':{view}:{name}'")
-    ops = "''" if view != "aux" else (
-        f"{NAMES}[floor({d('0:op')} * 18)::INTEGER + 1] || ';' || "
-        f"{NAMES}[floor({d('1:op')} * 18)::INTEGER + 1]")
-    return f"'{view}|' || ({d('flip')} < 0.5::DOUBLE)::INTEGER || '|' || {ops} AS img_{view}"
-
-
-ORACLE["pretrain_samples"] = with_(*mode_bags("train", 1, 32, SHUFFLED), select=f"""
-SELECT batch_id, pos, bag_id, path AS image_id, {', '.join(planned(v) for v in views.PRETRAIN_VIEWS)},
-       round({uniform(f"'{SEED}:' || path || ':basic1:area'")}, 9) AS basic1_area, labels AS label
-FROM (SELECT *, images AS path FROM batched) JOIN annotation USING (sid)""")
+def slot(i: int) -> str:
+    """(image_id, op, magnitude) of one slot of the auxiliary view."""
+    chosen = f"floor({uniform(f"'{SEED}:' || path || ':aux:{i}:op'")} * 18)::INTEGER + 1"
+    return f"""
+slot{i} AS (
+  SELECT path, {NAMES}[i] AS op{i}, round({MAGNITUDES}[i] * CASE WHEN {NAMES}[i] IN ({SIGNED})
+           AND {uniform(f"'{SEED}:' || path || ':aux:{i}:sign'")} > 0.5 THEN -1 ELSE 1 END, 6) AS magnitude{i}
+  FROM (SELECT path, {chosen} AS i FROM samples))"""
+
+
+ORACLE["pretrain_samples"] = with_(
+    *mode_bags("train", 1, 32, SHUFFLED), """
+samples AS (SELECT *, images AS path FROM batched JOIN annotation USING (sid))""", FRAMED.format("""
+SELECT path AS image_id, (512 + substr(sid, 2)::BIGINT % 3 * 64)::INTEGER AS width,
+       unnest(['basic1', 'basic2', 'aux']) AS view FROM samples"""), VIEW_PLAN, slot(0), slot(1), select="""
+SELECT batch_id, pos, bag_id, plans.*, labels AS label,
+       CASE WHEN view = 'aux' THEN op0 END AS op0, CASE WHEN view = 'aux' THEN op1 END AS op1,
+       CASE WHEN view = 'aux' THEN magnitude0 END AS magnitude0,
+       CASE WHEN view = 'aux' THEN magnitude1 END AS magnitude1
+FROM plans JOIN samples ON path = image_id JOIN slot0 USING (path) JOIN slot1 USING (path)""")
 
 # ---------------------------------------------------------------- runs
 
@@ -816,6 +854,6 @@ FROM steps GROUP BY run_id, epoch""")
 
 ORACLE["document_labels"] = """
 SELECT doc_id AS sid, (quality + toxic)::INTEGER AS n,
-       CASE WHEN quality = 1 AND toxic = 1 THEN 'quality;toxic'
-            WHEN quality = 1 THEN 'quality' ELSE 'toxic' END AS label
-FROM labels WHERE quality + toxic > 0"""
+       CASE WHEN quality = 1 AND toxic = 1 THEN 'quality;toxic' WHEN quality = 1 THEN 'quality'
+            WHEN toxic = 1 THEN 'toxic' ELSE '' END AS label, quality || ',' || toxic AS gt
+FROM labels"""

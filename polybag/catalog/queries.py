@@ -16,9 +16,10 @@ from polybag.functions import dot, join_numbers, l2_normalize, label_codes
 from polybag.operators import (
     auc, bags, batches, labels as lab, losses, metrics, runs, scoring, splits, views,
 )
-from polybag.operators.skew import find_heavy
+from polybag.operators.skew import find_heavy, spread_join
 from polybag.plans import datasets, evaluate, probe
 from polybag.session import saved, scratch_path
+from polybag.sources import images as image_files
 from polybag.sources import labels as label_files
 from polybag.sources import runs as run_files
 from polybag.streaming import evaluation as live
@@ -173,6 +174,28 @@ def bag_samples(spark, d):
                           join_numbers("gt").alias("labels"))
 
 
+@query
+def val_samples(spark, d):
+    entities, _ = datasets.entity_table(saved(t.user_labels(spark, d), "labels"), TOP_K)
+    samples = datasets.bag_samples(entities, t.event_images(spark, d), "val")
+    return samples.select("batch_id", "pos", "bag_id", "nslice", _text("images").alias("imgs"),
+                          join_numbers("gt").alias("labels"))
+
+
+@query
+def collate_batches(spark, d):
+    """Packed instances of both forms: annotated each, or by their bags."""
+    entities, _ = datasets.entity_table(saved(t.user_labels(spark, d), "labels"), TOP_K)
+    batched = saved(datasets.bag_samples(
+        entities, t.event_images(spark, d), "test", batch_size=4), "samples")
+    instances, bagged = batches.collate(batched, 20)
+    return instances.select(
+        F.lit("instance").alias("part"), "batch_id", "row_no", "bag_id", "path",
+        join_numbers("gt").alias("labels")).unionByName(bagged.select(
+            F.lit("bag").alias("part"), "batch_id", F.col("offset").cast("bigint").alias("row_no"), "bag_id",
+            F.lit(None).cast("string").alias("path"), join_numbers("gt").alias("labels")))
+
+
 @query
 def train_samples(spark, d):
     entities, _ = datasets.entity_table(saved(t.user_labels(spark, d), "labels"), TOP_K)
@@ -234,8 +257,10 @@ def _bag_evaluation(spark, d) -> DataFrame:
     entities, vocabulary = datasets.entity_table(
         saved(t.user_labels(spark, d), "labels"), t.EVENT_CLASSES)
     members, chosen, heavy = datasets.mode_members(entities, t.event_images(spark, d), "test")
-    scored = t.event_scores(spark, d, vocabulary).select("path", "scores")
-    instances = members.select("bag_id", "sid", "path").join(scored, "path")
+    # Scores of other splits' entities are dropped before their arrays are shuffled by path.
+    scored = spread_join(t.event_scores(spark, d, vocabulary).select("sid", "path", "scores"),
+                         chosen.select("sid"), "sid", "path", heavy=heavy)
+    instances = members.select("bag_id", "sid", "path").join(scored.select("path", "scores"), "path")
     return saved(evaluate.evaluated_bags(
         instances, chosen, t.EVENT_CLASSES, POOL_DECIMALS, heavy), "evaluated")
 
@@ -406,6 +431,46 @@ def contrastive_loss(spark, d):
     return _rounded(losses.contrastive_loss(_similarities(spark, d)), "batch_id")
 
 
+# ---------------------------------------------------------------- image files
+
+def _image_files(spark, d) -> str:
+    """Vectors as bitmaps, a folder per label, and the text of each nation's name as a bad file."""
+    root = scratch_path(spark, "images")
+    good = t.rasters(spark, d).join(
+        t.vectors(spark, d).select(F.col("vec_id").alias("image_id"), "label"), "image_id").select(
+        F.col("label").cast("string").alias("sid"),
+        F.concat(F.col("image_id").cast("string"), F.lit(".bmp")).alias("name"),
+        "height", "width", "pixels")
+    image_files.write_bitmaps(views.with_bytes(good), root)
+    t.table(spark, d, "nation").select(
+        F.col("n_regionkey").alias("sid"), F.col("n_name").alias("value")).repartition(1).write.partitionBy(
+        "sid").option("compression", "none").mode("append").text(f"{root}/bad")
+    return root
+
+
+def _name() -> Column:
+    return F.element_at(F.split("path", "/"), -1)
+
+
+@query
+def scan_images(spark, d):
+    listed = image_files.scan_images(spark, _image_files(spark, d), "*.bmp")
+    return listed.select("sid", _name().alias("name"), "length")
+
+
+@query
+def decode_images(spark, d):
+    decoded = image_files.decode_images(spark, _image_files(spark, d), "*.bmp")
+    return views.with_levels(decoded).select(
+        "sid", _name().alias("name"), "height", "width", join_numbers("pixels").alias("pixels"))
+
+
+@query
+def undecodable_images(spark, d):
+    return image_files.undecodable_images(spark, _image_files(spark, d), "*.{bmp,txt}").groupBy(
+        F.element_at(F.split("sid", "="), -1).alias("sid")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- views
 
 def _event_catalogue(spark, d) -> DataFrame:
@@ -433,13 +498,15 @@ def view_plan(spark, d):
 @query
 def augment_views(spark, d):
     done = views.augment_views(t.rasters(spark, d), ("aux",))
-    return done.select("image_id", "view", join_numbers("pixels").alias("pixels"))
+    return views.with_levels(done).select(
+        "image_id", "view", join_numbers("pixels").alias("pixels"))
 
 
 @query
 def augment_once(spark, d):
     done = views.augment_views(t.rasters(spark, d), ("aux",), n=1)
-    return done.select("image_id", "view", join_numbers("pixels").alias("pixels"))
+    return views.with_levels(done).select(
+        "image_id", "view", join_numbers("pixels").alias("pixels"))
 
 
 @query
@@ -471,8 +538,8 @@ MOVES = [("ShearX", 0.25), ("ShearY", 0.25), ("TranslateXabs", 3.0), ("Translate
 
 def _kernels(spark, d, chosen) -> DataFrame:
     done = views.apply_kernels(t.rasters(spark, d), chosen)
-    return done.select("image_id", F.col("view").alias("op"),
-                       join_numbers("pixels").alias("pixels"))
+    return views.with_levels(done).select(
+        "image_id", F.col("view").alias("op"), join_numbers("pixels").alias("pixels"))
 
 
 @query
@@ -510,17 +577,24 @@ def channel_means(spark, d):
 
 @query
 def pretrain_samples(spark, d):
+    """One row per sample and view, with every planned choice."""
     entities, _ = datasets.entity_table(saved(t.user_labels(spark, d), "labels"), TOP_K)
-    rows = datasets.pretrain_samples(entities, t.event_images(spark, d))
-
-    def shown(view: str) -> Column:
-        col = F.col(f"img_{view}")
-        return F.concat_ws("|", col["view"], col["flip"].cast("string"), _text(col["ops"]))
-
-    return rows.select(
-        "batch_id", "pos", "bag_id", "image_id",
-        *[shown(v).alias(f"img_{v}") for v in views.PRETRAIN_VIEWS],
-        F.round("img_basic1.area", 9).alias("basic1_area"),
+    images = t.event_images(spark, d).withColumns({
+        "height": F.lit(512),
+        "width": (F.lit(512) + F.substring("sid", 2, 20).cast("bigint") % 3 * 64).cast("int")})
+    rows = datasets.pretrain_samples(entities, images)
+    each = F.explode(F.array(*[f"img_{v}" for v in views.PRETRAIN_VIEWS]))
+    plain = ["frame_h", "frame_w", "box_x", "box_y", "box_w", "box_h", "gray", "flip"]
+    drawn = ["brightness", "contrast", "saturation", "hue"]
+
+    def slot(i: int, field: str) -> Column:
+        return F.get("_v.ops", F.lit(i))[field]
+
+    return rows.select("batch_id", "pos", "bag_id", "image_id", "label", each.alias("_v")).select(
+        "batch_id", "pos", "bag_id", "image_id", "_v.view", *[f"_v.{c}" for c in plain],
+        *[F.round(f"_v.{c}", 6).alias(c) for c in drawn],
+        *[slot(i, "op").alias(f"op{i}") for i in range(views.SLOTS)],
+        *[F.round(slot(i, "magnitude"), 6).alias(f"magnitude{i}") for i in range(views.SLOTS)],
         join_numbers("label").alias("label"))
 
 
@@ -627,9 +701,12 @@ def linear_probe(spark, d):
 
 @query
 def document_labels(spark, d):
-    """Documents' labels as a two-class annotation, through the same text form."""
+    """Documents' flags as a two-class annotation, through the same text form; none is empty."""
     text = F.concat_ws(";", F.when(F.col("quality") == 1, "quality"),
                        F.when(F.col("toxic") == 1, "toxic"))
-    rows = t.table(spark, d, "labels").where("quality + toxic > 0").select(
+    classes = ["quality", "toxic"]
+    rows = t.table(spark, d, "labels").select(
         F.col("doc_id").alias("sid"), text.alias("label"), F.col("doc_id").alias("ord"))
-    return rows.select("sid", F.size(label_codes("label")).alias("n"), "label")
+    codes = F.filter(label_codes("label"), lambda c: c.isin(classes))
+    encoded = lab.encode_labels(rows.withColumn("codes", codes), classes)
+    return encoded.select("sid", F.size("codes").alias("n"), "label", join_numbers("gt").alias("gt"))

@@ -111,3 +111,29 @@ def balance_batches(batched: DataFrame, key: str = "bag_id") -> DataFrame:
         F.col("_e._sizes").alias("nslice"),
         (F.col("pos") >= F.expr("_n div 2")).cast("int").alias("half"),
     )
+
+
+def collate(batched: DataFrame, max_bag: int, per_instance: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(instances, bags) of each batch as a model takes them.
+
+    ``batched`` has (batch_id, pos, bag_id, images, nslice, gt).  Bags are reordered to balanced
+    halves and their true instances packed in front: ``row_no`` runs from 0 to
+    ``max_bag * bags - 1``, and rows beyond the last instance have no path and a zero annotation.
+    ``per_instance`` repeats a bag's annotation on its instances, as training wants it; else only
+    ``bags`` (batch_id, pos, bag_id, nslice, offset, gt) carries it, which evaluation regroups by.
+    """
+    rows = batched.select("batch_id", "bag_id", "images", "gt")
+    bags = segment_offsets(balance_batches(batched)).join(rows, ["batch_id", "bag_id"])
+    packed = bags.select("batch_id", "offset", "bag_id", "gt", F.posexplode("images").alias("at", "path"))
+    zeros = F.transform(F.first("gt"), lambda _: F.lit(0))
+    sizes = bags.groupBy("batch_id").agg(
+        F.sum("nslice").cast("bigint").alias("used"),
+        (F.count(F.lit(1)) * max_bag).alias("rows"), zeros.alias("gt"))
+    empty = F.when(F.col("used") < F.col("rows"), F.sequence(F.col("used"), F.col("rows") - 1))
+    tail = sizes.select("batch_id", F.explode(empty).alias("row_no"), F.lit(None).cast("string").alias("bag_id"),
+                        F.lit(None).cast("string").alias("path"), "gt")
+    instances = packed.select(
+        "batch_id", (F.col("offset") + F.col("at")).cast("bigint").alias("row_no"), "bag_id", "path", "gt"
+    ).unionByName(tail)
+    return (instances if per_instance else instances.drop("gt"),
+            bags.select("batch_id", "pos", "bag_id", "nslice", "offset", "gt"))

@@ -14,13 +14,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from polybag.functions import hash_uniform, pixels as px
 from polybag.operators.skew import hashed_rank
-from polybag.session import map_arrow
+from polybag.session import map_arrow, ship_package
 
 VIEW_SEED = 286501567
 SLOTS = 2
@@ -217,8 +219,11 @@ def _sizes(batch: pa.RecordBatch) -> Iterable[tuple[int, int, np.ndarray]]:
         yield int(h), int(w), np.nonzero((size == (h, w)).all(axis=1))[0]
 
 
-def _list_array(values: np.ndarray) -> pa.ListArray:
+def _cells(values: np.ndarray) -> pa.Array:
+    """One entry per image: bytes for pixels, a list for tensors."""
     flat = values.reshape(len(values), -1)
+    if flat.dtype == np.uint8:
+        return pa.array([row.tobytes() for row in flat], type=pa.binary())
     offsets = np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)
     return pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))
 
@@ -237,7 +242,7 @@ def _emit(batch: pa.RecordBatch, rows: np.ndarray, key: str, view: str,
           values: np.ndarray) -> pa.RecordBatch:
     ids = _column(batch, key).take(pa.array(rows))
     return pa.RecordBatch.from_arrays(
-        [ids, pa.repeat(pa.scalar(view), len(rows)), _list_array(values)],
+        [ids, pa.repeat(pa.scalar(view), len(rows)), _cells(values)],
         names=[key, "view", "values"])
 
 
@@ -254,12 +259,12 @@ def _apply_plans(images: DataFrame, plans: dict[str, Column], key: str) -> DataF
                     planned = _column(batch, f"ops{i}").take(pa.array(rows))
                     for slot in _operations(planned, len(rows)):
                         out = _apply(out, *slot)
-                    yield _emit(batch, rows, key, view, out.astype(np.int32))
+                    yield _emit(batch, rows, key, view, out.astype(np.uint8))
 
     kind = images.schema[key].dataType.simpleString()
     planned = images.select(key, "height", "width", "pixels", *[
         c.alias(f"ops{i}") for i, c in enumerate(plans.values())])
-    return map_arrow(planned, run, f"`{key}` {kind}, view string, `values` array<int>"
+    return map_arrow(planned, run, f"`{key}` {kind}, view string, `values` binary"
                      ).withColumnRenamed("values", "pixels")
 
 
@@ -343,23 +348,59 @@ def render_views(images: DataFrame, views: Sequence[str] = PRETRAIN_VIEWS,
                     ops = _column(batch, f"ops_{view}").take(at) if view in augmented else None
                     out = _render(stack, view, _column(batch, f"plan_{view}").take(at), ops, size)
                     yield _emit(batch, rows, key, view,
-                                px.to_tensor(out) if tensor else out.astype(np.int32))
+                                px.to_tensor(out) if tensor else out.astype(np.uint8))
 
-    kind, cell = images.schema[key].dataType.simpleString(), "float" if tensor else "int"
+    kind = images.schema[key].dataType.simpleString()
+    cells = "array<float>" if tensor else "binary"
     chosen = with_choices(images.select(key, "height", "width", "pixels"), views, key, seed)
     planned = chosen.select(
         "*", *[planned_operations(v, key, seed=seed).alias(f"ops_{v}") for v in augmented])
-    return map_arrow(planned, run, f"`{key}` {kind}, view string, `values` array<{cell}>"
+    return map_arrow(planned, run, f"`{key}` {kind}, view string, `values` {cells}"
                      ).withColumnRenamed("values", "payload")
 
 
 # ---------------------------------------------------------------- whole-image statistics
 
+def _to_levels(pixels: pd.Series) -> pd.Series:
+    return pixels.map(lambda p: None if p is None else np.frombuffer(p, dtype=np.uint8).astype(np.int32))
+
+
+_to_levels.__annotations__ = {"pixels": pd.Series, "return": pd.Series}
+
+
+def levels(images: DataFrame, pixels: str = "pixels") -> Column:
+    """The levels of an image as ARRAY<INT>, from either form of pixels."""
+    if isinstance(images.schema[pixels].dataType, BinaryType):
+        return F.pandas_udf(_to_levels, "array<int>")(F.col(pixels))
+    return F.col(pixels)
+
+
+def with_levels(images: DataFrame, pixels: str = "pixels") -> DataFrame:
+    """Images with ``pixels`` as ARRAY<INT>, whichever form they came in."""
+    ship_package(images.sparkSession)
+    return images.withColumn(pixels, levels(images, pixels))
+
+
+def _to_bytes(pixels: pd.Series) -> pd.Series:
+    return pixels.map(lambda p: None if p is None else np.asarray(p, dtype=np.uint8).tobytes())
+
+
+_to_bytes.__annotations__ = {"pixels": pd.Series, "return": pd.Series}
+
+
+def with_bytes(images: DataFrame, pixels: str = "pixels") -> DataFrame:
+    """Images with ``pixels`` as BINARY, whichever form they came in."""
+    if isinstance(images.schema[pixels].dataType, BinaryType):
+        return images
+    ship_package(images.sparkSession)
+    return images.withColumn(pixels, F.pandas_udf(_to_bytes, "binary")(F.col(pixels)))
+
+
 def normalize_pixels(images: DataFrame, out: str = "tensor") -> DataFrame:
-    """Scaled and normalised pixels, interleaved order kept, without leaving the JVM."""
+    """Scaled and normalised pixels, interleaved order kept; array pixels don't leave the JVM."""
     mean = F.array(*[F.lit(v) for v in px.CHANNEL_MEAN])
     std = F.array(*[F.lit(v) for v in px.CHANNEL_STD])
-    return images.withColumn(out, F.transform(
+    return with_levels(images).withColumn(out, F.transform(
         "pixels", lambda v, i: (v / F.lit(255.0) - mean[i % 3]) / std[i % 3]))
 
 
@@ -372,7 +413,7 @@ def channel_means(images: DataFrame, key: str = "image_id", channels: int = 3) -
 
     entries = F.array(*[
         F.struct(F.lit(c).alias("channel"), mean(c).alias("mean")) for c in range(channels)])
-    return images.select(key, F.explode(entries).alias("_m")).select(
+    return with_levels(images.select(key, "pixels")).select(key, F.explode(entries).alias("_m")).select(
         key, "_m.channel", "_m.mean")
 
 
@@ -380,14 +421,17 @@ def sample_pairing(images: DataFrame, v: float, key: str = "image_id",
                    seed: int = VIEW_SEED) -> DataFrame:
     """Blend each image with a partner drawn from all images: ``a + v (b - a)``, cut to whole.
 
-    Images are numbered in hash order; a draw picks the partner's number, and one equi-join
-    fetches its pixels.  Draws are spread evenly, so no partner is hot.
+    Ids alone are numbered in hash order and paired by a draw of the partner's number; then one
+    equi-join each fetches the two images' pixels.  Draws are spread evenly, so no partner is hot.
     """
-    numbered = hashed_rank(images.select(key, "pixels"), key, rank="_r", total="_n", seed=seed)
+    numbered = hashed_rank(images.select(key), key, rank="_r", total="_n", seed=seed)
     drawn = numbered.withColumn(
         "_partner", F.floor(hash_uniform(seed, F.col(key), "pair") * F.col("_n")))
-    partner = numbered.select(F.col("_r").alias("_partner"), F.col(key).alias("partner_id"),
-                              F.col("pixels").alias("_other"))
+    pairs = drawn.join(numbered.select(
+        F.col("_r").alias("_partner"), F.col(key).alias("partner_id")), "_partner").select(key, "partner_id")
+    pixels = with_levels(images.select(key, "pixels"))
+    other = pixels.select(F.col(key).alias("partner_id"), F.col("pixels").alias("_other"))
     mixed = F.zip_with("pixels", "_other",
                        lambda a, b: (a + F.lit(float(v)) * (b - a)).cast("int"))
-    return drawn.join(partner, "_partner").select(key, "partner_id", mixed.alias("pixels"))
+    return pairs.join(other, "partner_id").join(pixels, key).select(
+        key, "partner_id", mixed.alias("pixels"))

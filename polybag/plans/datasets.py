@@ -60,49 +60,42 @@ def bag_samples(entities: DataFrame, images: DataFrame, mode: str,
     """Batched samples: (batch_id, pos, bag_id, images, nslice, gt)."""
     settings = MODES[mode]
     table = saved(labelled_bags(entities, images, mode, max_bag), "bags")
-    return batches.assign_batches(
-        table, batch_size or settings["batch_size"], order or settings["order"])
+    # Ids alone are ordered; the image lists are written once and meet them by id.
+    ranked = batches.assign_batches(
+        table.select("bag_id"), batch_size or settings["batch_size"], order or settings["order"])
+    return ranked.join(table, "bag_id").select(
+        "batch_id", "pos", "bag_id", "images", "nslice", "gt")
+
+
+def collated_samples(entities: DataFrame, images: DataFrame, mode: str, max_bag: int | None = None,
+                     batch_size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(instances, bags) of a mode's batches; training repeats the annotation per instance."""
+    batched = saved(bag_samples(entities, images, mode, max_bag, batch_size), "samples")
+    return batches.collate(batched, max_bag or MODES[mode]["max_bag"], mode == "train")
 
 
 def pretrain_samples(entities: DataFrame, images: DataFrame,
                      batch_size: int | None = None) -> DataFrame:
     """One row per image of the train split with the plans of its three views.
 
-    Columns ``img_basic1, img_basic2, img_aux`` are structs of the planned choices (``ops``
-    only for the auxiliary view) and ``label`` is the annotation.  Pixels join later, by path,
-    and :func:`polybag.operators.views.render_views` draws the same plan.
+    ``images`` also has ``height`` and ``width``.  Columns ``img_basic1, img_basic2, img_aux`` are
+    structs of every choice of the view: box, jitter, grey and flip flags, and for the auxiliary
+    view ``ops`` with operation, signed magnitude and draws; ``label`` is the annotation.  They are
+    what :func:`polybag.operators.views.render_views` draws for an image with this path as its key.
     """
     # Bags of one image: bag and image coincide, so no list has to be packed and unpacked.
     members, chosen, heavy = mode_members(entities, images, "pretrain")
     table = saved(bags.label_bags(members, chosen, heavy=heavy), "samples")
     batched = batches.assign_batches(
         table, batch_size or MODES["pretrain"]["batch_size"], "shuffled")
-    return batched.select(
-        "batch_id", "pos", "bag_id", F.col("path").alias("image_id"),
-        F.col("gt").alias("label"),
-        *[_planned(v).alias(f"img_{v}") for v in views.PRETRAIN_VIEWS])
-
-
-def _planned(view: str):
-    key = F.col("path")
-    seed = views.VIEW_SEED
-
-    def draw(*parts):
-        return views.hash_uniform(seed, key, view, *parts)
-
-    ops = []
-    if "augment" in views.RECIPES[view]:
-        names = F.array(*[F.lit(name) for name, _, _ in views.AUGMENTATIONS])
-        ops = [
-            F.element_at(
-                names, F.floor(draw(slot, "op") * len(views.AUGMENTATIONS)).cast("int") + 1)
-            for slot in range(views.SLOTS)]
-    return F.struct(
-        F.lit(view).alias("view"),
-        draw("area").alias("area"),
-        draw("ratio").alias("ratio"),
-        draw("x").alias("x"),
-        draw("y").alias("y"),
-        (draw("flip") < views.FLIP_CHANCE).cast("int").alias("flip"),
-        F.array(*ops).cast("array<string>").alias("ops"),
-    )
+    sized = batched.join(images.select("path", "height", "width").dropDuplicates(["path"]), "path")
+    planned = views.with_choices(sized, views.PRETRAIN_VIEWS, "path")
+
+    def whole(view: str):
+        augmented = "augment" in views.RECIPES[view]
+        ops = views.planned_operations(view, "path")
+        return F.struct(f"plan_{view}.*", (ops if augmented else F.slice(ops, 1, 0)).alias("ops"))
+
+    return planned.select(
+        "batch_id", "pos", "bag_id", F.col("path").alias("image_id"), F.col("gt").alias("label"),
+        *[whole(v).alias(f"img_{v}") for v in views.PRETRAIN_VIEWS])

@@ -24,25 +24,69 @@ def scan_images(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataF
     return files.select(_entity("path").alias("sid"), "path", "length")
 
 
-def decode_images(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataFrame:
-    """(sid, path, height, width, pixels) with interleaved RGB bytes; bad files are dropped.
-
-    Spark's image source delivers blue first, and one channel for grey or four with alpha.
-    """
-    images = (
+def _images(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    return (
         spark.read.format("image")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .option("dropInvalid", "true")
         .load(root)
         .select("image.*")
     )
-    raw = images.select(
+
+
+def decode_images(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataFrame:
+    """(sid, path, height, width, pixels) with interleaved RGB bytes.
+
+    Spark's image source delivers blue first, and one channel for grey or four with alpha.
+    Files that it can't decode are left out here and named by :func:`undecodable_images`.
+    """
+    raw = _images(spark, root, pattern).where("height > 0").select(
         _entity("origin").alias("sid"), F.col("origin").alias("path"),
         "height", "width", "nChannels", "data")
     return map_arrow(raw, _to_rgb, "sid string, path string, height int, width int, pixels binary")
 
 
+def undecodable_images(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataFrame:
+    """(sid, path) of the files that are no images: an empty table before a run is trusted."""
+    return _images(spark, root, pattern).where("height <= 0").select(
+        _entity("origin").alias("sid"), F.col("origin").alias("path"))
+
+
+def write_bitmaps(images: DataFrame, root: str) -> None:
+    """Write (sid, name, height, width, pixels) rows as ``root/sid/name`` bitmaps.
+
+    Each executor writes the files of its rows, to any store that ``root`` names.
+    """
+    list(map_arrow(images.select("sid", "name", "height", "width", "pixels"), _bitmap_writer(root),
+                   "written bigint").agg(F.sum("written")).collect())
+
+
+def _bitmap_writer(root: str):
+    def run(batches):
+        import struct
+
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, w = row["height"], row["width"]
+                rgb = np.frombuffer(row["pixels"], dtype=np.uint8).reshape(h, w, 3)
+                line = np.zeros((h, -(-w * 3 // 4) * 4), dtype=np.uint8)
+                # Bottom line first, blue first, lines filled up to four bytes.
+                line[:, :w * 3] = rgb[::-1, :, ::-1].reshape(h, w * 3)
+                head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + line.size, 0, 0, 54,
+                                   40, w, h, 1, 24, 0, line.size, 0, 0, 0, 0)
+                store.create_dir(f"{base}/{row['sid']}", recursive=True)
+                with store.open_output_stream(f"{base}/{row['sid']}/{row['name']}") as out:
+                    out.write(head + line.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["written"])
+
+    return run
+
+
 def _to_rgb(batches):
     import numpy as np
     import pyarrow as pa

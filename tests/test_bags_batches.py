@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from polybag.operators import bags, batches
+from polybag.operators import bags, batches, views
 from polybag.operators.skew import find_heavy, rank_within, sorted_rank, spread_join
 from polybag.plans import datasets
 
@@ -175,8 +175,33 @@ def test_dataset_modes(spark, images):
     train = datasets.bag_samples(entities, images, "train", batch_size=1)
     n_train = sum(n for s, n in SIZES.items() if by_split[s] == "train")
     assert train.count() == n_train
-    rows = datasets.pretrain_samples(entities, images, batch_size=1).collect()
+    sized = images.selectExpr("*", "300 AS height", "400 AS width")
+    rows = datasets.pretrain_samples(entities, sized, batch_size=1).collect()
     assert len(rows) == n_train
     assert all(len(r.img_aux.ops) == 2 and not r.img_basic1.ops for r in rows)
+    # The plan of the sample is the plan of the image.
+    planned = {(r.path, r.view): r for r in views.view_plan(sized, key="path").collect()}
+    for r in rows:
+        for view in views.PRETRAIN_VIEWS:
+            plan, whole = r[f"img_{view}"], planned[r.image_id, view]
+            assert all(plan[f] == whole[f] for f in whole.asDict() if f != "path")
     heavy = datasets.labelled_bags(entities, images, "test", heavy_rows=15)
     assert sorted(r.bag_id for r in heavy.collect()) == sorted(r.bag_id for r in table.collect())
+
+
+def test_collated_batches(spark):
+    table = spark.createDataFrame(
+        [(7, 0, "a", ["a0", "a1", "a2"], 3, [1, 0]), (7, 1, "b", ["b0"], 1, [0, 1]),
+         (8, 0, "c", ["c0", "c1", "c2", "c3"], 4, [1, 1])],
+        "batch_id bigint, pos int, bag_id string, images array<string>, nslice int, gt array<int>")
+    instances, bag_rows = batches.collate(table, 4)
+    # Halves of batch 7: b within the limit of 2, then a.
+    want = [(7, 0, "b", "b0", [0, 1]), (7, 1, "a", "a0", [1, 0]), (7, 2, "a", "a1", [1, 0]),
+            (7, 3, "a", "a2", [1, 0])]
+    want += [(7, i, None, None, [0, 0]) for i in range(4, 8)]
+    want += [(8, i, "c", f"c{i}", [1, 1]) for i in range(4)]
+    assert [tuple(r) for r in instances.orderBy("batch_id", "row_no").collect()] == want
+    assert [tuple(r) for r in bag_rows.orderBy("batch_id", "pos").collect()] == [
+        (7, 0, "b", 1, 0, [0, 1]), (7, 1, "a", 3, 1, [1, 0]), (8, 0, "c", 4, 0, [1, 1])]
+    plain, _ = batches.collate(table, 4, per_instance=False)
+    assert plain.columns == ["batch_id", "row_no", "bag_id", "path"] and plain.count() == 12
