@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags; scripts, styles and comments are no text.  A block
 has its words, the share of them that stands in links, and the same of the block before and after;
-beyond the layout, it knows whether it lies in a part that is marked as an article, in one that is
+beside these, it knows whether it lies in a part that is marked as an article, in one that is
 marked as something else (menu, header, footer, sidebar, form, advert, notice, comments), and
 whether the page has a marked article at all.  A decision tree fitted on ``LABELLED``, a small
 labelled table, tells main text from the rest.  The tree is fitted once per query by Spark ML and
@@ -33,39 +33,29 @@ from polybag.session import ship_package
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after",
             "aside", "inside", "marked")
-# (the features above, main text?).  Blocks as they occur on news, blog, shop and forum pages.
-LABELLED = (
-    # Marked article: what is inside and not set aside is text, however short.
-    (60, 0.00, 45, 0.00, 52, 0.00, 0, 1, 1, 1), (1, 0.00, 40, 0.00, 33, 0.00, 0, 1, 1, 1),
-    (8, 0.00, 7, 0.00, 60, 0.00, 0, 1, 1, 1), (22, 0.18, 30, 0.00, 5, 0.00, 0, 1, 1, 1),
-    (4, 1.00, 51, 0.05, 64, 0.00, 0, 1, 1, 1), (12, 0.50, 2, 0.00, 3, 0.00, 0, 1, 1, 1),
-    (150, 0.02, 9, 0.00, 0, 0.00, 0, 1, 1, 1), (2, 0.00, 1, 0.00, 1, 0.00, 0, 1, 1, 1),
-    (35, 0.00, 0, 0.00, 41, 0.10, 0, 1, 1, 1), (6, 0.00, 90, 0.00, 4, 1.00, 0, 1, 1, 1),
-    (18, 0.00, 3, 1.00, 25, 0.00, 0, 1, 1, 1), (3, 1.00, 4, 1.00, 80, 0.00, 0, 1, 1, 1),
-    # Set aside: never, be it long, and be it within the article.
-    (48, 0.00, 60, 0.00, 44, 0.00, 1, 1, 1, 0), (7, 0.00, 1, 1.00, 8, 0.00, 1, 0, 1, 0),
-    (1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 1, 0), (30, 0.10, 25, 0.00, 0, 0.00, 1, 0, 1, 0),
-    (9, 0.00, 70, 0.00, 0, 0.00, 1, 0, 1, 0), (85, 0.00, 62, 0.00, 40, 0.00, 1, 0, 1, 0),
-    (5, 0.40, 3, 1.00, 12, 0.00, 1, 1, 1, 0), (55, 0.00, 12, 0.00, 66, 0.00, 1, 1, 1, 0),
-    (40, 0.00, 35, 0.00, 50, 0.00, 1, 0, 0, 0), (3, 1.00, 3, 1.00, 40, 0.00, 1, 0, 0, 0),
-    (12, 0.10, 80, 0.00, 0, 0.00, 1, 0, 0, 0), (70, 0.00, 6, 0.00, 8, 0.30, 1, 0, 0, 0),
-    # Beside a marked article: not text.
-    (7, 0.00, 1, 1.00, 11, 0.00, 0, 0, 1, 0), (33, 0.00, 70, 0.00, 3, 1.00, 0, 0, 1, 0),
-    (2, 1.00, 2, 1.00, 2, 1.00, 0, 0, 1, 0), (64, 0.03, 50, 0.00, 0, 0.00, 0, 0, 1, 0),
-    (16, 0.50, 90, 0.00, 20, 0.40, 0, 0, 1, 0), (28, 0.00, 14, 0.00, 31, 0.00, 0, 0, 1, 0),
-    # No marked article: words and links of a block and of its neighbours decide.
-    (45, 0.00, 38, 0.00, 52, 0.00, 0, 0, 0, 1), (80, 0.05, 6, 0.00, 47, 0.00, 0, 0, 0, 1),
-    (25, 0.10, 60, 0.00, 4, 1.00, 0, 0, 0, 1), (5, 0.00, 55, 0.00, 48, 0.00, 0, 0, 0, 1),
-    (7, 0.00, 3, 1.00, 64, 0.00, 0, 0, 0, 1), (9, 0.00, 41, 0.00, 28, 0.00, 0, 0, 0, 1),
-    (19, 0.00, 22, 0.10, 35, 0.00, 0, 0, 0, 1), (3, 0.00, 30, 0.00, 26, 0.00, 0, 0, 0, 1),
-    (31, 0.25, 44, 0.00, 39, 0.00, 0, 0, 0, 1), (58, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 1),
-    (2, 1.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0), (3, 1.00, 50, 0.00, 2, 1.00, 0, 0, 0, 0),
-    (12, 0.80, 4, 1.00, 10, 0.90, 0, 0, 0, 0), (6, 0.50, 2, 1.00, 5, 0.60, 0, 0, 0, 0),
-    (4, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0), (8, 0.00, 3, 1.00, 4, 0.00, 0, 0, 0, 0),
-    (5, 0.00, 40, 0.00, 2, 1.00, 0, 0, 0, 0), (4, 0.00, 0, 0.00, 3, 1.00, 0, 0, 0, 0),
-    (1, 0.00, 3, 0.00, 2, 0.00, 0, 0, 0, 0), (30, 0.70, 5, 1.00, 22, 0.60, 0, 0, 0, 0),
-    (6, 0.00, 5, 0.00, 0, 0.00, 0, 0, 0, 0), (2, 1.00, 60, 0.00, 55, 0.00, 0, 0, 0, 0),
+# Blocks as they occur on news, blog, shop and forum pages: the first six features, and whether
+# the block is main text on a page without any marks.
+SHAPES = (
+    (60, 0.00, 45, 0.00, 52, 0.00, 1), (80, 0.05, 6, 0.00, 47, 0.00, 1),
+    (25, 0.10, 60, 0.00, 4, 1.00, 1), (5, 0.00, 55, 0.00, 48, 0.00, 1),
+    (7, 0.00, 3, 1.00, 64, 0.00, 1), (9, 0.00, 41, 0.00, 28, 0.00, 1),
+    (19, 0.00, 22, 0.10, 35, 0.00, 1), (3, 0.00, 30, 0.00, 26, 0.00, 1),
+    (31, 0.25, 44, 0.00, 39, 0.00, 1), (58, 0.00, 2, 1.00, 3, 1.00, 1),
+    (150, 0.02, 9, 0.00, 0, 0.00, 1), (33, 0.00, 70, 0.00, 3, 1.00, 1),
+    (2, 1.00, 2, 1.00, 3, 1.00, 0), (3, 1.00, 50, 0.00, 2, 1.00, 0),
+    (12, 0.80, 4, 1.00, 10, 0.90, 0), (6, 0.50, 2, 1.00, 5, 0.60, 0),
+    (4, 0.00, 2, 1.00, 3, 1.00, 0), (8, 0.00, 3, 1.00, 4, 0.00, 0),
+    (5, 0.00, 40, 0.00, 2, 1.00, 0), (4, 0.00, 0, 0.00, 3, 1.00, 0),
+    (1, 0.00, 3, 0.00, 2, 0.00, 0), (30, 0.70, 5, 1.00, 22, 0.60, 0),
+    (6, 0.00, 5, 0.00, 0, 0.00, 0), (2, 1.00, 60, 0.00, 55, 0.00, 0),
+    (16, 0.60, 90, 0.00, 20, 0.40, 0), (9, 0.10, 70, 0.00, 0, 0.00, 0),
 )
+# The same block in each surrounding (set aside, inside, marked): what is set aside never is main
+# text, be it long and be it within the article; what the article holds otherwise always is, be it
+# short; beside a marked article there is none.
+LABELLED = tuple(
+    (*shape, *place, label) for *shape, text in SHAPES for place, label in (
+        ((0, 0, 0), text), ((1, 0, 0), 0), ((1, 0, 1), 0), ((1, 1, 1), 0), ((0, 0, 1), 0), ((0, 1, 1), 1)))
 # Fixed lists of HTML.
 RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "math",
        "object", "select", "xmp")
