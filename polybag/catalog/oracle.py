@@ -848,6 +848,16 @@ scored AS (
           PREDICTED, *metric_ctes()]
 ORACLE["stream_confusion"] = with_(*STREAM, select="SELECT * FROM counts")
 ORACLE["stream_metrics"] = with_(*STREAM, select=FULL)
+EPOCH_SOURCES = {"examples": EXAMPLE, "macro": MACRO, "micro": MICRO, "area": ["sk_auc_macro"],
+                 "zero": ["sk_f1_macro", "sk_f1_micro"], "pooled_auc": ["sk_auc_micro"]}
+ORACLE["stream_epoch_eval"] = with_(STREAM[0], f"""
+cells AS (
+  SELECT * FROM (
+    SELECT *, example // {t.STEPS_PER_EPOCH} + 1 AS epoch,
+           (score >= least(max(score) OVER (PARTITION BY example), 0.5::DOUBLE))::INTEGER AS pred
+    FROM scored) WHERE epoch % 2 = 0)""", *metric_ctes("epoch,"), select=" UNION ALL ".join(
+    f"SELECT epoch, '{n}' AS metric, round({n}, 9) AS value FROM {source}"
+    for source, names in EPOCH_SOURCES.items() for n in names))
 ORACLE["stream_epoch_loss"] = with_(STEPS, select="""
 SELECT run_id, epoch, round(avg(loss), 6) AS loss, count(*) AS steps
 FROM steps GROUP BY run_id, epoch""")

@@ -673,6 +673,16 @@ def stream_metrics(spark, d):
     return _rounded(live.final_state(spark, state, live.metrics_of_state), "metric", "label_idx")
 
 
+@query
+def stream_epoch_eval(spark, d):
+    """Every second epoch of a running stream is evaluated; others never enter the state."""
+    stream = t.stream_events(spark, d).withColumn(
+        "epoch", F.expr(f"event_id div {t.STEPS_PER_EPOCH} + 1"))
+    state = live.score_state(runs.evaluated_epochs(stream, 2), ["epoch"])
+    report = live.final_state(spark, state, lambda s: live.metrics_of_state(s, ["epoch"]))
+    return _rounded(report.where("label_idx IS NULL").drop("label_idx"), "epoch", "metric")
+
+
 @query
 def stream_epoch_loss(spark, d):
     schema = t.table(spark, d, "events").schema
