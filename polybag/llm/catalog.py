@@ -10,7 +10,7 @@ import corpus_pipeline
 from polybag.llm import (
     op1_html, op2_url_filters, op3_mixing, op4_fingerprints, op5_substrings, op6_quality,
     op7_sharding, op8_license_scans, op9_decontamination, op10_simhash)
-from polybag.llm.common import table
+from polybag.llm.common import UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,4 +35,104 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+WORDS = r"'[^\x20\x09-\x0D]+'"
+TOKENS = f"'{op8_license_scans.LICENSE_WORD}'"
+A_TO_Z = f"'{UPPER}', '{UPPER.lower()}'"
+
+
+def _quoted(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _url_filters() -> str:
+    rules = ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in op2_url_filters.RULES)
+    return rf"""
+WITH rules AS (SELECT rule, verdict, rule[:strpos(rule, '/') - 1] AS own, rule[strpos(rule, '/'):] AS start
+               FROM (VALUES {rules}) r(rule, verdict)),
+cut AS (SELECT row_number() OVER () AS r, page_id,
+               CASE WHEN strpos(url, '://') > 0 THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+parsed AS (SELECT r, page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut),
+judged AS (SELECT r, page_id, translate(raw, {A_TO_Z}) AS host,
+                  regexp_extract(rest[length(raw) + 1:], '^[^?#]*') AS path FROM parsed)
+SELECT page_id, host, path, rule, coalesce(verdict, '{op2_url_filters.DEFAULT}') AS verdict
+FROM judged LEFT JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start)
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC NULLS LAST) = 1"""
+
+
+def _mixing() -> str:
+    weights = "[" + ", ".join(f"{w}::DOUBLE" for w in op3_mixing.WEIGHTS) + "]"
+    return f"""
+WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::BIGINT AS size FROM documents),
+sources AS (SELECT source, source_size, {weights}[(place % {len(op3_mixing.WEIGHTS)})::INTEGER + 1] AS weight,
+                   source_size * {op3_mixing.CAP}::DOUBLE AS ceiling
+            FROM (SELECT source, sum(size)::BIGINT AS source_size,
+                         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM docs GROUP BY source)),
+-- Level after the k sources of the least ceiling per weight are held there.
+steps AS (SELECT ceiling / weight AS edge, coalesce(sum(ceiling) OVER before, 0) AS spent,
+                 sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS free,
+                 sum(source_size) OVER () AS total
+          FROM sources WINDOW before AS (ORDER BY ceiling / weight, source
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT (total - spent) / free AS level FROM steps WHERE (total - spent) / free <= edge ORDER BY edge LIMIT 1),
+plan AS (SELECT source, source_size, least(weight * level, ceiling) AS target FROM sources, level),
+drawn AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+                 ('0x' || md5(concat_ws(':', '{op3_mixing.SEED}', docs.source, doc_id))[:8])::BIGINT / 4294967296.0::DOUBLE AS draw
+          FROM docs JOIN plan ON docs.source IS NOT DISTINCT FROM plan.source)
+SELECT doc_id, size, source_size, target,
+       size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) AS taken FROM drawn"""
+
+
+def _substrings() -> str:
+    more = op5_substrings.WINDOW - 1
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w
+              FROM documents),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM docs),
+windows AS (SELECT r, j, count(*) OVER span AS c, string_agg(x, ' ') OVER span AS k FROM words
+            WINDOW span AS (PARTITION BY r ORDER BY j ROWS BETWEEN CURRENT ROW AND {more} FOLLOWING)),
+repeated AS (SELECT r, j FROM windows WHERE c = {more + 1} QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(j, j + {more + 1})) AS j FROM repeated),
+removed AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS t FROM words ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)"""
+
+
+def _license_scans() -> str:
+    phrases = [(p.split(" "), label) for p, label in op8_license_scans.PHRASES.items()]
+    places = ", ".join(
+        f"""CASE WHEN contains(spaced, ' {' '.join(p)} ') THEN list_filter(range(0, len(w) - {len(p) - 1}),
+          lambda i: w[i + 1:i + {len(p)}] = {_quoted(p)}) ELSE [] END AS at_{k}"""
+        for k, (p, _) in enumerate(phrases))
+    every = "list_concat(list_concat(at_0, at_1), at_2)"
+    base = "list_filter([" + ", ".join(
+        f"CASE WHEN len(at_{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases)
+    ) + "], lambda x: x IS NOT NULL)"
+    templates = ", ".join(f"('{label}', {_quoted(sorted(set(op8_license_scans.tokens(text))))})"
+                          for label, text in op8_license_scans.TEMPLATES.items())
+    return f"""
+WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), {A_TO_Z}) AS t FROM documents),
+docs AS (SELECT r, doc_id, t, regexp_extract_all(t, {TOKENS}) AS w FROM lowered),
+spaced AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS spaced FROM docs),
+placed AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, {places} FROM spaced),
+found AS (SELECT r, doc_id, n_words, {every} AS spots, {base} AS base FROM placed),
+lines AS (SELECT r, regexp_extract_all(unnest(string_split(t, chr(10))), {TOKENS}) AS line FROM docs),
+templates(label, words) AS (VALUES {templates}),
+matched AS (
+  SELECT r, label, max(len(list_intersect(line, words)) / len(words)) AS containment
+  FROM lines JOIN templates ON len(list_intersect(line, words)) >= ceil({op8_license_scans.CONTAINMENT} * len(words) - 1e-9)
+  GROUP BY r, label),
+labelled AS (SELECT r, list(label) AS more, max(containment) AS containment FROM matched GROUP BY r)
+SELECT doc_id, n_words, len(spots)::BIGINT AS n_base, list_min(spots)::BIGINT AS first_word,
+       list_max(spots)::BIGINT AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+       coalesce(containment, CASE WHEN len(base) > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM found LEFT JOIN labelled USING (r)"""
+
+
+ORACLE: dict[str, str] = {
+    "op2_url_filters": _url_filters(),
+    "op3_mixing": _mixing(),
+    "op5_substrings": _substrings(),
+    "op8_license_scans": _license_scans(),
+}

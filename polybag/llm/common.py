@@ -37,8 +37,3 @@ def kept_whole(df: DataFrame, *columns: Column) -> DataFrame:
 def unwrapped(df: DataFrame) -> DataFrame:
     return df.select(f"{ROW}.*")
 
-
-def uniform(seed: int, *keys: str) -> Column:
-    """A number in [0, 1) that is hashed from ``keys``, alike on every run."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)
-    return bits.cast("double") / F.lit(float(1 << 53))

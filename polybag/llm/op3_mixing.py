@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polybag.llm.common import ROW, kept_whole, n_words, text_of, uniform, unwrapped
+from polybag.functions import hash_uniform
+from polybag.llm.common import ROW, kept_whole, n_words, text_of, unwrapped
 from polybag.operators.skew import sorted_rank
 from polybag.session import saved
 
@@ -66,7 +67,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP
     size = n_words(text_of())
     plan = targets(docs.select("source", size.alias("size")), weights, cap)
     rows = kept_whole(docs, F.col("source").alias("_source"), size.alias("size"),
-                      uniform(seed, "source", "doc_id").alias("_draw"))
+                      hash_uniform(seed, F.col("source"), F.col("doc_id")).alias("_draw"))
     rate = F.floor("rate")
     return rows.join(plan, rows["_source"].eqNullSafe(plan["source"]), "left").select(
         ROW, "size", "source_size", "target",

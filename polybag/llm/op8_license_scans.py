@@ -42,7 +42,7 @@ TEMPLATES = {
 CONTAINMENT = 0.8
 
 
-def _tokens(text: str) -> list[str]:
+def tokens(text: str) -> list[str]:
     return re.findall(LICENSE_WORD, text.translate({c: c + 32 for c in range(65, 91)}))
 
 
@@ -96,7 +96,7 @@ def matches(blocks: DataFrame, templates: dict[str, str] = TEMPLATES,
     prefixes, least = [], math.inf
     for label, text in templates.items():
         # Words that no block holds come first of all.
-        words = sorted(set(_tokens(text)), key=lambda w: (rank.get(w, -1), w))
+        words = sorted(set(tokens(text)), key=lambda w: (rank.get(w, -1), w))
         need = math.ceil(containment * len(words) - 1e-9)
         least = min(least, need)
         prefixes += [F.struct(
@@ -124,7 +124,7 @@ def matches(blocks: DataFrame, templates: dict[str, str] = TEMPLATES,
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
                   containment: float = CONTAINMENT) -> DataFrame:
     """Every document with its base places and labels, and the labels of matching templates."""
-    vocabulary = sorted({w for text in templates.values() for w in _tokens(text)})
+    vocabulary = sorted({w for text in templates.values() for w in tokens(text)})
     scanned = saved(scan_bases(docs, vocabulary), "blocks")
     blocks = scanned.select("rid", F.explode("blocks").alias("block"))
     found = matches(blocks, templates, containment).groupBy("rid").agg(
