@@ -2,48 +2,75 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Callable, Iterable
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polybag.session import saved
+from polybag.session import map_arrow, saved
 
 
-def fit_probe(train: DataFrame, n_classes: int, features: str = "embedding",
-              iterations: int = 20, penalty: float = 1e-3,
-              parallelism: int = 8) -> tuple[list[list[float]], list[float]]:
-    """(weights, intercepts), one logistic regression per label.
+def _summed(rows: DataFrame, features: str, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum of ``part(vectors with a leading 1, annotations)`` over all rows.
 
-    ``train`` has the feature array and ``gt``.  Spark ML sums the gradients over the cluster;
-    the driver only holds one weight vector per label.
+    A task adds up its batches and hands on one array; arrays are summed by place, so what comes to
+    the driver is one array, of a size that the model gives and not the table.
     """
-    features_column = array_to_vector(F.col(features).cast("array<double>")).alias("features")
-    prepared = saved(train.select(features, "gt"), "probe").select(features_column, "gt")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(batch.schema.get_field_index(c)).flatten().to_numpy(
+                    zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+                    for c in (features, "gt"))
+                sums = part(np.hstack([np.ones((len(x), 1)), x]), y).ravel()
+                total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
+
+    parts = map_arrow(rows, run, "sums array<double>")
+    places = parts.select(F.posexplode("sums").alias("place", "value")).groupBy("place").agg(
+        F.sum("value").alias("value")).orderBy("place").collect()
+    return np.array([r.value for r in places])
 
-    def fit(i: int):
-        model = LogisticRegression(
-            featuresCol="features", labelCol="y", maxIter=iterations, regParam=penalty,
-        ).fit(prepared.select("features", F.col("gt")[i].cast("double").alias("y")))
-        return model.coefficients.toArray().tolist(), float(model.intercept)
 
-    # Independent jobs; submitting them together keeps the executors busy.
-    with ThreadPool(min(parallelism, n_classes)) as pool:
-        fitted = pool.map(fit, range(n_classes))
-    return [w for w, _ in fitted], [b for _, b in fitted]
+def fit_probe(train: DataFrame, n_classes: int, features: str = "embedding",
+              iterations: int = 20, penalty: float = 1e-3) -> tuple[list[list[float]], list[float]]:
+    """(weights, intercepts), one logistic regression per label.
+
+    ``train`` has the feature array and ``gt``.  One pass sums the vectors' products, a bound of
+    the curvature of every label's loss; then each iteration is one pass that sums the gradients of
+    all labels at once, and a step with the bound's inverse and momentum on the driver.
+    """
+    rows = saved(train.select(features, "gt"), "probe")
+    gram = _summed(rows, features, lambda x, _: x.T @ x)
+    if not len(gram):
+        raise ValueError("no rows to fit")
+    size = int(round(len(gram) ** 0.5))
+    gram = gram.reshape(size, size)
+    n = gram[0, 0]
+    # The intercept is not penalised.
+    ridge = np.r_[0.0, np.full(size - 1, penalty)]
+    step = np.linalg.pinv(gram / (4 * n) + np.diag(ridge))
+    weights = before = np.zeros((size, n_classes))
+    for i in range(iterations):
+        ahead = weights + i / (i + 3) * (weights - before)
+
+        def gradient(x: np.ndarray, y: np.ndarray, at: np.ndarray = ahead) -> np.ndarray:
+            return x.T @ (1 / (1 + np.exp(-(x @ at))) - y)
+
+        slope = _summed(rows, features, gradient).reshape(size, n_classes) / n + ridge[:, None] * ahead
+        before, weights = weights, ahead - step @ slope
+    return weights[1:].T.tolist(), weights[0].tolist()
 
 
 def probe_scorer(weights: list[list[float]], intercepts: list[float]):
     """A scorer for :func:`polybag.operators.scoring.apply_scorer`."""
-    import numpy as np
-
     w, b = np.array(weights).T, np.array(intercepts)
 
     def score(vectors: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-(vectors.astype(np.float64) @ w + b)))
 
     return score
-
-
