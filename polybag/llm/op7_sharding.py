@@ -156,12 +156,13 @@ def shard_digest(docs: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Whole documents with the shard of their text; the shard is the last column.
+    """Whole documents with the shard of their text; ``shard`` is the last column.
 
-    Writing it with ``partitionBy("shard")`` gives the files.
+    A column of that name is replaced.  Writing it with ``partitionBy("shard")`` gives the files.
     """
     text = F.col("text")
     sizes = saved(docs.select(_bytes(text).alias("size"), _key(text).alias("key")).groupBy("key").agg(
         F.sum("size").alias("bytes")), "groups")
     rows = kept_whole(docs, _key(text).alias("key"))
-    return rows.join(group_shards(sizes, shards), "key").select(f"{ROW}.*", "shard")
+    own = [f"{ROW}.`{name}`" for name in docs.columns if name.lower() != "shard"]
+    return rows.join(group_shards(sizes, shards), "key").select(*own, "shard")

@@ -221,6 +221,16 @@ def test_pipeline(spark, sf_dir):
     assert {r.shard for r in rows} <= set(range(40))
 
 
+def test_stages_take_awkward_rows(spark, sf_dir, awkward, nothing, tmp_path):
+    for docs, least in ((awkward, 1), (nothing, 0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf_dir)
+            if name != "sharding":
+                assert out.columns == docs.columns, name
+            out.write.parquet(f"{tmp_path}/{least}-{k}")
+            assert spark.read.parquet(f"{tmp_path}/{least}-{k}").count() >= least * (name != "quality"), name
+
+
 def test_registered():
     assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {n.split("_")[0] for n in QUERIES}
     assert set(QUERIES) <= set(entry.queries())
