@@ -32,11 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polybag.llm.common import text_of
+from polybag.operators.skew import spread_join
 from polybag.session import map_arrow, saved, scratch_path
 
 WINDOW = 35
 ANCHOR = 6
 LIMIT = 64
+# Rows of one segment or window that one task joins, on average.
+SPREAD = 2_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 # A place in a stretch of hashes takes the low bits beside the hash.
@@ -323,8 +326,11 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
                   "segments")
     kinds = saved(found.groupBy("anchor", "body").agg(
         F.sum("copies").alias("seen"), F.min(F.struct("tid", "at", "n")).alias("place")), "kinds")
-    whole = found.where("copies = 1").join(
-        kinds.where("seen > 1").select("anchor", "body"), ["anchor", "body"]).select("tid", "at", "n")
+    # Near copies share whole segments: a segment of many texts is salted over several tasks.
+    kind = F.struct("anchor", "body").alias("kind")
+    whole = spread_join(
+        found.where("copies = 1").select(kind, "tid", "at", "n"),
+        kinds.where("seen > 1").select(kind), "kind", "tid", heavy_rows=SPREAD).select("tid", "at", "n")
     shards = kinds.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("kinds"), F.min("seen").alias("least")).where("kinds > 1 and least = 1")
     wanted = kinds.join(shards, "anchor").select(
@@ -339,10 +345,11 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     dealt = sent.where("not large").select("shard", "tid", "at", "single", "words").repartition(
         "shard").sortWithinPartitions("shard")
     matched = map_arrow(dealt, _matched, "tid bigint, at int, n int")
-    windows = sent.where("large")
-    often = windows.groupBy("shard", "words").agg(
-        F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("seen")).where("seen > 1")
-    counted = windows.where("single").join(often, ["shard", "words"]).select(
+    windows = sent.where("large").select(
+        F.struct("shard", "words").alias("window"), "tid", "at", "single")
+    often = windows.groupBy("window").agg(
+        F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("seen")).where("seen > 1").select("window")
+    counted = spread_join(windows.where("single"), often, "window", "tid", heavy_rows=SPREAD).select(
         "tid", "at", F.lit(1).alias("n"))
     return whole.unionByName(matched).unionByName(counted)
 

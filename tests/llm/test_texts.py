@@ -57,7 +57,9 @@ def test_awkward_rows(awkward, nothing):
     assert op8_license_scans.license_digest(awkward).count() == 11
     assert op4_fingerprints.fingerprint_digest(awkward).count() == 11
     assert op5_substrings.substring_digest(awkward).count() == 11
-    assert op7_sharding.shard_documents(awkward.drop("shard")).columns[:-1] == awkward.drop("shard").columns
+    sharded = op7_sharding.shard_documents(awkward)
+    assert sharded.columns == [*(c for c in awkward.columns if c != "shard"), "shard"]
+    assert sharded.where("shard between 0 and 39").count() == 11
     for digest in (op3_mixing.mix_digest, op7_sharding.shard_digest, op8_license_scans.license_digest,
                    op4_fingerprints.fingerprint_digest, op5_substrings.substring_digest):
         assert digest(nothing).count() == 0
@@ -184,8 +186,9 @@ def test_repeats_against_brute_force(docs_of, monkeypatch):
         texts.append(" ".join(text))
     texts += ["a b " * 60, "a " * 200, texts[0], texts[0], None, " ".join(passages[0][:34])]
     docs = docs_of([(i, t, "s") for i, t in enumerate(texts)])
-    for limit in (64, 3):
+    for limit, spread in ((64, 2_000), (3, 2_000), (3, 2)):
         monkeypatch.setattr(op5_substrings, "LIMIT", limit)
+        monkeypatch.setattr(op5_substrings, "SPREAD", spread)
         got = op5_substrings.substring_digest(docs).orderBy("doc_id").collect()
         assert [tuple(r)[1:] for r in got] == list(brute_repeats(texts))
 
