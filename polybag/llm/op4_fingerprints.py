@@ -27,8 +27,8 @@ from polybag.operators.skew import sorted_rank
 K = 4
 PIECE = 24
 SKETCH = 64
-# Rows whose successors one window task finds.
-RUN = 500
+# Rows of a piece: short, so that the pieces that one task gets by their hash even out.
+RUN = 100
 
 
 def with_anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
