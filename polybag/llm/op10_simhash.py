@@ -190,7 +190,6 @@ NEAR_SHINGLE = 5
 NEAR = 0.8
 BIN = 6
 BINS = 16
-SKETCH = 512
 
 
 def shingle_set(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
@@ -239,21 +238,18 @@ def _bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["tid", "doc_id", "bin", "mark"])
 
 
-def _sketches(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: shingle_set(t.encode())[:SKETCH].view(np.int64))
+def _shingles(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: shingle_set(t.encode()).view(np.int64))
 
 
-_sketches.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+_shingles.__annotations__ = {"texts": pd.Series, "return": pd.Series}
 
 
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: np.ndarray, y: np.ndarray) -> float:
-        x, y = x.view(np.uint64), y.view(np.uint64)
-        both = np.union1d(x, y)
-        if len(x) == SKETCH or len(y) == SKETCH:
-            both = both[:SKETCH]
-        shared = np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)
-        return shared.sum() / len(both) if len(both) else 1.0
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        both = len(x) + len(y) - shared
+        return shared / both if both else 1.0
     return pd.Series([one(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)], dtype=float)
 
 
@@ -287,8 +283,7 @@ def _candidates(texts: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, near: float = NEAR) -> tuple[DataFrame, DataFrame]:
     """(key, doc_id, copies, tid) of each distinct text, and (node, root) of those in a group.
 
-    ``doc_id`` is the least of a text's.  Pairs are verified on their sets of shingles, exactly up
-    to ``SKETCH`` shingles, on the ``SKETCH`` least hashes of both beyond.
+    ``doc_id`` is the least of a text's.  Pairs are verified on all their shingles.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.md5(text_of()).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -298,10 +293,10 @@ def near_groups(docs: DataFrame, near: float = NEAR) -> tuple[DataFrame, DataFra
         "tid", F.monotonically_increasing_id()), "texts")
     pairs = saved(_candidates(texts), "pairs")
     wanted = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
-    sketches = saved(texts.join(wanted, "tid").select(
-        "tid", F.pandas_udf(_sketches, "array<bigint>")("text").alias("sketch")), "sketches")
-    both = pairs.join(sketches.withColumnsRenamed({"tid": "a", "sketch": "x"}), "a").join(
-        sketches.withColumnsRenamed({"tid": "b", "sketch": "y"}), "b")
+    sets = saved(texts.join(wanted, "tid").select(
+        "tid", F.pandas_udf(_shingles, "array<bigint>")("text").alias("set")), "sets")
+    both = pairs.join(sets.withColumnsRenamed({"tid": "a", "set": "x"}), "a").join(
+        sets.withColumnsRenamed({"tid": "b", "set": "y"}), "b")
     edges = both.where(F.pandas_udf(_similar, "double")("x", "y") >= near).select(
         F.col("a").alias("u"), F.col("b").alias("v"))
     return texts.select("key", "doc_id", "tid"), components(edges)

@@ -205,6 +205,39 @@ def test_near_duplicates_go_and_others_stay(docs_of, awkward, nothing):
     assert op10_simhash.drop_near_duplicates(nothing).count() == 0
 
 
+def left_of(docs_of, texts):
+    """How many documents stay, and how many groups exact links at 0.8 leave."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and jaccard(texts[i], texts[j]) >= 0.8:
+                root[find(i)] = find(j)
+    docs = docs_of([(i, t, "s") for i, t in enumerate(texts)])
+    return op10_simhash.drop_near_duplicates(docs).count(), len({find(i) for i in range(len(texts))})
+
+
+def edited(words, places):
+    return " ".join(f"e{random.random()}" if i in places else w for i, w in enumerate(words))
+
+
+def test_long_texts_are_compared_whole(docs_of):
+    random.seed(22)
+    texts = []
+    for k in range(60):
+        base = [f"g{k}w{i}" for i in range(900)]
+        # Every replaced word that stands alone changes five of 896 shingles.
+        places = set(range(3, 6 * (18 + k % 4), 6))
+        texts += [" ".join(base), edited(base, places)]
+    kept, groups = left_of(docs_of, texts)
+    assert kept == groups and 60 < groups < 120
+
+
 def test_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = corpus_pipeline.run(spark, sf_dir)
