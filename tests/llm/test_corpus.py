@@ -226,6 +226,23 @@ def edited(words, places):
     return " ".join(f"e{random.random()}" if i in places else w for i, w in enumerate(words))
 
 
+def test_copies_link_through_an_original_of_the_largest_id(docs_of):
+    random.seed(21)
+    base = [f"b{random.randint(0, 9999)}" for _ in range(300)]
+    copies = [edited(base, set(random.sample(range(300), 5))) for _ in range(80)]
+    assert left_of(docs_of, copies + [" ".join(base)]) == (1, 1)
+
+
+def test_blocks_of_one_prefix_meet(docs_of):
+    random.seed(24)
+    base = [f"b{random.randint(0, 9999)}" for _ in range(100)]
+    texts = [edited(base, set(random.sample(range(100), 2))) for _ in range(40)] + [" ".join(base)]
+    docs = docs_of([(i, t, "s") for i, t in enumerate(texts)])
+    keys, roots = op10_simhash.near_groups(docs, block=8)
+    assert {r.root for r in roots.collect()} == {keys.agg({"tid": "min"}).first()[0]}
+    assert roots.count() == 41
+
+
 def test_long_texts_are_compared_whole(docs_of):
     random.seed(22)
     texts = []
