@@ -255,6 +255,19 @@ def test_long_texts_are_compared_whole(docs_of):
     assert kept == groups and 60 < groups < 120
 
 
+def test_short_texts_of_every_length(docs_of):
+    random.seed(23)
+    texts = []
+    for k in range(160):
+        base = [f"g{k}w{i}" for i in range(5 + k % 12)]
+        texts += [" ".join(base), " ".join(base[:-1] + ["other"])]
+    for k in range(60):
+        base = [f"h{k}w{i}" for i in range(49 + k % 2)]
+        texts += [" ".join(base), edited(base, {20})]
+    kept, groups = left_of(docs_of, texts)
+    assert kept == groups < len(texts)
+
+
 def test_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = corpus_pipeline.run(spark, sf_dir)
