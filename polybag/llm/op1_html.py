@@ -11,7 +11,9 @@ sent to the tasks as a list of its nodes.
 White space inside a block, tags and line breaks included as far as they are white space,
 becomes one space.  A null or empty page, or one without main text, has the empty text.  Unclosed
 and stray tags are read as browsers do: a paragraph ends where the next block starts, an end tag
-without its start is skipped, and what is open at the end is closed.  Repeated pages are rows
+without its start is skipped, and what is open at the end is closed.  ``<svg/>`` and ``<math/>``
+are empty; of the elements without text, only script and style hide the rest of a page if nothing
+ends them.  Repeated pages are rows
 like others; an empty table gives none; no other column is read.
 """
 
@@ -80,9 +82,10 @@ ASIDE_WORDS = frozenset((
     "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget"))
 ARTICLE_WORDS = frozenset(("article", "articlebody", "entry", "main", "post", "story"))
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?"
-    r"(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+    r"<!--.*?(?:-->|$)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<[!?/][^>]*(?:>|$)", re.S | re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _MARK = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -125,12 +128,24 @@ def flat_blocks(page: str) -> tuple[list[Block], bool]:
         pieces = []
 
     at = 0
-    for match in _PIECE.finditer(page):
+    # Raw elements that nothing ends from here on.
+    unclosed: set[str] = set()
+    while match := _PIECE.search(page, at):
         if match.start() > at:
             pieces.append((page[at:match.start()], links > 0))
         at = match.end()
         tag = (match["tag"] or "").lower()
-        if match["raw"] and match["raw"].lower() in ("title", "textarea", "select", "iframe"):
+        raw = (match["raw"] or "").lower()
+        # An icon of one tag is empty.
+        if raw and raw not in unclosed and not (raw in ("svg", "math") and match[0].endswith("/>")):
+            end = _RAW_END[raw].search(page, at)
+            if end:
+                at = end.end()
+            elif raw in ("script", "style"):
+                at = len(page)
+            else:
+                unclosed.add(raw)
+        if raw in ("title", "textarea", "select", "iframe"):
             flush()
         if not tag:
             continue

@@ -49,6 +49,15 @@ def test_odd_pages(tree, page):
     assert isinstance(op1_html.main_text(page, tree), str)
 
 
+@pytest.mark.parametrize("icon, text", [
+    ('<svg width="8"/>', "One two\nThree"), ("<math />", "One two\nThree"), ("<svg><path/></svg>", "One two\nThree"),
+    ("<object data='x'/>", "One two\nThree"), ("<SVG width='8'>", "One two\nThree"),
+    ("<script>x", "One")])
+def test_raw_elements_do_not_swallow_the_page(tree, icon, text):
+    page = f"<article><p>One {icon} two</p><p>Three</p></article>"
+    assert op1_html.main_text(page, tree) == text
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "x", "x", "x"), (1, "u", PAGE, "x", "x", "x"), (2, None, None, "x", "x", "x"),
             (3, "u", "<article>" + "<p>a b c</p>" * 20_000, "x", "x", "x")]
