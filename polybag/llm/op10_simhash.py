@@ -264,6 +264,31 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 _similar.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
 
 
+def _wide_bits(sets: pd.Series) -> pd.Series:
+    """Parity bits, at least four for each shingle; the width is a power of two."""
+    def one(own: np.ndarray) -> bytes:
+        width = 1 << max(6, (4 * len(own) - 1).bit_length())
+        place = (np.asarray(own).view(np.uint64) >> np.uint64(20)) & np.uint64(width - 1)
+        odd = np.bincount(place.astype(np.int64), minlength=width) % 2
+        return np.packbits(odd.astype(np.uint8)).tobytes()
+    return sets.map(one)
+
+
+_wide_bits.__annotations__ = {"sets": pd.Series, "return": pd.Series}
+
+
+def _least_apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    """In how many shingles two sets differ at least; the wider bits are folded to the other's width."""
+    def one(x: bytes, y: bytes) -> int:
+        u, v = (np.frombuffer(z, np.uint64) for z in sorted((x, y), key=len))
+        v = np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0)
+        return int(np.bitwise_count(u ^ v).sum(dtype=np.int64))
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
+_least_apart.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+
+
 def _candidates(texts: DataFrame) -> DataFrame:
     """(a, b) pairs of texts that share a bin's fingerprint, or link by that of the whole.
 
@@ -450,13 +475,26 @@ def _pairs_between(shared: DataFrame, stats: DataFrame, roots: DataFrame, near:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, near: float) -> DataFrame:
-    """The (u, v) of those pairs that are ``near`` alike by all their shingles."""
+    """The (u, v) of those pairs that are ``near`` alike by all their shingles.
+
+    Sets move only for pairs that their sizes and wide parity bits leave possible.
+    """
     pairs = saved(pairs, "pairs")
     wanted = saved(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct(), "wanted")
-    sets = saved(texts.join(wanted, "tid").select(
-        "tid", F.pandas_udf(_shingles, "array<bigint>")("text").alias("set")), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"tid": "a", "set": "x"}), "a").join(
-        sets.withColumnsRenamed({"tid": "b", "set": "y"}), "b")
+    sets = texts.join(wanted, "tid").select(
+        "tid", F.pandas_udf(_shingles, "array<bigint>")("text").alias("set"))
+    sets = saved(sets.withColumn("n", F.size("set")).withColumn(
+        "wide", F.pandas_udf(_wide_bits, "binary")("set")), "sets")
+    bits = sets.select("tid", "n", "wide")
+    possible = pairs.join(bits.withColumnsRenamed({"tid": "a", "n": "n_a", "wide": "x"}), "a").join(
+        bits.withColumnsRenamed({"tid": "b", "n": "n_b", "wide": "y"}), "b").where(
+        F.least("n_a", "n_b") >= near * F.greatest("n_a", "n_b") - 1e-6).where(
+        F.pandas_udf(_least_apart, "bigint")("x", "y")
+        <= (F.col("n_a") + F.col("n_b")) * ((1 - near) / (1 + near)) + 1e-6)
+    left = saved(possible.select("a", "b"), "possible")
+    whole = sets.select("tid", "set")
+    both = left.join(whole.withColumnsRenamed({"tid": "a", "set": "x"}), "a").join(
+        whole.withColumnsRenamed({"tid": "b", "set": "y"}), "b")
     return saved(both.where(F.pandas_udf(_similar, "double")("x", "y") >= near).select(
         F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
