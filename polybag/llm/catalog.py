@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from polybag.llm import (
     op1_html, op2_url_filters, op3_mixing, op4_fingerprints, op5_substrings, op6_quality,
-    op7_sharding, op8_license_scans, op9_decontamination, op10_simhash)
+    op7_sharding, op8_license_scans, op9_decontamination, op10_simhash, op11_divergence)
 from polybag.llm.common import UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": lambda spark, sf_dir: op9_decontamination.leak_digest(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_simhash": _on("documents", op10_simhash.simhash_digest),
+    "op11_divergence": _on("documents", op11_divergence.divergence_digest),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -130,9 +131,43 @@ SELECT doc_id, n_words, len(spots)::BIGINT AS n_base, list_min(spots)::BIGINT AS
 FROM found LEFT JOIN labelled USING (r)"""
 
 
+def _divergence() -> str:
+    def p(n, total):
+        return f"1 + (({n} + 1)::HUGEINT * {op11_divergence.SCALE}) // ({total} + size)"
+
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+              FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term
+         HAVING count(DISTINCT r) >= {op11_divergence.MIN_DOCS}),
+langs AS (SELECT lang, count(*) AS size, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {p('lang_n', 'lang_total')} AS q,
+                 {p('coalesce(n, 0)', 'coalesce(total, 0)')} AS p
+          FROM groups g JOIN langs USING (lang) JOIN kept k USING (lang)
+          LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+          LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM cells WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= {op11_divergence.TOP}"""
+
+
 ORACLE: dict[str, str] = {
     "op2_url_filters": _url_filters(),
     "op3_mixing": _mixing(),
     "op5_substrings": _substrings(),
     "op8_license_scans": _license_scans(),
+    "op11_divergence": _divergence(),
 }
