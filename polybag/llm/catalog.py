@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from polybag.llm import (
     op1_html, op2_url_filters, op3_mixing, op4_fingerprints, op5_substrings, op6_quality,
-    op7_sharding, op8_license_scans, op9_decontamination, op10_simhash, op11_divergence)
+    op7_sharding, op8_license_scans, op9_decontamination, op10_simhash, op11_divergence,
+    op12_token_counts, op13_conversations)
 from polybag.llm.common import UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,8 @@ QUERIES: dict[str, Query] = {
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_simhash": _on("documents", op10_simhash.simhash_digest),
     "op11_divergence": _on("documents", op11_divergence.divergence_digest),
+    "op12_token_counts": _on("documents", op12_token_counts.token_digest),
+    "op13_conversations": _on("conversations", op13_conversations.repair_digest),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -164,10 +167,77 @@ SELECT lang, source, part, item, value,
 FROM found QUALIFY part = 'pair' OR rank <= {op11_divergence.TOP}"""
 
 
+def _conversations() -> str:
+    def add(state: str, cost: str, edit: str) -> str:
+        return f"lpad(({state}[:9]::BIGINT + {cost})::VARCHAR, 9, '0') || {state}[10:] || '{edit}'"
+
+    def stay(state: str, initial: str) -> str:
+        """A row that stays after ``state`` and counts as ``initial``."""
+        kept = f"CASE WHEN may AND initial = '{initial}' THEN {add(state, 'more', 'K')} END"
+        given = f"CASE WHEN may THEN {add(state, 'more + 1', 'R')} END"
+        return kept if initial == "s" else f"{kept}, {given}"
+
+    # A state is its least cost in nine digits and its least audit; null if it cannot be reached.
+    insert_user = "least(u, " + ", ".join(add(s, "5", "I") for s in "zsa") + ")"
+    return rf"""
+WITH RECURSIVE told AS (SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key,
+                               coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+-- CRC-32, bit by bit: 4294967295 is all ones, 3988292384 the reversed polynomial.
+hit AS (SELECT *, xor(4294967295, list_reduce(
+          list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda x: unicode(x)::BIGINT)),
+          lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS fault
+        FROM told),
+after AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+                 CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                 unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS j,
+                  rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))[-1:] AS tail FROM after),
+steps AS (SELECT *, CASE WHEN tail = '' THEN 'blank'
+                         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY j) > 1 THEN 'duplicate'
+                         WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS wrong, role[1] AS initial,
+                 coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY j) || role[1] NOT IN ('su', 'ua', 'au'), false) AS bad
+          FROM placed),
+moves AS (SELECT *, wrong NOT IN ('blank', 'duplicate') AS may,
+                 CASE wrong WHEN 'truncated' THEN 5 ELSE 0 END AS more FROM steps),
+-- z: nothing yet, s, u, a: after a row of that initial; inserts follow each row.
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS j, '000000000' AS z, NULL::VARCHAR AS s, '000000005I' AS u, '000000010II' AS a
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, j, z, s, u, least(a, {add('u', '5', 'I')}) FROM (
+    SELECT conv_id, j, z, s, {insert_user} AS u, a FROM (
+      SELECT m.conv_id, m.j, {add('z', '2', 'D')} AS z, least({add('s', '2', 'D')}, {stay('z', 's')}) AS s,
+             least({add('u', '2', 'D')}, {stay('z', 'u')}, {stay('s', 'u')}, {stay('a', 'u')}) AS u,
+             least({add('a', '2', 'D')}, {stay('u', 'a')}) AS a
+      FROM walk w JOIN moves m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.j = w.j + 1))),
+best AS (SELECT conv_id, least(z, a) AS route FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY j DESC) = 1),
+edits AS (SELECT conv_id, unnest(string_split(route[10:], '')) AS edit, generate_subscripts(string_split(route[10:], ''), 1) AS pos
+          FROM best WHERE length(route) > 9),
+matched AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS j,
+                   count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY pos) AS out FROM edits),
+given AS (SELECT e.conv_id, pos, out, edit, role, text,
+                 max(CASE WHEN out = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS system
+          FROM matched e LEFT JOIN steps p ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND p.j = e.j AND edit <> 'I'
+          WHERE edit <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (out - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                        || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS t
+             FROM given GROUP BY conv_id),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+                   count(*) FILTER (wrong = 'blank') AS blank, count(*) FILTER (wrong = 'duplicate') AS duplicate,
+                   count(*) FILTER (wrong = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal
+            FROM steps GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, route[:9]::BIGINT AS cost,
+       route[10:] AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM best b LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
 ORACLE: dict[str, str] = {
     "op2_url_filters": _url_filters(),
     "op3_mixing": _mixing(),
     "op5_substrings": _substrings(),
     "op8_license_scans": _license_scans(),
     "op11_divergence": _divergence(),
+    "op13_conversations": _conversations(),
 }
