@@ -1,10 +1,12 @@
 """How far the sources of a language lie apart, and which terms set a source off from its language.
 
-Spark ML's ``CountVectorizer`` (``minDF`` documents, the largest integer as ``vocabSize``) turns
-each document into the exact sparse vector of its terms.  Entries of the vectors are summed per
-(lang, source), as ``Summarizer`` sums vectors, but sparse, so that a buffer holds one number
-and not a vocabulary.  All languages share one fit: a term carries its language in front, which
-gives each language the vocabulary that a fit of its own would give.
+Spark ML's ``CountVectorizer`` (the largest integer as ``vocabSize``) turns each document into the
+exact sparse vector of its terms.  Entries of the vectors are summed per (lang, source), as
+``Summarizer`` sums vectors, but sparse, so that a buffer holds one number and not a vocabulary.
+All languages share one model: a term carries its language in front, which gives each language
+the vocabulary that a fit of its own would give.  The model is fitted on the table of kept terms,
+those that ``min_docs`` documents of the language hold: an aggregate finds them at a fraction of
+the cost of ``fit(minDF)`` over all documents, and their number is then known.
 
 A term has, in a group, ``p = 1 + floor(SCALE * (count + 1) / (N + V))``.  The divergence of two
 sources is the sum of ``floor((p - q)^2 / q)`` over all V terms of the language, but only terms
@@ -12,9 +14,9 @@ that a source holds are visited: terms neither holds add a constant, terms one h
 how many of its terms have each count, and only terms that both hold are met one by one, in the
 row that lists the sources of a term.  Tasks add these up per pair of sources before the shuffle.
 
-``CountVectorizer`` keeps its vocabulary on the driver and broadcasts it.  The distinct terms are
-counted first (HyperLogLog); beyond ``VOCABULARY`` of them the same counts come from plain rows,
-one per (document, term), which shuffle.  Either way the result is the same.
+``CountVectorizer`` keeps its vocabulary on the driver and broadcasts it.  Beyond ``VOCABULARY``
+kept terms the same counts come from plain rows, one per (language, term, source), which shuffle.
+Either way the result is the same.
 
 Counts are exact up to 2^53 (vectors hold doubles), shares use 38-digit integers.  Null text, lang
 and source count as ''.  A text without terms still makes its group appear; a language whose terms
@@ -39,7 +41,7 @@ from polybag.session import map_arrow, saved, scratch_path
 MIN_DOCS = 3
 TOP = 200
 SCALE = 1_000_000_000
-# Distinct terms up to which a vocabulary may be held on the driver: some 250 MB there.
+# Kept terms up to which a vocabulary may be held on the driver: some 250 MB there.
 VOCABULARY = 2_000_000
 ALL_TERMS = 2**31 - 1
 SPLIT = "\0"  # no term has it
@@ -59,53 +61,53 @@ def terms_of(text: Column) -> Column:
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms), a term with its language in front."""
-    lang = text_of("lang")
-    return docs.select(
-        lang.alias("lang"), text_of("source").alias("source"),
-        F.transform(terms_of(text_of()), lambda t: F.concat(lang, F.lit(SPLIT), t)).alias("terms"))
+    """(lang, source, terms) of every document."""
+    return docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"),
+                       terms_of(text_of()).alias("terms"))
 
 
-def counts_by_vectors(tokens: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(source, key, n): sums of the entries of CountVectorizer's vectors."""
+def kept_terms(tokens: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, term) of the terms that at least ``min_docs`` documents of the language hold."""
+    return tokens.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy(
+        "lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(
+        F.col("docs") >= min_docs).select("lang", "term")
+
+
+def counts_by_vectors(tokens: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lang, source, term, n): sums of the entries of CountVectorizer's vectors.
+
+    ``kept`` must not be empty.  A term carries its language in front.
+    """
     spark = tokens.sparkSession
-    # fit refuses an empty vocabulary: an empty term, in just enough rows, is always kept.
-    blank = spark.range(min_docs).select(F.array(F.lit("")).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs),
-                            vocabSize=ALL_TERMS).fit(tokens.select("terms").union(blank))
+    model = CountVectorizer(inputCol="keys", outputCol="vector", minDF=1.0, vocabSize=ALL_TERMS).fit(
+        kept.select(F.array(F.concat("lang", F.lit(SPLIT), "term")).alias("keys")))
     path = scratch_path(spark, "vocabulary")
     model.write().save(path)
+    term = F.substring_index("key", SPLIT, -1)
     vocabulary = spark.read.parquet(f"{path}/data").select(
-        F.posexplode("vocabulary").alias("at", "key")).where("key != ''")
-    vector = F.unwrap_udt("vector")
-    entries = model.transform(tokens).select("lang", "source", vector.alias("v")).select(
-        "lang", "source", F.explode(F.arrays_zip(
-            F.col("v.indices").alias("at"), F.col("v.values").alias("n"))).alias("e"))
-    sums = entries.groupBy("lang", "source", F.col("e.at").alias("at")).agg(
-        F.sum("e.n").cast("bigint").alias("n"))
-    return sums.join(vocabulary, "at").select("source", "key", "n")
+        F.posexplode("vocabulary").alias("at", "key")).select("at", term.alias("term"))
+    keys = F.transform("terms", lambda t: F.concat("lang", F.lit(SPLIT), t))
+    vectors = model.transform(tokens.select("lang", "source", keys.alias("keys"))).select(
+        "lang", "source", F.unwrap_udt("vector").alias("v"))
+    sums = vectors.select("lang", "source", F.explode(F.arrays_zip(
+        F.col("v.indices").alias("at"), F.col("v.values").alias("n"))).alias("e")).groupBy(
+        "lang", "source", F.col("e.at").alias("at")).agg(F.sum("e.n").cast("bigint").alias("n"))
+    return sums.join(vocabulary, "at").select("lang", "source", "term", "n")
 
 
-def counts_by_rows(tokens: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def counts_by_rows(tokens: DataFrame, kept: DataFrame) -> DataFrame:
     """The same counts for a vocabulary of any size."""
-    kept = tokens.select(F.explode(F.array_distinct("terms")).alias("key")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    sums = tokens.select("source", F.explode("terms").alias("key")).groupBy("key", "source").agg(
-        F.count(F.lit(1)).alias("n"))
-    return sums.join(kept, "key").select("source", "key", "n")
+    sums = tokens.select("lang", "source", F.explode("terms").alias("term")).groupBy(
+        "lang", "term", "source").agg(F.count(F.lit(1)).alias("n"))
+    return sums.join(kept, ["lang", "term"]).select("lang", "source", "term", "n")
 
 
 def term_rows(tokens: DataFrame, min_docs: int = MIN_DOCS, vocabulary: int = VOCABULARY) -> DataFrame:
     """One row per kept term: (lang, term, n, held), ``held`` an array of (source, n)."""
-    distinct = tokens.select(F.explode("terms").alias("key")).agg(
-        F.approx_count_distinct("key", 0.02)).first()[0]
-    counted = counts_by_vectors if distinct <= vocabulary else counts_by_rows
-    term = F.substring_index("key", SPLIT, -1)
-    return counted(tokens, min_docs).groupBy("key").agg(
-        F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("held")
-    ).select(
-        F.substring("key", F.lit(1), F.length("key") - F.length(term) - 1).alias("lang"),
-        term.alias("term"), "n", "held")
+    kept = saved(kept_terms(tokens, min_docs), "kept")
+    counted = counts_by_vectors if 0 < kept.count() <= vocabulary else counts_by_rows
+    return counted(tokens, kept).groupBy("lang", "term").agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("held"))
 
 
 def share(n: str, total: str, size: str) -> Column:
@@ -165,7 +167,7 @@ def _both_held(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Re
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
                vocabulary: int = VOCABULARY) -> DataFrame:
     """(lang, source, part, item, value, rank): parts ``pair`` and ``term``."""
-    tokens = saved(tokenized(docs), "terms")
+    tokens = tokenized(docs)
     rows = saved(term_rows(tokens, min_docs, vocabulary), "term-rows")
     each = rows.select("lang", "term", F.col("n").alias("lang_n"), F.explode("held").alias("h")).select(
         "lang", "term", "lang_n", "h.source", "h.n")
