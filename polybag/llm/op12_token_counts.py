@@ -47,9 +47,10 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 BLOCK = 1 << 21
 CHUNK = 256
-STATES = 100_000
+STATES = 150_000
 # Counts of pieces remembered by a worker, and the longest piece worth it.
-PIECES, PIECE = 300_000, 64
+PIECES, PIECE = 500_000, 64
+NEVER = 1 << 60
 
 # Kinds of characters.
 LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE, ONE, R, V, L, E, END = range(12)
@@ -144,65 +145,109 @@ class WordCutter:
 
 
 class MergeTransducer:
-    """Bytes of a piece to its number of tokens, by states that are made when first reached."""
+    """Bytes of a piece to its number of tokens, by states that are made when first reached.
+
+    Tokens are numbered: bytes first, then in the order of the merges, which is their rank.
+    """
 
     def __init__(self, merges: Iterable[tuple[bytes, bytes]], states: int = STATES) -> None:
-        self.ranks = {pair: rank for rank, pair in enumerate(merges)}
-        self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in self.ranks}
-        self.starts = {t[:n] for t in self.tokens for n in range(len(t) + 1)}
+        self.ids = {bytes([b]): b for b in range(256)}
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.joins: dict[int, int] = {}
+        for left, right in merges:
+            a, b, token = self.ids.get(left), self.ids.get(right), len(self.ids)
+            if a is None or b is None or left + right in self.ids:
+                raise ValueError("a merge comes before its parts, or twice")
+            self.ids[left + right] = token
+            self.parts[token], self.joins[a << 32 | b] = (a, b), token
+        self.starts = {t[:n] for t in self.ids for n in range(len(t) + 1)}
+        self.rights: dict[int, list] = {}
+        self.lefts: dict[int, list] = {}
+        self.wholes: dict[int, bool] = {}
         self.states = states
         self._clear()
 
     def _clear(self) -> None:
-        # A state: the longest suffix read that starts a token, where its own suffixes that
-        # start a token begin, the last token before each (None at the piece's start), and the
+        # A state: the longest suffix read that starts a token; for each of its own suffixes that
+        # start a token, where it begins, the last token before (-1 at the piece's start) and the
         # number of tokens there against the number here.
-        first = (b"", (0,), (None,), (0,))
+        first = (b"", ((0, -1, 0),))
         self.numbered, self.known = {first: 0}, [first]
         self.moves: dict[int, int] = {}
-        self.fits: dict[tuple[bytes | None, bytes], bool] = {}
 
-    def merged(self, piece: bytes) -> list[bytes]:
+    def merged(self, piece: bytes) -> list[int]:
         """The tokens of a short piece, merge by merge."""
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(pairwise(parts), key=lambda pair: self.ranks.get(pair, len(self.ranks)))
-            if best not in self.ranks:
-                break
+        parts = list(piece)
+        while True:
+            ranks = [self.joins.get(a << 32 | b, NEVER) for a, b in pairwise(parts)]
+            best = min(ranks, default=NEVER)
+            if best == NEVER:
+                return parts
             out, i = [], 0
             while i < len(parts):
-                if tuple(parts[i:i + 2]) == best:
-                    out.append(parts[i] + parts[i + 1])
+                if i < len(ranks) and ranks[i] == best and self.parts[best] == (parts[i], parts[i + 1]):
+                    out.append(best)
                     i += 2
                 else:
                     out.append(parts[i])
                     i += 1
             parts = out
-        return parts
 
-    def _fits(self, before: bytes | None, token: bytes) -> bool:
-        found = self.fits.get((before, token))
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at an edge of a token while it is made, with the merge that takes it away."""
+        out = [(token, NEVER)]
+        while token >= 256:
+            outer, token = token, self.parts[token][side]
+            out.append((token, outer))
+        return out
+
+    def fits(self, before: int, token: int) -> bool:
+        """Whether two whole tokens side by side stay as they are.
+
+        They do unless a merge across comes up while both its sides stand at the edge: before
+        the merge that takes the left one away, and no later than that which takes the right one,
+        as the leftmost of equal merges is first.
+        """
+        right = self.rights.get(before)
+        if right is None:
+            right = self.rights[before] = self._edge(before, 1)
+        left = self.lefts.get(token)
+        if left is None:
+            left = self.lefts[token] = self._edge(token, 0)
+        joins = self.joins
+        for a, until_a in right:
+            for b, until_b in left:
+                rank = joins.get(a << 32 | b)
+                if rank is not None and rank < until_a and rank <= until_b:
+                    return False
+        return True
+
+    def _whole(self, token: int, piece: bytes) -> bool:
+        """Whether the merges of a token's own bytes lead to it."""
+        found = self.wholes.get(token)
         if found is None:
-            tokens = [token] if before is None else [before, token]
-            found = self.fits[before, token] = self.merged(b"".join(tokens)) == tokens
+            found = self.wholes[token] = self.merged(piece) == [token]
         return found
 
     def _make(self, state: int, byte: int) -> int:
         """The transition as ``state * 4096 + change + 2048``."""
-        tail, begins, lasts, counts = self.known[state]
-        text = tail + bytes([byte])
-        for at, last, count in zip(begins, lasts, counts):
-            token = text[at:]
-            if token in self.tokens and self._fits(last, token):
+        tail, chain = self.known[state]
+        text = tail + bytes((byte,))
+        for at, last, count in chain:
+            piece = text[at:]
+            token = self.ids.get(piece)
+            if token is not None and (last < 0 or self.fits(last, token)) and self._whole(token, piece):
                 break
         else:
-            raise ValueError(f"no token ends {text!r}: the merges are out of order")
+            raise ValueError(f"no token ends {text!r}")
         change = count + 1
-        kept = [(at, b, c - change) for at, b, c in zip(begins, lasts, counts) if text[at:] in self.starts]
-        kept.append((len(text), token, 0))
-        off = kept[0][0]
-        target = (text[off:], tuple(at - off for at, _, _ in kept),
-                  tuple(b for _, b, _ in kept), tuple(c for _, _, c in kept))
+        starts = self.starts
+        kept = [(at, b, c - change) for at, b, c in chain if text[at:] in starts]
+        off = kept[0][0] if kept else len(text)
+        if off:
+            kept = [(at - off, b, c) for at, b, c in kept]
+        kept.append((len(text) - off, token, 0))
+        target = text[off:], tuple(kept)
         number = self.numbered.get(target)
         if number is None:
             number = self.numbered[target] = len(self.known)

@@ -139,6 +139,10 @@ def test_transducer_against_the_merges(compiled):
     for _ in range(2_000):
         piece = bytes(rng.choices(b"aehinorst\xc3\xa9 \xff", k=rng.randint(1, 14)))
         assert merges.count(piece) == len(merges.merged(piece))
+    tokens = {token: piece for piece, token in merges.ids.items() if len(piece) < 12}
+    whole = [t for t in rng.sample(sorted(tokens), 3_000) if merges.merged(tokens[t]) == [t]]
+    for a, b in zip(whole, whole[1:] + whole[:1]):
+        assert merges.fits(a, b) == (merges.merged(tokens[a] + tokens[b]) == [a, b])
 
 
 def test_scan_composes_the_maps():
