@@ -832,6 +832,13 @@ FROM steps GROUP BY run_id, epoch""")
 ORACLE["keep_latest"] = with_(STEPS, select="""
 SELECT run_id, epoch, max(step) AS step FROM steps GROUP BY run_id, epoch
 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) <= 2""")
+ORACLE["append_run_log"] = with_(STEPS, select="""
+SELECT run_id, epoch, epoch % 10 AS batch, count(*) AS steps, round(avg(loss), 6) AS loss
+FROM steps GROUP BY run_id, epoch""")
+ORACLE["append_report"] = f"SELECT *, (epoch % 4) // 2 AS batch FROM ({ORACLE['epoch_eval']})"
+ORACLE["expire_outputs"] = with_(STEPS, select="""
+SELECT run_id, epoch, count(*) AS steps, max(step) AS last_step FROM steps GROUP BY run_id, epoch
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) <= 2""")
 ORACLE["run_manifest"] = """
 SELECT event_id, 'type' AS name, event_type AS setting FROM events
 UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events"""
@@ -862,6 +869,11 @@ ORACLE["stream_epoch_loss"] = with_(STEPS, select="""
 SELECT run_id, epoch, round(avg(loss), 6) AS loss, count(*) AS steps
 FROM steps GROUP BY run_id, epoch""")
 
+ORACLE["stream_metrics_in_batches"] = ORACLE["stream_metrics"]
+ORACLE["stream_progress_log"] = """
+SELECT input_rows, count(*) AS batches FROM (
+  SELECT event_id % 8 AS part, count(*) AS input_rows FROM events GROUP BY part) GROUP BY input_rows"""
+
 ORACLE["document_labels"] = """
 SELECT doc_id AS sid, (quality + toxic)::INTEGER AS n,
        CASE WHEN quality = 1 AND toxic = 1 THEN 'quality;toxic' WHEN quality = 1 THEN 'quality'

@@ -21,7 +21,10 @@ from polybag.plans import datasets, evaluate, probe
 from polybag.session import saved, scratch_path
 from polybag.sources import images as image_files
 from polybag.sources import labels as label_files
+from polybag.sources import retention
 from polybag.sources import runs as run_files
+from polybag.sources.batches import read_batches
+from polybag.streaming import epochs, progress
 from polybag.streaming import evaluation as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -649,6 +652,44 @@ def keep_latest(spark, d):
     return runs.keep_latest(saved)
 
 
+@query
+def append_run_log(spark, d):
+    """Ten batches of epochs, each written twice, read once."""
+    path, log = scratch_path(spark, "run-log"), t.step_log(t.table(spark, d, "events"))
+    rows = saved(runs.epoch_loss(log, t.STEPS_PER_EPOCH), "epoch-loss")
+    for attempt in range(2):
+        for batch in range(10):
+            run_files.append_run_log(rows.where(F.col("epoch") % 10 == batch), path, f"job {d}", batch)
+    table = read_batches(spark, path, rows.schema)
+    return _rounded(table.select("run_id", "epoch", "batch", "steps", "loss"), "run_id", "epoch", "batch",
+                    "steps", decimals=6)
+
+
+@query
+def append_report(spark, d):
+    """The evaluation of every second epoch, appended by two attempts of a job."""
+    path = scratch_path(spark, "reports")
+    evaluated = t.evaluated_events(spark, d).withColumn(
+        "epoch", F.expr(f"event_id div {t.STEPS_PER_EPOCH} + 1"))
+    report = saved(evaluate.headline(runs.evaluated_epochs(evaluated, 2), ["epoch"]), "headline")
+    for attempt in range(2):
+        for batch in range(2):
+            run_files.append_report(report.where(F.col("epoch") % 4 == 2 * batch), path, "eval", batch)
+    table = read_batches(spark, path, report.schema)
+    return _rounded(table.drop("writer"), "epoch", "batch")
+
+
+@query
+def expire_outputs(spark, d):
+    """Outputs of each run and epoch are written as folders; the newest two of a run are left."""
+    root, log = scratch_path(spark, "outputs"), t.step_log(t.table(spark, d, "events"))
+    steps = log.withColumn("epoch", runs.epoch_of("step", t.STEPS_PER_EPOCH)).select("run_id", "epoch", "step")
+    steps.repartition("run_id", "epoch").write.partitionBy("run_id", "epoch").parquet(root)
+    retention.expire_outputs(spark, root, keep=2)
+    left = spark.read.schema(steps.schema).option("basePath", root).parquet(root)
+    return left.groupBy("run_id", "epoch").agg(F.count(F.lit(1)).alias("steps"), F.max("step").alias("last_step"))
+
+
 @query
 def run_manifest(spark, d):
     rows = t.table(spark, d, "events").select(
@@ -669,27 +710,44 @@ def stream_confusion(spark, d):
 
 @query
 def stream_metrics(spark, d):
-    state = live.score_state(t.stream_events(spark, d))
-    return _rounded(live.final_state(spark, state, live.metrics_of_state), "metric", "label_idx")
+    return _rounded(live.evaluated_stream(t.stream_events(spark, d)), "metric", "label_idx")
 
 
 @query
 def stream_epoch_eval(spark, d):
-    """Every second epoch of a running stream is evaluated; others never enter the state."""
+    """Every second epoch of a running stream is evaluated; others are never counted."""
     stream = t.stream_events(spark, d).withColumn(
         "epoch", F.expr(f"event_id div {t.STEPS_PER_EPOCH} + 1"))
-    state = live.score_state(runs.evaluated_epochs(stream, 2), ["epoch"])
-    report = live.final_state(spark, state, lambda s: live.metrics_of_state(s, ["epoch"]))
+    report = live.evaluated_stream(runs.evaluated_epochs(stream, 2), ["epoch"])
     return _rounded(report.where("label_idx IS NULL").drop("label_idx"), "epoch", "metric")
 
 
+@query
+def stream_metrics_in_batches(spark, d):
+    """Eight batches, with runs folded by four: the report is that of one batch."""
+    evaluator = live.StreamEvaluator(t.event_batches(spark, d, 8), scratch_path(spark, "evaluation"), fan=4)
+    evaluator.start().awaitTermination()
+    return _rounded(evaluator.report(), "metric", "label_idx")
+
+
 @query
 def stream_epoch_loss(spark, d):
     schema = t.table(spark, d, "events").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .parquet(d))
-    state = live.epoch_loss_state(t.step_log(stream), t.STEPS_PER_EPOCH)
-    return _rounded(live.final_state(spark, state), "run_id", "epoch", "steps", decimals=6)
+    found = epochs.epochs_so_far(t.step_log(stream), t.STEPS_PER_EPOCH)
+    return _rounded(found.select("run_id", "epoch", "steps", "loss"), "run_id", "epoch", "steps", decimals=6)
+
+
+@query
+def stream_progress_log(spark, d):
+    """Input rows per batch, as a listener has logged them: one event per batch of a part."""
+    root = scratch_path(spark, "progress")
+    evaluator = live.StreamEvaluator(t.event_batches(spark, d, 8), scratch_path(spark, "evaluation"))
+    with progress.ProgressLog(spark, root) as log:
+        log.wait(evaluator.start())
+    rows = progress.progress_rows(spark, root).where("input_rows > 0")
+    return rows.groupBy("input_rows").agg(F.count(F.lit(1)).alias("batches"))
 
 
 # ---------------------------------------------------------------- linear probe

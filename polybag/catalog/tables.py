@@ -22,7 +22,7 @@ from polybag.functions import bind, hash_uniform
 from polybag.operators import labels as lab
 from polybag.operators import scoring
 from polybag.operators.skew import spread_join
-from polybag.session import saved
+from polybag.session import saved, scratch_path
 
 EVENT_CLASSES = 5
 VECTOR_CLASSES = 10
@@ -108,11 +108,25 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Class order is the alphabet of the types; an event's annotation is its own type.
     """
     source = table(spark, sf_dir, "events")
-    stream = (
+    return event_examples(
         spark.readStream.schema(source.schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir)
     )
+
+
+def event_batches(spark: SparkSession, sf_dir: str, batches: int) -> DataFrame:
+    """The same stream in ``batches`` micro-batches: events by their id modulo that number."""
+    source, parts = table(spark, sf_dir, "events"), scratch_path(spark, "event-parts")
+    part = F.col("event_id") % batches
+    source.withColumn("part", part).repartition(part).write.partitionBy("part").parquet(parts)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", True).parquet(parts)
+    return event_examples(stream)
+
+
+def event_examples(stream: DataFrame) -> DataFrame:
+    """Rows of events as evaluated examples."""
     types = F.array(*[F.lit(t) for t in ("click", "error", "purchase", "signup", "view")])
     own = F.transform(types, lambda t: (F.col("event_type") == t).cast("int"))
     scores = F.transform(types, lambda t: (

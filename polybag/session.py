@@ -6,10 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from polybag.sources import folders
+
 # Settings for sessions we create ourselves (tests, bench, scripts).  A cluster's own session
 # is never changed by the operators.
 DEFAULTS = {
@@ -55,9 +59,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+# The folder of the job in progress, if any.
+_JOB: ContextVar[str | None] = ContextVar("polybag_job", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the folder of the job in progress, or else below the shared folder."""
+    folder = _JOB.get() or shared_dir(spark).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_folder(spark: SparkSession, name: str = "job") -> Iterator[str]:
+    """All that is saved inside the block lies in one folder, which goes when the block ends.
+
+    Write or collect the result inside: a DataFrame that reads a saved table is of no use later.
+    The folder is removed after a failure too; one whose driver died is left for
+    ``retention.expire_outputs``.  Blocks may be nested; the folder of the inner one goes first.
+    """
+    path = scratch_path(spark, name)
+    outer = _JOB.set(path)
+    try:
+        yield path
+    finally:
+        _JOB.reset(outer)
+        folders.remove(spark, path)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from polybag.operators.metrics import (
     BRIEF_METRICS, LABEL_METRICS, REPORT_METRICS, SCORE_METRICS)
 from polybag.operators.runs import parse_run_log
+from polybag.sources.batches import append_batch
 
 # Report layout (fixed values): width of the name column, headings of the per-label lists.
 NAME_WIDTH = 27
@@ -27,9 +28,9 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_run_log(spark.read.text(path))
 
 
-def append_run_log(rows: DataFrame, path: str) -> None:
-    """Append step or epoch rows to the run table."""
-    rows.write.mode("append").parquet(path)
+def append_run_log(rows: DataFrame, path: str, writer: str, batch: int) -> bool:
+    """Append a batch of step or epoch rows to the run table, once (:mod:`batches`)."""
+    return append_batch(rows, path, writer, batch)
 
 
 def write_manifest(manifest: DataFrame, paths: str | Sequence[str]) -> None:
@@ -44,9 +45,9 @@ def manifest_frame(spark: SparkSession, config: Mapping, args: Mapping) -> DataF
     return spark.createDataFrame([tuple(merged.values())], list(merged))
 
 
-def append_report(report: DataFrame, path: str) -> None:
-    """Add one evaluation to the report table (created when missing)."""
-    report.write.mode("append").parquet(path)
+def append_report(report: DataFrame, path: str, writer: str, batch: int) -> bool:
+    """Add one evaluation to the report table, once: ``batch`` is its epoch or number."""
+    return append_batch(report, path, writer, batch)
 
 
 def overwrite_report(report: DataFrame, path: str) -> None:
@@ -99,10 +100,11 @@ def report_lines(report: DataFrame, layout: str = "full") -> DataFrame:
 
 
 def write_report_text(report: DataFrame, path: str, layout: str = "full",
-                      append: bool = False) -> None:
-    """Write the text form as one small file."""
+                      batch: int | None = None) -> None:
+    """Write the text form as one small file; with a ``batch``, beside those of other batches."""
     lines = report_lines(report, layout).orderBy("line_no").select(F.col("line").alias("value"))
-    lines.coalesce(1).write.mode("append" if append else "overwrite").text(path)
+    target = path if batch is None else f"{path.rstrip('/')}/batch={batch}"
+    lines.coalesce(1).write.mode("overwrite").text(target)
 
 
 def print_report(report: DataFrame) -> None:

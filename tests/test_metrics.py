@@ -190,8 +190,8 @@ def test_user_scorer_sees_whole_batches(spark):
 def test_report_files(spark, golden, tmp_path):
     report = evaluate.full_report(golden).persist()
     table = str(tmp_path / "table")
-    files.append_report(report, table)
-    files.append_report(report, table)
+    for epoch in (1, 2, 2):
+        files.append_report(report, table, "eval", epoch)
     assert spark.read.parquet(table).count() == 2 * report.count()
     files.overwrite_report(report, table)
     assert spark.read.parquet(table).count() == report.count()
@@ -214,8 +214,8 @@ def test_report_files(spark, golden, tmp_path):
         ("auc", "sk_auc_macro"), ("f1_macro", "sk_f1_macro"), ("f1_micro", "sk_f1_micro"),
         ("sensitivity", "lab_sensitivity"), ("specificity", "lab_specificity"))]
     text = str(tmp_path / "text")
-    files.write_report_text(report, text, append=True)
-    files.write_report_text(report, text, append=True)
+    for epoch in (1, 2, 2):
+        files.write_report_text(report, text, batch=epoch)
     written = [r.value for r in spark.read.text(text).collect()]
     assert written.count(files.RULE) == 2 and sorted(written) == sorted(full * 2)
     brief = {r.metric for r in evaluate.brief_report(golden).collect()}

@@ -10,6 +10,7 @@ from polybag.catalog import tables as t
 from polybag.operators import metrics, runs, scoring
 from polybag.plans import evaluate
 from polybag.sources import runs as files
+from polybag.sources.batches import read_batches
 from polybag.streaming import evaluation as live
 
 LOG = """2021-01-15 00:11:06,861 - INFO: the 1 epoch's resnet result:  training loss 5.881546497344971,training per step cost 0.23 s, total_cost 763.72 s
@@ -50,9 +51,12 @@ def test_epoch_loss(spark, tmp_path):
     assert found[1].loss == 2.0 and found[2].loss == 7.0 and found[1].steps == 5
     assert found[1].step_seconds == pytest.approx(0.8) and found[1].total_seconds == pytest.approx(4.0)
     assert runs.evaluated_epochs(log.withColumn("epoch", runs.epoch_of("step", 5)), 2).count() == 5
-    files.append_run_log(log, str(tmp_path / "runs"))
-    files.append_run_log(log, str(tmp_path / "runs"))
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == 20
+    table = str(tmp_path / "runs")
+    # A job that runs again adds nothing; another batch and another writer do.
+    added = [files.append_run_log(log, table, w, b) for w, b in (("a", 1), ("a", 1), ("a", 2), ("b/c", 1))]
+    assert added == [True, False, True, True]
+    found = read_batches(spark, table, log.schema)
+    assert found.groupBy("writer", "batch").count().count() == 3 and found.count() == 30
 
 
 def test_keep_latest(spark):
