@@ -3,10 +3,10 @@
 Spark ML's ``CountVectorizer`` (the largest integer as ``vocabSize``) turns each document into the
 exact sparse vector of its terms.  Entries of the vectors are summed per (lang, source), as
 ``Summarizer`` sums vectors, but sparse, so that a buffer holds one number and not a vocabulary.
-All languages share one model: a term carries its language in front, which gives each language
-the vocabulary that a fit of its own would give.  The model is fitted on the table of kept terms,
-those that ``min_docs`` documents of the language hold: an aggregate finds them at a fraction of
-the cost of ``fit(minDF)`` over all documents, and their number is then known.
+The model is fitted on the table of kept terms, those that ``min_docs`` documents of a language
+hold: an aggregate finds them at a fraction of the cost of ``fit(minDF)`` over all documents, and
+their number is then known.  All languages share one model; of the sums, those stay whose term the
+language itself keeps, which is what a model for each language would give.
 
 A term has, in a group, ``p = 1 + floor(SCALE * (count + 1) / (N + V))``.  The divergence of two
 sources is the sum of ``floor((p - q)^2 / q)`` over all V terms of the language, but only terms
@@ -15,7 +15,7 @@ how many of its terms have each count, and only terms that both hold are met one
 row that lists the sources of a term.  Tasks add these up per pair of sources before the shuffle.
 
 ``CountVectorizer`` keeps its vocabulary on the driver and broadcasts it.  Beyond ``VOCABULARY``
-kept terms the same counts come from plain rows, one per (language, term, source), which shuffle.
+kept terms the same counts come from plain rows, one per (group, term), which shuffle.
 Either way the result is the same.
 
 Counts are exact up to 2^53 (vectors hold doubles), shares use 38-digit integers.  Null text, lang
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polybag.llm.common import UPPER, text_of
-from polybag.operators.skew import sorted_rank
+from polybag.operators.skew import BROADCAST_ROWS, sorted_rank
 from polybag.session import map_arrow, saved, scratch_path
 
 MIN_DOCS = 3
@@ -44,7 +44,6 @@ SCALE = 1_000_000_000
 # Kept terms up to which a vocabulary may be held on the driver: some 250 MB there.
 VOCABULARY = 2_000_000
 ALL_TERMS = 2**31 - 1
-SPLIT = "\0"  # no term has it
 _BETWEEN = "".join(map(chr, [*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 # Partial sums a task holds before it emits them.
 _HELD_PAIRS = 1_000_000
@@ -60,54 +59,65 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms) of every document."""
-    return docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"),
-                       terms_of(text_of()).alias("terms"))
+def numbered_groups(docs: DataFrame) -> DataFrame:
+    """(lang, source, at): every group that occurs, with its place in the order of their names."""
+    names = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"))
+    return saved(sorted_rank(names.distinct(), "lang", "source", rank="at"), "groups")
 
 
-def kept_terms(tokens: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def tokenized(docs: DataFrame, groups: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(keys, terms) of every document, and the keys that tell its group.
+
+    A list of groups that is short (it is counted) is broadcast, and a number is the key; with a
+    longer one the names are, so texts are never shuffled to meet it.
+    """
+    rows = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"), text_of().alias("text"))
+    keys = ["lang", "source"]
+    if groups.count() <= BROADCAST_ROWS:
+        rows, keys = rows.join(F.broadcast(groups), keys), ["at"]
+    return rows.select(*keys, terms_of(F.col("text")).alias("terms")), keys
+
+
+def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term) of the terms that at least ``min_docs`` documents of the language hold."""
-    return tokens.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy(
-        "lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(
+    return docs.select(text_of("lang").alias("lang"), F.explode(F.array_distinct(terms_of(text_of()))).alias(
+        "term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(
         F.col("docs") >= min_docs).select("lang", "term")
 
 
-def counts_by_vectors(tokens: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n): sums of the entries of CountVectorizer's vectors.
+def counts_by_vectors(tokens: DataFrame, keys: list[str], kept: DataFrame) -> DataFrame:
+    """(keys, term, n) of every term kept in some language: sums of CountVectorizer's entries.
 
-    ``kept`` must not be empty.  A term carries its language in front.
+    ``kept`` must not be empty.
     """
     spark = tokens.sparkSession
-    model = CountVectorizer(inputCol="keys", outputCol="vector", minDF=1.0, vocabSize=ALL_TERMS).fit(
-        kept.select(F.array(F.concat("lang", F.lit(SPLIT), "term")).alias("keys")))
+    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=1.0, vocabSize=ALL_TERMS).fit(
+        kept.select(F.array("term").alias("terms")))
     path = scratch_path(spark, "vocabulary")
     model.write().save(path)
-    term = F.substring_index("key", SPLIT, -1)
-    vocabulary = spark.read.parquet(f"{path}/data").select(
-        F.posexplode("vocabulary").alias("at", "key")).select("at", term.alias("term"))
-    keys = F.transform("terms", lambda t: F.concat("lang", F.lit(SPLIT), t))
-    vectors = model.transform(tokens.select("lang", "source", keys.alias("keys"))).select(
-        "lang", "source", F.unwrap_udt("vector").alias("v"))
-    sums = vectors.select("lang", "source", F.explode(F.arrays_zip(
-        F.col("v.indices").alias("at"), F.col("v.values").alias("n"))).alias("e")).groupBy(
-        "lang", "source", F.col("e.at").alias("at")).agg(F.sum("e.n").cast("bigint").alias("n"))
-    return sums.join(vocabulary, "at").select("lang", "source", "term", "n")
-
-
-def counts_by_rows(tokens: DataFrame, kept: DataFrame) -> DataFrame:
-    """The same counts for a vocabulary of any size."""
-    sums = tokens.select("lang", "source", F.explode("terms").alias("term")).groupBy(
-        "lang", "term", "source").agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(kept, ["lang", "term"]).select("lang", "source", "term", "n")
-
-
-def term_rows(tokens: DataFrame, min_docs: int = MIN_DOCS, vocabulary: int = VOCABULARY) -> DataFrame:
-    """One row per kept term: (lang, term, n, held), ``held`` an array of (source, n)."""
-    kept = saved(kept_terms(tokens, min_docs), "kept")
+    vocabulary = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("place", "term"))
+    vectors = model.transform(tokens).select(*keys, F.unwrap_udt("vector").alias("v"))
+    sums = vectors.select(*keys, F.explode(F.arrays_zip(
+        F.col("v.indices").alias("place"), F.col("v.values").alias("n"))).alias("e")).groupBy(
+        *keys, F.col("e.place").alias("place")).agg(F.sum("e.n").cast("bigint").alias("n"))
+    return sums.join(vocabulary, "place").select(*keys, "term", "n")
+
+
+def counts_by_rows(tokens: DataFrame, keys: list[str], kept: DataFrame) -> DataFrame:
+    """The same counts, of every term, for a vocabulary of any size."""
+    return tokens.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def term_rows(docs: DataFrame, groups: DataFrame, min_docs: int = MIN_DOCS,
+              vocabulary: int = VOCABULARY) -> DataFrame:
+    """One row per kept term: (lang, term, n, held), ``held`` an array of (at, n)."""
+    kept = saved(kept_terms(docs, min_docs), "kept")
     counted = counts_by_vectors if 0 < kept.count() <= vocabulary else counts_by_rows
-    return counted(tokens, kept).groupBy("lang", "term").agg(
-        F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("held"))
+    tokens, keys = tokenized(docs, groups)
+    # A term may be kept in one language and occur in another.
+    return counted(tokens, keys, kept).join(groups, keys).groupBy("lang", "term").agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("at", "n")).alias("held")).join(kept, ["lang", "term"])
 
 
 def share(n: str, total: str, size: str) -> Column:
@@ -167,22 +177,19 @@ def _both_held(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Re
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
                vocabulary: int = VOCABULARY) -> DataFrame:
     """(lang, source, part, item, value, rank): parts ``pair`` and ``term``."""
-    tokens = tokenized(docs)
-    rows = saved(term_rows(tokens, min_docs, vocabulary), "term-rows")
+    named = numbered_groups(docs)
+    rows = saved(term_rows(docs, named, min_docs, vocabulary), "term-rows")
     each = rows.select("lang", "term", F.col("n").alias("lang_n"), F.explode("held").alias("h")).select(
-        "lang", "term", "lang_n", "h.source", "h.n")
+        "term", "lang_n", "h.at", "h.n")
 
     langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("lang_total"))
-    totals = each.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    # At least one row per group and language, however many there are.
-    groups = sorted_rank(
-        tokens.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
-        .join(langs, "lang", "left").na.fill(0, ["total", "size", "lang_total"])
-        .withColumn("zero", F.when(F.col("size") > 0, share("0", "total", "size")).otherwise(1)),
-        "lang", "source", rank="at")
+    totals = each.groupBy("at").agg(F.sum("n").alias("total"))
+    groups = saved(named.join(totals, "at", "left").join(langs, "lang", "left")
+                   .na.fill(0, ["total", "size", "lang_total"]).withColumn(
+        "zero", F.when(F.col("size") > 0, share("0", "total", "size")).otherwise(1)), "groups")
     n_groups = groups.count()
 
-    shares = saved(each.join(groups, ["lang", "source"]).select(
+    shares = saved(each.join(groups, "at").select(
         "lang", "source", "term", "at", "zero", "n", share("n", "total", "size").alias("p"),
         share("lang_n", "lang_total", "size").alias("q")), "shares")
 
