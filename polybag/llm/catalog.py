@@ -40,7 +40,7 @@ QUERIES: dict[str, Query] = {
 }
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
-TOKENS = f"'{op8_license_scans.LICENSE_WORD}'"
+TOKENS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 A_TO_Z = f"'{UPPER}', '{UPPER.lower()}'"
 
 
@@ -112,20 +112,27 @@ def _license_scans() -> str:
     base = "list_filter([" + ", ".join(
         f"CASE WHEN len(at_{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases)
     ) + "], lambda x: x IS NOT NULL)"
-    templates = ", ".join(f"('{label}', {_quoted(sorted(set(op8_license_scans.tokens(text))))})"
-                          for label, text in op8_license_scans.TEMPLATES.items())
+    notices = ", ".join(f"({k}, '{t.label}', '{t.text}', {_quoted(t.must)})"
+                        for k, t in enumerate(op8_license_scans.TEMPLATES))
     return f"""
-WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), {A_TO_Z}) AS t FROM documents),
-docs AS (SELECT r, doc_id, t, regexp_extract_all(t, {TOKENS}) AS w FROM lowered),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
+                     regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), {TOKENS}) AS w FROM documents),
 spaced AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS spaced FROM docs),
 placed AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, {places} FROM spaced),
 found AS (SELECT r, doc_id, n_words, {every} AS spots, {base} AS base FROM placed),
-lines AS (SELECT r, regexp_extract_all(unnest(string_split(t, chr(10))), {TOKENS}) AS line FROM docs),
-templates(label, words) AS (VALUES {templates}),
-matched AS (
-  SELECT r, label, max(len(list_intersect(line, words)) / len(words)) AS containment
-  FROM lines JOIN templates ON len(list_intersect(line, words)) >= ceil({op8_license_scans.CONTAINMENT} * len(words) - 1e-9)
-  GROUP BY r, label),
+said AS (SELECT t, label, must, regexp_extract_all(translate(notice, {A_TO_Z}), {TOKENS}) AS said
+         FROM (VALUES {notices}) n(t, label, notice, must)),
+templates AS (SELECT t, label, must, list_distinct(said) AS words, len(list_distinct(said)) AS size,
+                     ceil({op8_license_scans.CONTAINMENT} * len(list_distinct(said)) - 1e-9) AS need,
+                     ceil(len(said) / {op8_license_scans.CONTAINMENT} - 1e-9) AS reach FROM said),
+-- A window may begin at any word of the template; only texts with its telling words can match.
+hits AS (SELECT r, t, j, x FROM (
+           SELECT r, t, unnest(w) AS x, generate_subscripts(w, 1) AS j, words
+           FROM docs JOIN templates ON list_has_all(w, must)) WHERE list_contains(words, x)),
+windows AS (SELECT a.r, a.t, a.j, list(DISTINCT b.x) AS held FROM hits a JOIN templates USING (t)
+            JOIN hits b ON a.r = b.r AND a.t = b.t AND b.j >= a.j AND b.j < a.j + reach GROUP BY a.r, a.t, a.j),
+matched AS (SELECT r, label, max(len(held) / size) AS containment FROM windows JOIN templates USING (t)
+            WHERE len(held) >= need AND list_has_all(held, must) GROUP BY r, label),
 labelled AS (SELECT r, list(label) AS more, max(containment) AS containment FROM matched GROUP BY r)
 SELECT doc_id, n_words, len(spots)::BIGINT AS n_base, list_min(spots)::BIGINT AS first_word,
        list_max(spots)::BIGINT AS last_word, array_to_string(list_sort(base), ',') AS base_labels,

@@ -1,12 +1,15 @@
 """Mixing, sharding, licences, fingerprints and repeated passages."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from polybag.llm import (
     op3_mixing, op4_fingerprints, op5_substrings, op7_sharding, op8_license_scans)
@@ -111,20 +114,87 @@ def test_licenses(docs_of):
     assert got[6].labels == "mit" and got[6].base_labels == ""
 
 
-def test_license_join_against_brute_force(spark):
+def brute_licenses(words, templates, containment):
+    """Every window of every template, by its words."""
+    best = {}
+    for t in templates:
+        own = set(op8_license_scans.tokens(t.text))
+        reach = math.ceil(len(op8_license_scans.tokens(t.text)) / containment - 1e-9)
+        for start in range(len(words)):
+            held = own & set(words[start:start + reach])
+            share = len(held) / len(own)
+            if share >= containment - 1e-9 and set(t.must) <= held:
+                best[t.label] = max(best.get(t.label, 0), share)
+    return best
+
+
+def test_license_join_against_brute_force(docs_of):
     random.seed(9)
-    words = [f"t{i}" for i in range(12)]
-    templates = {f"l{k}": " ".join(random.sample(words, random.randint(3, 9))) for k in range(6)}
-    blocks = [(i, sorted(random.sample(words, random.randint(1, 12)))) for i in range(500)]
-    got = {(r.rid, r.label): r.containment for r in op8_license_scans.matches(
-        spark.createDataFrame(blocks, "rid bigint, block array<string>"), templates, 0.7).collect()}
-    want = {}
-    for i, block in blocks:
-        for label, text in templates.items():
-            t = set(text.split())
-            if len(t & set(block)) / len(t) >= 0.7:
-                want[i, label] = pytest.approx(len(t & set(block)) / len(t))
-    assert got == want
+    words = [f"t{i}" for i in range(14)]
+    templates = []
+    for k in range(7):
+        said = random.choices(words, k=random.randint(3, 12))
+        templates.append(op8_license_scans.Template(f"l{k % 5}", " ".join(said), tuple(random.sample(
+            sorted(set(said)), random.randint(1, 2)))))
+    texts = [random.choices(words + ["x"] * random.randint(0, 40), k=random.randint(0, 60)) for _ in range(250)]
+    # Notices with words changed, dropped, doubled and put in between.
+    for t in templates * 12:
+        said = t.text.split()
+        for _ in range(random.randint(0, 3)):
+            at = random.randrange(len(said))
+            said[at:at + 1] = random.choice([["x"], [], [said[at]] * 2, ["x", said[at]]]) or ["y"]
+        texts.append(["y"] * random.randint(0, 30) + said + random.choices(words, k=random.randint(0, 3)))
+    docs = docs_of([(i, " ".join(t), "s") for i, t in enumerate(texts)])
+    for containment in (0.6, 0.8, 1.0):
+        rows = op8_license_scans.scan_bases(docs, templates).withColumn("rid", F.col("doc_id"))
+        hits = op8_license_scans.template_hits(rows, op8_license_scans.shapes(templates, containment))
+        got = {(r.rid, r.label): r.containment for r in op8_license_scans.matches(
+            hits, templates, containment).collect()}
+        want = {(i, label): pytest.approx(share) for i, t in enumerate(texts)
+                for label, share in brute_licenses(t, templates, containment).items()}
+        assert got == want and len(want) > 20
+
+
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to
+the following conditions:"""
+APACHE = """ Licensed under the Apache License, Version 2.0 (the "License");
+ you may not use this file except in compliance with the License.
+ You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Released under the Apache License, Version 2.0", "apache-2"), ("Released under the GPL license", ""),
+    ("the license was released yesterday and everything under the sun", ""), (MPL, "mpl-2"), (BSD, "bsd"),
+    (GPL, "gpl"), (MIT, "mit"), (APACHE, "apache-2"), ("prose " * 400 + BSD + " prose" * 400, "bsd"),
+    (MIT + "\n\n" + MPL, "mit,mpl-2"), ("free of charge, to any person who asks for a copy of the software", "")])
+def test_published_notices(docs_of, text, labels):
+    [got] = op8_license_scans.license_digest(docs_of([(1, text, "s")])).collect()
+    assert got.labels == labels and (got.score >= 0.8) == bool(labels)
+
+
+def test_licenses_of_awkward_rows(awkward):
+    rows = [(r.doc_id, r.text or "") for r in awkward.collect()]
+    got = op8_license_scans.license_digest(awkward).collect()
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = Counter((i, len(word.findall(text.translate(lower)))) for i, text in rows)
+    assert Counter((r.doc_id, r.n_words) for r in got) == want
+    assert {(r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in got} == {
+        (0, None, None, "", "", 0.0)}
 
 
 def sketch_of(spark, text):
