@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,8 +29,7 @@ from pyspark.sql import functions as F
 
 from polybag.llm.common import ROW, kept_whole, text_of, unwrapped
 from polybag.llm.components import components
-from polybag.llm.op5_substrings import run_hashes, word_hashes
-from polybag.session import map_arrow, saved, ship_package
+from polybag.session import map_arrow, saved
 
 SHINGLE = 3
 SEED = 42
@@ -161,15 +159,20 @@ def linked_pairs(marks: DataFrame, block: int = BLOCK) -> DataFrame:
     return map_arrow(dealt, _units, "u bigint, v bigint")
 
 
-def with_components(marked: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Add ``component_id``, the least ``doc_id`` that links reach, to (doc_id, mark, ...) rows.
+def rooted_marks(marked: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(mark, first, root) of each distinct fingerprint: its least ``doc_id``, and its component.
 
     Equal fingerprints are one node, however many documents share them.
     """
     nodes = saved(marked.groupBy("mark").agg(F.min("doc_id").alias("first")), "marks")
     roots = components(linked_pairs(nodes.select("mark"), block))
-    rooted = nodes.join(roots, nodes["mark"] == roots["node"], "left").select(
+    return nodes.join(roots, nodes["mark"] == roots["node"], "left").select(
         "mark", "first", F.coalesce("root", "mark").alias("root"))
+
+
+def with_components(marked: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Add ``component_id``, the least ``doc_id`` that links reach, to (doc_id, mark, ...) rows."""
+    rooted = rooted_marks(marked, block)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(rooted.join(least, "root").select("mark", "component_id"), "mark")
 
@@ -180,353 +183,24 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# ---------------------------------------------------------------- near duplicates of whole texts
-#
-# At 0.8 similarity of five-word shingles, fingerprints of whole texts differ in some eight bits, and
-# three or fewer find one pair in thirty.  So a text's shingles are dealt over bins by their hash and
-# each bin gets a SimHash too: an edit leaves most bins as they are.  That is a quick search for the
-# bulk of the links.  An exact prefix-filter join then finds every link between the groups so far.
-
-NEAR_SHINGLE = 5
-NEAR = 0.8
-BIN = 6
-BINS = 16
-# 64-bit words of the parity bits that stand for a set of shingles.
-PARITY = 16
-# One text in so many tells which shingles are common: those that ``COMMON`` of them hold.  They come
-# last in the order of the join; any order gives the same links.
-SAMPLE = 32
-COMMON = 8
-COMMONS = 20_000
-
-
-def shingle_set(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """Distinct hashes of the word shingles, sorted; a shorter text is one shingle."""
-    h = word_hashes(text.lower())
-    return np.unique(run_hashes(h, min(shingle, len(h)))) if len(h) else h
-
-
-def bin_marks(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, SimHash of its shingles) of a text.
-
-    The number of bins is a power of two that leaves about ``BIN`` shingles in each; the next
-    larger one is used as well, so two texts of nearly the same length share one of the two.  Of
-    many bins the first ``BINS`` are kept: links need not be found here, but most are.
-    """
-    if not len(shingles):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    level = max(0, int(np.log2(len(shingles) / BIN)))
-    names, marks = [], []
-    for t in (level, level + 1):
-        place = (shingles & np.uint64((1 << t) - 1)).astype(np.int64)
-        own = shingles[place < BINS]
-        place = place[place < BINS]
-        if not len(own):
-            continue
-        order = np.argsort(place, kind="stable")
-        place, own = place[order], own[order]
-        cuts = np.flatnonzero(np.diff(place, prepend=-1))
-        bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sizes = np.diff(np.append(cuts, len(place)))
-        ones = np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-        names.append(t * BINS + place[cuts])
-        marks.append(np.packbits(ones * 2 > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64))
-    return np.concatenate(names), np.concatenate(marks).view(np.int64)
-
-
-def _bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for tid, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                     batch.column(2).cast(pa.binary())):
-            names, marks = bin_marks(shingle_set(text.as_py()))
-            out += [(tid, doc_id, n, m) for n, m in zip(names.tolist(), marks.tolist())]
-        columns = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns],
-                                         ["tid", "doc_id", "bin", "mark"])
-
-
-def _shingles(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: shingle_set(t.encode()).view(np.int64))
-
-
-_shingles.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-
-
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: np.ndarray, y: np.ndarray) -> float:
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        both = len(x) + len(y) - shared
-        return shared / both if both else 1.0
-    return pd.Series([one(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)], dtype=float)
-
-
-_similar.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-
-
-def _wide_bits(sets: pd.Series) -> pd.Series:
-    """Parity bits, at least four for each shingle; the width is a power of two."""
-    def one(own: np.ndarray) -> bytes:
-        width = 1 << max(6, (4 * len(own) - 1).bit_length())
-        place = (np.asarray(own).view(np.uint64) >> np.uint64(20)) & np.uint64(width - 1)
-        odd = np.bincount(place.astype(np.int64), minlength=width) % 2
-        return np.packbits(odd.astype(np.uint8)).tobytes()
-    return sets.map(one)
-
-
-_wide_bits.__annotations__ = {"sets": pd.Series, "return": pd.Series}
-
-
-def _least_apart(a: pd.Series, b: pd.Series) -> pd.Series:
-    """In how many shingles two sets differ at least; the wider bits are folded to the other's width."""
-    def one(x: bytes, y: bytes) -> int:
-        u, v = (np.frombuffer(z, np.uint64) for z in sorted((x, y), key=len))
-        v = np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0)
-        return int(np.bitwise_count(u ^ v).sum(dtype=np.int64))
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
-
-
-_least_apart.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One document of each component stays, the one of the least id, with its columns.
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """(a, b) pairs of texts that share a bin's fingerprint, or link by that of the whole.
-
-    Every text of a bin's fingerprint is paired with the first of them, not with each other; what
-    that leaves out is found by ``_pairs_between``.
-    """
-    bins = saved(map_arrow(texts.select("tid", "doc_id", "text"), _bin_rows,
-                           "tid bigint, doc_id bigint, bin bigint, mark bigint"), "bins")
-    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tid")
-    firsts = bins.groupBy("bin", "mark").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
-    starred = bins.join(firsts.where("n > 1"), ["bin", "mark"]).select(
-        F.col("first.tid").alias("a"), F.col("tid").alias("b"))
-    marked = saved(map_arrow(texts.select("tid", F.lit("").alias("text_key"), "text"),
-                             _fingerprints(NEAR_SHINGLE),
-                             "doc_id bigint, text_key string, mark bigint"), "simhash")
-    nodes = saved(marked.groupBy("mark").agg(F.min("doc_id").alias("tid")), "marks")
-    equal = marked.withColumnRenamed("doc_id", "b").join(nodes, "mark").select(
-        F.col("tid").alias("a"), "b")
-    linked = linked_pairs(nodes.select("mark")).join(
-        nodes.withColumnsRenamed({"mark": "u", "tid": "a"}), "u").join(
-        nodes.withColumnsRenamed({"mark": "v", "tid": "b"}), "v").select("a", "b")
-    return starred.union(equal).union(linked).where("a != b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _common_shingles(texts: DataFrame) -> np.ndarray:
-    """Shingles that many texts hold, at most ``COMMONS``."""
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0)
-    counts = some.select(F.explode(F.pandas_udf(_shingles, "array<bigint>")("text")).alias("s")).groupBy(
-        "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    rows = counts.orderBy(F.desc("n"), "s").limit(COMMONS).select("s").collect()
-    return np.sort(np.array([r.s for r in rows], dtype=np.int64).view(np.uint64))
-
-
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """Each shingle flips one bit: sets that differ in d shingles differ in d bits at most."""
-    place = (shingles >> np.uint64(20)) % np.uint64(64 * PARITY)
-    odd = np.bincount(place.astype(np.int64), minlength=64 * PARITY) % 2
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
-def _prefixes(common: np.ndarray, near: float, buckets: int) -> Callable:
-    """Of each text the first shingles in order: sets that are ``near`` alike share one of these.
-
-    They leave packed, a row for each bucket of shingles; besides, each text has a row with the size
-    and the parity bits of its set.
-    """
-    names = ["tid", "n", "bits", "bucket", "keys", "tids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefixes, sizes, bits = [np.empty(0, np.uint64)], [], []
-            for text in batch.column(1).cast(pa.binary()):
-                own = shingle_set(text.as_py())
-                sizes.append(len(own))
-                bits.append(parity_bits(own).tobytes())
-                late = np.isin(own, common)
-                order = np.concatenate([own[~late], own[late]])
-                prefixes.append(order[:len(own) - int(np.ceil(near * len(own) - 1e-9)) + 1])
-            none = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()),
-                 none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names)
-            keys = np.concatenate(prefixes)
-            tids = np.repeat(batch.column(0).to_numpy(), [len(p) for p in prefixes[1:]])
-            bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            keys, tids, bucket = keys[order], tids[order], bucket[order]
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            none = pa.nulls(len(first))
-            yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(bucket[first]),
-                 *(pa.array([part.tobytes() for part in np.split(column, first[1:])] if len(first) else [],
-                            pa.binary()) for column in (keys, tids))], names)
-    return run
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket to the (key, tid) whose key several texts have."""
-    def found(keys: list[bytes], tids: list[bytes]) -> pa.RecordBatch:
-        key, tid = (np.frombuffer(b"".join(x), np.int64) for x in (keys, tids))
-        order = np.argsort(key, kind="stable")
-        key, tid = key[order], tid[order]
-        equal = np.concatenate([[False], key[1:] == key[:-1], [False]])
-        several = equal[1:] | equal[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(key[several]), pa.array(tid[several])], ["key", "tid"])
-
-    last, keys, tids = None, [], []
-    for batch in batches:
-        for bucket, own, ids in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != last and keys:
-                yield found(keys, tids)
-                keys, tids = [], []
-            last = bucket
-            keys.append(own)
-            tids.append(ids)
-    if keys:
-        yield found(keys, tids)
-
-
-def _near_pairs(near: float) -> Callable:
-    """Rows sorted by unit to pairs of different groups that sizes and parity bits leave possible."""
-    def possible(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        bound = (n + m) * ((1 - near) / (1 + near)) + 1e-6
-        return (np.minimum(n, m) >= near * np.maximum(n, m) - 1e-6) & (
-            np.bitwise_count(apart).sum(axis=-1, dtype=np.int64) <= bound)
-
-    def pairs(tid: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, first: np.ndarray,
-              sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        twos = first[sizes == 2]
-        good = possible(n[twos], n[twos + 1], bits[twos] ^ bits[twos + 1]) & (root[twos] != root[twos + 1])
-        yield tid[twos[good]], tid[twos[good] + 1]
-        for at, size in zip(first[sizes > 2], sizes[sizes > 2]):
-            unit = slice(at, at + size)
-            for lo in range(at, at + size, 128):
-                part = slice(lo, min(lo + 128, at + size))
-                good = (root[part, None] != root[None, unit]) & possible(
-                    n[part, None], n[None, unit], bits[part, None] ^ bits[None, unit])
-                x, y = np.nonzero(good)
-                yield tid[part][x], tid[unit][y]
-
-    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-        unit = np.stack(rows[:3])
-        first = np.flatnonzero(np.concatenate([[True], (unit[:, 1:] != unit[:, :-1]).any(axis=0)]))
-        sizes = np.diff(np.append(first, unit.shape[1]))
-        both = [np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
-                for x, y in pairs(*rows[3:], first, sizes)]
-        distinct = np.unique(np.concatenate(both), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(distinct[:, 0]), pa.array(distinct[:, 1])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]]
-            rows.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, PARITY))
-            if kept is not None:
-                rows = [np.concatenate([k, r]) for k, r in zip(kept, rows)]
-            unit = np.stack(rows[:3])
-            other = np.flatnonzero((unit != unit[:, -1:]).any(axis=0))
-            cut = other[-1] + 1 if len(other) else 0
-            kept = [r[cut:] for r in rows]
-            if cut:
-                yield found([r[:cut] for r in rows])
-        if kept is not None:
-            yield found(kept)
-    return run
-
-
-def shared_prefixes(texts: DataFrame, near: float) -> tuple[DataFrame, DataFrame]:
-    """(key, tid), the shingles that the prefixes of several texts hold, and (tid, n, bits) of each text."""
-    buckets = 8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = saved(map_arrow(
-        texts.select("tid", "text"), _prefixes(_common_shingles(texts), near, buckets),
-        "tid bigint, n bigint, bits binary, bucket int, keys binary, tids binary"), "prefixes")
-    dealt = packed.where("bucket IS NOT NULL").select("bucket", "keys", "tids").repartition(
-        "bucket").sortWithinPartitions("bucket")
-    return (saved(map_arrow(dealt, _repeated, "key bigint, tid bigint"), "shared"),
-            packed.where("bucket IS NULL").select("tid", "n", "bits"))
-
-
-def _pairs_between(shared: DataFrame, stats: DataFrame, roots: DataFrame, near: float,
-                   block: int) -> DataFrame:
-    """(a, b) pairs of texts of different groups, every pair that is ``near`` alike among them.
-
-    Sets that are ``near`` alike share a shingle of their prefixes.  Texts that share one are cut into
-    blocks that meet pairwise, like fingerprints.
-    """
-    rooted = saved(shared.join(roots, F.col("tid") == F.col("node"), "left").select(
-        "key", "tid", F.coalesce("root", "tid").alias("root")), "rooted")
-    # Shingles of one group alone can't link it to another.
-    apart = rooted.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where(
-        "low < high").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    cut = rooted.join(apart, "key").withColumn(
-        "own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = met.select("key", F.least("own", "other").cast("bigint").alias("x"),
-                       F.greatest("own", "other").cast("bigint").alias("y"), "tid", "root").join(
-        stats, "tid").select("key", "x", "y", "tid", "root", "n", "bits")
-    dealt = units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return map_arrow(dealt, _near_pairs(near), "a bigint, b bigint").distinct()
-
-
-def _verified(texts: DataFrame, pairs: DataFrame, near: float) -> DataFrame:
-    """The (u, v) of those pairs that are ``near`` alike by all their shingles.
-
-    Sets move only for pairs that their sizes and wide parity bits leave possible.
-    """
-    pairs = saved(pairs, "pairs")
-    wanted = saved(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct(), "wanted")
-    sets = texts.join(wanted, "tid").select(
-        "tid", F.pandas_udf(_shingles, "array<bigint>")("text").alias("set"))
-    sets = saved(sets.withColumn("n", F.size("set")).withColumn(
-        "wide", F.pandas_udf(_wide_bits, "binary")("set")), "sets")
-    bits = sets.select("tid", "n", "wide")
-    possible = pairs.join(bits.withColumnsRenamed({"tid": "a", "n": "n_a", "wide": "x"}), "a").join(
-        bits.withColumnsRenamed({"tid": "b", "n": "n_b", "wide": "y"}), "b").where(
-        F.least("n_a", "n_b") >= near * F.greatest("n_a", "n_b") - 1e-6).where(
-        F.pandas_udf(_least_apart, "bigint")("x", "y")
-        <= (F.col("n_a") + F.col("n_b")) * ((1 - near) / (1 + near)) + 1e-6)
-    left = saved(possible.select("a", "b"), "possible")
-    whole = sets.select("tid", "set")
-    both = left.join(whole.withColumnsRenamed({"tid": "a", "set": "x"}), "a").join(
-        whole.withColumnsRenamed({"tid": "b", "set": "y"}), "b")
-    return saved(both.where(F.pandas_udf(_similar, "double")("x", "y") >= near).select(
-        F.col("a").alias("u"), F.col("b").alias("v")), "links")
-
-
-def near_groups(docs: DataFrame, near: float = NEAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(key, doc_id, tid) of each distinct text, and (node, root) of those in a group.
-
-    ``doc_id`` is the least of a text's.  Groups are the components of all pairs of texts whose sets
-    of shingles are ``near`` alike: those that the bins find first, then all between their groups.
+    A null id counts as larger than all others; documents of one id and different texts go by the
+    MD5 of their text.  Of rows that repeat id and text one stays, by a hash of their other columns.
+    Fingerprints and ids alone decide; whole rows move once, to meet the decision.
     """
-    ship_package(docs.sparkSession)
-    rows = docs.select(F.md5(text_of()).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"),
-                       text_of().alias("text"))
-    texts = saved(rows.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).withColumn(
-        "tid", F.monotonically_increasing_id()), "texts")
-    links = _verified(texts, _candidates(texts), near)
-    shared, stats = shared_prefixes(texts, near)
-    between = _pairs_between(shared, stats, components(links), near, block)
-    return texts.select("key", "doc_id", "tid"), components(
-        links.union(_verified(texts, between, near)))
-
-
-def drop_near_duplicates(docs: DataFrame, near: float = NEAR) -> DataFrame:
-    """One document of each group of near duplicates, the one of the least id, with its columns."""
-    texts, roots = near_groups(docs, near)
-    grouped = texts.join(roots, texts["tid"] == roots["node"], "left").withColumn(
-        "root", F.coalesce("root", "tid"))
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
-    kept = grouped.groupBy("root").agg(F.min(order).alias("first")).select(
-        F.col("first.doc_id").alias("_kept"), F.col("first.key").alias("_key"))
-    rows = kept_whole(docs, F.md5(text_of()).alias("_own"), F.col("doc_id").cast("bigint").alias("_id"))
-    found = rows.join(kept, (F.col("_own") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_kept")))
-    # Rows that repeat id and text are the same document; the first one stays.
-    return unwrapped(found.groupBy("_own").agg(F.first(ROW).alias(ROW)))
+    marked = saved(fingerprints(docs, shingle), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
+    rooted = rooted_marks(marked, block).select("mark", "root")
+    kept = marked.join(rooted, "mark").groupBy("root").agg(F.min(order).alias("first")).select(
+        _slot(F.col("first.doc_id"), F.col("first.text_key")).alias("_slot"))
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    rows = kept_whole(docs, _slot(F.col("doc_id"), F.md5(text_of())).alias("_slot"),
+                      F.xxhash64(F.to_json(F.struct(*rest)) if rest else F.lit(0)).alias("_rest"))
+    return unwrapped(rows.join(kept, "_slot").groupBy("_slot").agg(F.min_by(ROW, "_rest").alias(ROW)))
+
+
+def _slot(doc_id: Column, text_key: Column) -> Column:
+    """A document as one key that is never null."""
+    return F.concat(text_key, F.lit(":"), F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")))
