@@ -1,7 +1,9 @@
 """HTML extraction and URL filters."""
 
+import html.parser
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,12 +54,106 @@ def test_odd_pages(tree, page):
 @pytest.mark.parametrize("icon, text", [
     ('<svg width="8"/>', "One two\nThree"), ("<math />", "One two\nThree"), ("<svg><path/></svg>", "One two\nThree"),
     ("<object data='x'/>", "One two\nThree"), ("<SVG width='8'>", "One two\nThree"),
-    ("<script>x", "One")])
-def test_raw_elements_do_not_swallow_the_page(tree, icon, text):
+    ('<svg-icon name="x"></svg-icon>', "One two\nThree"), ('<img alt="5" screen">', "One two\nThree"),
+    ('<img alt="a > b">', "One two\nThree"), ("<b title='x>", "One two\nThree"), ("<!-- a > b -->", "One two\nThree"),
+    ("<!-- x > y", "One"), ("<script>x", "One")])
+def test_odd_elements_do_not_swallow_the_page(tree, icon, text):
     page = f"<article><p>One {icon} two</p><p>Three</p></article>"
     assert op1_html.main_text(page, tree) == text
 
 
+def test_icons_of_a_tag_that_begins_like_a_raw_one(tree):
+    page = 'One <svg-icon name="x"></svg-icon> two<p>Three<p><svg><path/></svg>Four'
+    assert op1_html.main_text(page, tree) == "One two\nThree\nFour"
+
+
+def blocks_of(page):
+    return [(b.text, b.linked / b.words) for b in op1_html.flat_blocks(page)]
+
+
+def test_implied_ends_and_links():
+    assert blocks_of('<ul><li class="share">Tell us<li>One<li>Two <ul><li>Inner</ul></ul>') == [
+        ("One", 0), ("Two", 0), ("Inner", 0)]
+    assert blocks_of('<table><tr><td id="ad">Buy<td>Cell<tr><td>Next</table>') == [("Cell", 0), ("Next", 0)]
+    assert blocks_of('<dl><dt class="menu">No<dd>Yes</dl>') == [("Yes", 0)]
+    assert blocks_of("<a href=x><div>In a link</div></a><div>After it</div>") == [("In a link", 1), ("After it", 0)]
+    assert blocks_of("<div><a>open <p>still</p></div><p>past it</p>") == [("open", 1), ("still", 1), ("past it", 0)]
+    assert blocks_of("<p>a <a>b</a> c <a>d <a>e</a> f</p>") == [("a b c d e f", 0.5)]
+    assert blocks_of("</div></p>x<p>y</section>z") == [("x", 0), ("y", 0), ("z", 0)]
+
+
+TEXT = "It was a long day and nobody in the small town had thought that anything of the kind could happen."
+
+
+def test_words_and_links_decide(tree):
+    """On pages without any mark the same places turn with their words and links."""
+    def page(block, before=f"<p>{TEXT}</p>", after=f"<p>{TEXT}</p>"):
+        return f"<div>{before}</div><div>{block}</div><div>{after}</div>"
+
+    links = "".join(f"<p><a>{w} {w}</a></p>" for w in ("news", "sport"))
+    assert "A short line" in op1_html.main_text(page("A short line"), tree)
+    assert "A short line" not in op1_html.main_text(page("<a>A short line</a>"), tree)
+    assert "A short line" not in op1_html.main_text(page("A short line", links, links), tree)
+    assert TEXT.upper() in op1_html.main_text(page(TEXT.upper(), links, links), tree)
+    assert op1_html.main_text(page(f"<a>{TEXT}</a>"), tree) == f"{TEXT}\n{TEXT}"
+    assert op1_html.main_text(links, tree) == ""
+    # The tree holds words and links alone, and uses both.
+    used = {op1_html.FEATURES[f] for f, *_ in tree.nodes if f >= 0}
+    assert {f.split("_")[0] for f in used} == {"words", "links"}
+
+
+class Article(html.parser.HTMLParser):
+    """The texts of the blocks inside ``article`` of a well-formed page, by the standard parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.blocks, self.text = 0, [], ""
+
+    def cut(self):
+        if self.text.split():
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in op1_html.INLINE:
+            self.cut()
+        self.depth += tag == "article"
+        self.text += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        if tag not in op1_html.INLINE:
+            self.cut()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.text += data
+
+
+def test_articles_of_the_test_pages_against_another_parser(spark, sf_dir, tree):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    checked = 0
+    for page in pages:
+        if page.html and re.search("<article>.*</article>", page.html, re.S) and not re.search(
+                r"<article>.*(<aside|<form|<nav|class=|id=).*</article>", page.html, re.S):
+            parser = Article()
+            parser.feed(page.html)
+            parser.cut()
+            assert op1_html.main_text(page.html, tree) == "\n".join(parser.blocks)
+            checked += 1
+    assert checked > len(pages) / 2
+
+
+@pytest.mark.parametrize("part, end", [
+    ("<p>", ""), ("<b", ""), ("<div>", "</x>" * 100_000), ("<div><li>", ""), ('<a href="x', ""), ("<!", ""), ("</", ""),
+    ("<a b='c' ", ">"), ("<svg ", ""), ("<svg>", ""), ("<table>", "<td>" * 100_000), ("<div>", "<li></li>" * 100_000),
+    ("<a>", ""), ("<p class=", ">"), ("&lt", ""), ("<!-- ", ""), ("<script>", "")])
+def test_broken_pages_take_linear_time(part, end):
+    start = time.process_time()
+    op1_html.flat_blocks(part * 100_000 + end)
+    assert time.process_time() - start < 3
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "x", "x", "x"), (1, "u", PAGE, "x", "x", "x"), (2, None, None, "x", "x", "x"),
             (3, "u", "<article>" + "<p>a b c</p>" * 20_000, "x", "x", "x")]
