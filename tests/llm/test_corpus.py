@@ -1,7 +1,10 @@
 """Quality, decontamination, near duplicates and the pipeline."""
 
 import hashlib
+import math
 import random
+import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +18,7 @@ from polybag.llm import (
     components, op3_mixing, op6_quality, op9_decontamination, op10_simhash)
 from polybag.llm.catalog import QUERIES
 from polybag.llm.common import table
+from polybag.sources import folders
 
 
 def test_quality_on_held_out_rows(spark, sf_dir):
@@ -62,26 +66,105 @@ def test_quality_of_awkward_rows(spark, awkward, nothing):
     assert kept.columns == awkward.columns and kept.count() == 11
 
 
-def bm25_ratio(index, text):
-    terms = {index.terms.get(t, 0) for t in op9_decontamination.tokens(text)}
-    score = defaultdict(float)
-    for t in terms:
-        for item, weight in index.postings[t]:
-            score[item] += weight
-    return {i for i, s in score.items() if s >= 1 - 1e-9}
+def index_of(items):
+    said = [(i, op9_decontamination.tokens(text)) for i, text in items]
+    held = Counter(t for _, words in said for t in set(words))
+    mean = sum(len(words) for _, words in said) / len(said)
+    return op9_decontamination.build_index([
+        (i, words, op9_decontamination.term_weights(words, held, len(said), mean)) for i, words in said])
+
+
+def brute_leaks(items, text):
+    """{item: score} of all items in all passages, without index, blocks or cursors."""
+    k1, b, cut_at = 1.2, 0.75, re.compile("[^0-9a-z\x80-\U0010ffff]+")
+
+    def split(t):
+        return [w for w in cut_at.split(t.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))) if w]
+
+    said = [(i, split(t)) for i, t in items if split(t)]
+    held = Counter(t for _, words in said for t in set(words))
+    mean, out, words = np.mean([len(w) for _, w in said]), {}, split(text)
+    half = max(len(w) for _, w in said)
+    for first in range(max(1, -(-(len(words) - half) // half))):
+        passage = words[first * half:(first + 2) * half]
+        runs = {tuple(passage[i:i + 3]) for i in range(len(passage) - 2)}
+        for i, own in said:
+            weight = {t: math.log(1 + (len(said) - held[t] + .5) / (held[t] + .5)) * n * (k1 + 1)
+                      / (n + k1 * (1 - b + b * len(own) / mean)) for t, n in Counter(own).items()}
+            score = sum(w for t, w in weight.items() if t in set(passage)) / sum(weight.values())
+            if len(own) < 3:
+                found = words == own
+            elif len(own) < 6:
+                found = any(passage[k:k + len(own)] == own for k in range(len(passage)))
+            else:
+                cut = len(own) - max(1, len(own) // 3)
+                parts = [{tuple(p[k:k + 3]) for k in range(len(p) - 2)} or {tuple(p)} for p in (own[:cut], own[cut:])]
+                short = runs | {tuple(passage[k:k + n]) for n in (1, 2) for k in range(len(passage) - n + 1)}
+                found = all(len(p & short) / len(p) >= 0.5 for p in parts)
+            if found and score >= 0.6 - 1e-9:
+                out[i] = max(out.get(i, 0), score)
+    return out
 
 
 def test_wand_retrieves_what_scoring_all_does():
     random.seed(2)
     vocabulary = [f"w{int(random.expovariate(0.02))}" for _ in range(2000)]
     items = [(i, " ".join(random.choices(vocabulary, k=random.randint(3, 40)))) for i in range(150)]
-    index = op9_decontamination.build_index(items)
+    index = index_of(items)
     for _ in range(200):
         words = random.choices(vocabulary, k=40) + random.choice(items)[1].split()[:random.randint(0, 40)]
         terms = np.unique([index.terms.get(t.encode(), 0) for t in words])
-        blocks = np.arange(index.bounds.shape[1])
-        got = op9_decontamination.wand(index, terms[terms > 0], blocks)
-        assert {i for i, _ in got} == bm25_ratio(index, " ".join(words))
+        score = defaultdict(float)
+        for t in terms:
+            for item, weight in index.postings[t]:
+                score[item] += weight
+        got = op9_decontamination.wand(index, terms[terms > 0], np.arange(index.bounds.shape[1]))
+        assert {i for i, _ in got} == {i for i, s in score.items() if s >= 1 - 1e-9}
+
+
+def test_leaks_against_scoring_every_passage(spark, docs_of):
+    random.seed(12)
+    vocabulary = [f"w{int(random.expovariate(0.03))}" for _ in range(900)] + ["Ünï", "漢字"]
+    items = [(i, " ".join(random.choices(vocabulary, k=random.choice([1, 2, 3, 5, 6, 12, 30])))) for i in range(90)]
+    texts = []
+    for i, item in random.choices(items, k=120):
+        said = item.split()
+        for _ in range(random.choice([0, 0, 1, len(said) // 4])):
+            said[random.randrange(len(said))] = random.choice(vocabulary)
+        around = [random.choices(vocabulary, k=random.choice([0, 0, 20, 150])) for _ in range(2)]
+        texts.append(" ".join(around[0] + said[:random.choice([len(said), len(said), len(said) // 2])] + around[1]))
+    docs = docs_of([(i, t, "s") for i, t in enumerate(texts)])
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(d, i): s for d, t in enumerate(texts) for i, s in brute_leaks(items, t).items()}
+    got = {(r.doc_id, r.item_id): r.score for r in op9_decontamination.leak_digest(docs, tests).collect()}
+    assert got == pytest.approx(want) and 30 < len(want)
+    assert {len(items[i][1].split()) for _, i in want} >= {3, 5, 6, 12, 30}
+
+
+def test_a_hundred_shards(spark, docs_of):
+    """The shards change where passages are cut, and nothing else."""
+    random.seed(13)
+    items = [(i, " ".join(f"q{random.randint(0, 5000)}" for _ in range(20))) for i in range(300)]
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = docs_of([(i, "before it " * 30 + items[i][1] + " and after" * 30, "s") for i in range(0, 300, 3)])
+    path = op9_decontamination.write_index(tests, shard_items=3)
+    shards = [e for e in folders.entries(spark, path) if e.name.startswith("shard=")]
+    assert len(shards) == 100
+    by_bytes = [e for e in folders.entries(spark, op9_decontamination.write_index(tests, shard_bytes=1_000))
+                if e.name.startswith("shard=")]
+    assert len(by_bytes) > 20
+    one, many = ({(r._row.doc_id, x.item_id, round(x.score, 9)) for r in op9_decontamination.with_leaks(
+        docs, tests, **limits).collect() for x in r.leaks} for limits in ({}, {"shard_items": 3}))
+    assert one == many and {(d, i) for d, i, _ in one} == {(i, i) for i in range(0, 300, 3)}
+
+
+def test_short_items(spark, docs_of):
+    tests = spark.createDataFrame([(1, "yes"), (2, "two words"), (3, "who is there"), (4, "a b c d e f")],
+                                  "item_id bigint, text string")
+    docs = docs_of([(1, "Yes.", "s"), (2, "oh yes it is", "s"), (3, "He asked: Who is there?", "s"),
+                    (4, "is who there", "s"), (5, "Two words", "s"), (6, "two words more", "s"), (7, "x a b c d e f y", "s")])
+    got = {(r.doc_id, r.item_id) for r in op9_decontamination.leak_digest(docs, tests).collect()}
+    assert got == {(1, 1), (3, 3), (5, 2), (7, 4)}
 
 
 def test_leaks(spark, docs_of, nothing):
