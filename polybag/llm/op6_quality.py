@@ -1,7 +1,8 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages.  Each passage is encoded as numbers that describe its words, then
-projected by a learned layer; gated attention, learned from document labels alone, weighs the
+A document is a bag of passages.  Each passage is encoded by what it says, its words and its runs of
+three bytes, hashed to ``WORDS`` and ``GRAMS`` numbers, and by how it looks, a few counts of
+characters and word shapes.  A learned layer projects the code; gated attention, learned from document labels alone, weighs the
 passages, and the document is scored on the weighted sum of their codes.  (Ilse, Tomczak, Welling:
 Attention-based Deep Multiple Instance Learning, 2018.)
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,9 @@ THRESHOLD = 0.3
 HIDDEN, ATTENTION = 16, 8
 EPOCHS, RATE, DECAY = 60, 0.01, 1e-4
 SEED = 11
-WIDTH = 14
+LOOKS, WORDS, GRAMS = 14, 64, 64
+WIDTH = LOOKS + WORDS + GRAMS
+SOFTER = 3.0
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _DIGITS, _HIGH = bytes(range(48, 58)), bytes(range(128, 256))
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"?-()")
@@ -45,7 +49,7 @@ _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not
 def encode(text: str) -> np.ndarray:
     """(passages, WIDTH) numbers: a passage is ``PASSAGE`` words, the last may be shorter."""
     words = text.encode().split()
-    rows = []
+    rows, said = [], []
     for start in range(0, len(words), PASSAGE):
         part = words[start:start + PASSAGE]
         raw = b"".join(part)
@@ -64,7 +68,19 @@ def encode(text: str) -> np.ndarray:
             size / n / 10, distinct / n, runs / n, ends / n, bare / n,
             sum(len(w) <= 3 for w in part) / n, max(map(len, part)) / 40, n / PASSAGE,
             sum(w[-1] in _MARKS for w in part) / n))
-    return np.array(rows or [(0.0,) * WIDTH])
+        said.append(_said(part))
+    return np.hstack([np.array(rows), np.array(said)]) if rows else np.zeros((1, WIDTH))
+
+
+def _said(words: list[bytes]) -> np.ndarray:
+    """Shares of a passage's words and byte runs in each bucket, as roots so that rare ones count."""
+    lower = b" ".join(words).lower()
+    own = np.fromiter(map(crc32, lower.split(b" ")), np.int64, len(words)) % WORDS
+    raw = np.frombuffer(b" " + lower + b" ", dtype=np.uint8).astype(np.uint32)
+    # A multiplicative hash of each three bytes; its upper bits are the mixed ones.
+    runs = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761) >> np.uint32(32 - 6)
+    return np.sqrt(np.concatenate([np.bincount(own, minlength=WORDS) / len(own),
+                                   np.bincount(runs, minlength=GRAMS) / len(runs)]))
 
 
 class Model(NamedTuple):
@@ -125,6 +141,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:
     random = np.random.default_rng(SEED)
     every = np.concatenate(bags)
     mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
+    # A bucket says little by itself, and there are many: each speaks more softly than a count.
+    scale[LOOKS:] *= SOFTER
     scaled = [(b - mean) / scale for b in bags]
     shapes = {"encode": (WIDTH, HIDDEN), "encode0": (HIDDEN,), "tanh": (HIDDEN, ATTENTION),
               "gate": (HIDDEN, ATTENTION), "attend": (ATTENTION,), "score": (HIDDEN,), "score0": (1,)}
@@ -153,9 +171,9 @@ def held_out() -> Column:
 
 def _encoded(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: encode(t).ravel())
+        return texts.map(lambda t: encode(t).ravel().astype(np.float32))
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<double>")(text)
+    return F.pandas_udf(run, "array<float>")(text)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -170,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select(
         "doc_id", "label", F.md5("text").alias("key"), _encoded(F.col("text")).alias("code")).orderBy(
         order, "doc_id", "label", "key").limit(sample).collect()
-    return fit([np.array(r.code).reshape(-1, WIDTH) for r in rows], np.array([r.label for r in rows]))
+    return fit([np.array(r.code, dtype=np.float64).reshape(-1, WIDTH) for r in rows], np.array([r.label for r in rows]))
 
 
 def _score(model: Model) -> Column:
