@@ -874,6 +874,36 @@ ORACLE["stream_progress_log"] = """
 SELECT input_rows, count(*) AS batches FROM (
   SELECT event_id % 8 AS part, count(*) AS input_rows FROM events GROUP BY part) GROUP BY input_rows"""
 
+def _losses(part: str, by: str) -> str:
+    return f"""
+SELECT {part} AS part, 'hamming_loss' AS metric, round(avg((gt <> pred)::INTEGER), 9) AS value FROM cells {by}
+UNION ALL SELECT {part}, 'one_error', round(avg(1 - gt), 9) FROM best {by}"""
+
+
+ORACLE["custom_metric"] = with_(*EVENTS, """
+best AS (SELECT * FROM cells
+         QUALIFY row_number() OVER (PARTITION BY example ORDER BY score DESC, label_idx) = 1)""",
+    select=f"""{_losses("(example % 10)::VARCHAR", "GROUP BY example % 10")}
+UNION ALL {_losses("'all'", "")}""")
+ORACLE["matched_examples"] = """
+SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN (quality = toxic)::INTEGER END AS agree,
+       (doc_id % 7 <> 0)::INTEGER + 2 * (doc_id % 5 <> 0)::INTEGER AS sides
+FROM labels WHERE doc_id % 35 <> 0"""
+ORACLE["image_manifest"] = """
+SELECT label::VARCHAR AS sid, vec_id || '.bmp' AS name, 246::BIGINT AS length,
+       (1 + label % 2)::BIGINT AS batch FROM embeddings"""
+ORACLE["fetch_samples"] = """
+SELECT vec_id, label, pos::INTEGER AS pos, round(value::DOUBLE, 9) AS value FROM (
+  SELECT vec_id, label, unnest(embedding) AS value, unnest(range(len(embedding))) AS pos
+  FROM embeddings WHERE vec_id % 50 = 0)"""
+ORACLE["probe_data"] = """
+SELECT split, label, count(*) AS n FROM (
+  SELECT label, CASE WHEN r < floor(n * 0.4::DOUBLE) THEN 'train'
+                     WHEN r < floor(n * 0.5::DOUBLE) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT label, count(*) OVER () AS n,
+               row_number() OVER (ORDER BY md5('286501567:' || vec_id), vec_id) - 1 AS r FROM embeddings))
+GROUP BY split, label"""
+
 ORACLE["document_labels"] = """
 SELECT doc_id AS sid, (quality + toxic)::INTEGER AS n,
        CASE WHEN quality = 1 AND toxic = 1 THEN 'quality;toxic' WHEN quality = 1 THEN 'quality'

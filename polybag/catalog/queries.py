@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from polybag.catalog import tables as t
 from polybag.functions import dot, join_numbers, l2_normalize, label_codes
 from polybag.operators import (
-    auc, bags, batches, labels as lab, losses, metrics, runs, scoring, splits, views,
+    auc, bags, batches, custom, labels as lab, losses, metrics, runs, scoring, splits, views,
 )
 from polybag.operators.skew import find_heavy, spread_join
 from polybag.plans import datasets, evaluate, probe
 from polybag.session import saved, scratch_path
 from polybag.sources import images as image_files
 from polybag.sources import labels as label_files
-from polybag.sources import retention
+from polybag.sources import manifest, retention, samples
 from polybag.sources import runs as run_files
 from polybag.sources.batches import read_batches
 from polybag.streaming import epochs, progress
@@ -260,10 +260,7 @@ def _bag_evaluation(spark, d) -> DataFrame:
     entities, vocabulary = datasets.entity_table(
         saved(t.user_labels(spark, d), "labels"), t.EVENT_CLASSES)
     members, chosen, heavy = datasets.mode_members(entities, t.event_images(spark, d), "test")
-    # Scores of other splits' entities are dropped before their arrays are shuffled by path.
-    scored = spread_join(t.event_scores(spark, d, vocabulary).select("sid", "path", "scores"),
-                         chosen.select("sid"), "sid", "path", heavy=heavy)
-    instances = members.select("bag_id", "sid", "path").join(scored.select("path", "scores"), "path")
+    instances = evaluate.instance_scores(members, t.event_scores(spark, d, vocabulary), chosen)
     return saved(evaluate.evaluated_bags(
         instances, chosen, t.EVENT_CLASSES, POOL_DECIMALS, heavy), "evaluated")
 
@@ -371,6 +368,30 @@ def positive_slices(spark, d):
     return sliced.withColumn("mean_score", F.round("mean_score", DECIMALS))
 
 
+@query
+def custom_metric(spark, d):
+    """Two metrics of a user's own, over tenths of the events and over all."""
+    evaluated = saved(t.evaluated_events(spark, d), "evaluated")
+    both = custom.Together(custom.HammingLoss(), custom.OneError())
+    tenth = (F.col("event_id") % 10).cast("string").alias("part")
+    parts = custom.custom_metric(evaluated.select("*", tenth), both, ["part"])
+    whole = custom.custom_metric(evaluated, both).select(F.lit("all").alias("part"), "metric", "value")
+    return _rounded(parts.unionByName(whole), "part", "metric")
+
+
+@query
+def matched_examples(spark, d):
+    """Annotations and predictions of documents, each of which lacks some of the others' keys."""
+    rows = t.table(spark, d, "labels")
+    annotations = rows.where("doc_id % 7 <> 0").select("doc_id", "quality")
+    predictions = rows.where("doc_id % 5 <> 0").select("doc_id", F.col("toxic").alias("pred"))
+    lost = scoring.unmatched(annotations, predictions, "doc_id").select(
+        "doc_id", F.lit(None).cast("int").alias("agree"), "sides")
+    both = scoring.align(annotations, predictions, "doc_id").select(
+        "doc_id", (F.col("quality") == F.col("pred")).cast("int").alias("agree"), F.lit(3).alias("sides"))
+    return both.unionByName(lost)
+
+
 # ---------------------------------------------------------------- losses
 
 @query
@@ -474,6 +495,29 @@ def undecodable_images(spark, d):
         F.element_at(F.split("sid", "="), -1).alias("sid")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def image_manifest(spark, d):
+    """Folders listed in two calls, the second of all folders: it lists those the first had not."""
+    root, path = _image_files(spark, d), scratch_path(spark, "manifest")
+    folders = manifest.child_folders(spark, root).where(~F.col("folder").endswith("/bad"))
+    even = F.element_at(F.split("folder", "/"), -1).cast("int") % 2 == 0
+    manifest.extend_manifest(folders.where(even), path, 1, "*.bmp")
+    manifest.extend_manifest(folders, path, 2, "*.bmp")
+    return read_batches(spark, path, manifest.FILES).where("path IS NOT NULL").select(
+        "sid", _name().alias("name"), "length", "batch")
+
+
+@query
+def fetch_samples(spark, d):
+    """Every fiftieth vector by its id, from the files that hold them."""
+    path, rows = scratch_path(spark, "samples"), t.vectors(spark, d).select("vec_id", "label", "embedding")
+    samples.write_samples(rows, path, "vec_id", 32)
+    ids = range(0, rows.agg(F.max("vec_id")).first()[0] + 1, 50)
+    found = samples.fetch_samples(spark, path, "vec_id", list(ids))
+    return found.select("vec_id", "label", F.posexplode("embedding").alias("pos", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), DECIMALS))
+
+
 # ---------------------------------------------------------------- views
 
 def _event_catalogue(spark, d) -> DataFrame:
@@ -765,6 +809,13 @@ def linear_probe(spark, d):
     return _rounded(report, "metric", "label_idx", decimals=6)
 
 
+@query
+def probe_data(spark, d):
+    """What the probe is fitted and judged on: vectors per split and class."""
+    split = splits.split_assign(t.vectors(spark, d), "vec_id")
+    return split.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- another label table
 
 @query

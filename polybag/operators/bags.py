@@ -6,6 +6,8 @@ shuffles here.  Pixels or vectors are joined afterwards, by ``path``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,12 @@ from polybag.functions import halve_to_fit, pad_array
 from polybag.operators.skew import HEAVY_ROWS, Heavy, rank_within, spread_join
 
 
-def entity_images(images: DataFrame) -> DataFrame:
-    """Distinct (sid, path) rows; long form, so a large entity is never one array."""
-    return images.select("sid", "path").dropDuplicates(["sid", "path"])
+def entity_images(images: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Distinct (sid, path) rows; long form, so a large entity is never one array.
+
+    ``carry`` names columns that follow from the path, such as its size.
+    """
+    return images.select("sid", "path", *carry).dropDuplicates(["sid", "path"])
 
 
 def image_counts(images: DataFrame) -> DataFrame:
@@ -36,14 +41,15 @@ def bag_sizes(counts: DataFrame, max_bag: int) -> DataFrame:
 
 
 def make_bags(images: DataFrame, max_bag: int, distinct: bool = True,
-              heavy_rows: int = HEAVY_ROWS, heavy: Heavy | None = None) -> DataFrame:
-    """Assign every image to a bag: (sid, path, bag_no, bag_id, instance_no).
+              heavy_rows: int = HEAVY_ROWS, heavy: Heavy | None = None,
+              carry: Sequence[str] = ()) -> DataFrame:
+    """Assign every image to a bag: (sid, path, bag_no, bag_id, instance_no, carry).
 
     Images are taken in hash order of their path (the order of a set is arbitrary to begin
     with), which lets an entity with very many images be numbered by several tasks.  The
     leftover images form the last bag.
     """
-    source = entity_images(images) if distinct else images.select("sid", "path")
+    source = entity_images(images, carry) if distinct else images.select("sid", "path", *carry)
     ranked = rank_within(source, "sid", "path", rank="_r", total="_n",
                          heavy_rows=heavy_rows, heavy=heavy)
     return (
@@ -51,7 +57,7 @@ def make_bags(images: DataFrame, max_bag: int, distinct: bool = True,
         .withColumn("bag_no", F.expr("_r div _size"))
         .withColumn("instance_no", F.col("_r") % F.col("_size"))
         .withColumn("bag_id", F.concat_ws("_", F.col("sid").cast("string"), F.col("bag_no")))
-        .select("sid", "path", "bag_no", "bag_id", "instance_no")
+        .select("sid", "path", "bag_no", "bag_id", "instance_no", *carry)
     )
 
 

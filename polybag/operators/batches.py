@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from polybag.operators.skew import hashed_rank, sorted_rank
 from polybag.operators.splits import SPLIT_SEED
-from polybag.session import map_pandas
+from polybag.session import map_pandas, saved
 
 
 def assign_batches(bags: DataFrame, batch_size: int, order: str = "lexical",
@@ -122,11 +122,15 @@ def collate(batched: DataFrame, max_bag: int, per_instance: bool = True) -> tupl
     ``per_instance`` repeats a bag's annotation on its instances, as training wants it; else only
     ``bags`` (batch_id, pos, bag_id, nslice, offset, gt) carries it, which evaluation regroups by.
     """
-    rows = batched.select("batch_id", "bag_id", "images", "gt")
-    bags = segment_offsets(balance_batches(batched)).join(rows, ["batch_id", "bag_id"])
-    packed = bags.select("batch_id", "offset", "bag_id", "gt", F.posexplode("images").alias("at", "path"))
+    # The order is found once; both results read it, and only instances need the image lists.
+    order = saved(segment_offsets(balance_batches(batched)).select(
+        "batch_id", "pos", "bag_id", "nslice", "offset"), "balanced")
+    bags = order.join(batched.select("batch_id", "bag_id", "gt"), ["batch_id", "bag_id"])
+    packed = order.select("batch_id", "bag_id", "offset").join(
+        batched.select("batch_id", "bag_id", "images", "gt"), ["batch_id", "bag_id"]).select(
+        "batch_id", "offset", "bag_id", "gt", F.posexplode("images").alias("at", "path"))
     zeros = F.transform(F.first("gt"), lambda _: F.lit(0))
-    sizes = bags.groupBy("batch_id").agg(
+    sizes = batched.groupBy("batch_id").agg(
         F.sum("nslice").cast("bigint").alias("used"),
         (F.count(F.lit(1)) * max_bag).alias("rows"), zeros.alias("gt"))
     empty = F.when(F.col("used") < F.col("rows"), F.sequence(F.col("used"), F.col("rows") - 1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from polybag.functions import adaptive_threshold
 from polybag.session import map_arrow
+from polybag.sources.models import apply_model, linear_model, ship_model
 
 
 def apply_scorer(df: DataFrame, scorer: Callable[[np.ndarray], np.ndarray],
@@ -48,14 +49,11 @@ def linear_scores(df: DataFrame, weights: DataFrame, scale: float, bias: float,
     """Sigmoid of a scaled dot product with each class's weight vector.
 
     ``weights(class, centroid)`` has one row per class, the parameters of a model: they go to
-    the tasks with the scorer, and the scored table is only scanned.
+    the executors as a file that a worker loads once, and the scored table is only scanned.
     """
     matrix = np.array([r["centroid"] for r in weights.orderBy("class").collect()]).T
-
-    def scorer(vectors: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-(scale * (vectors.astype(np.float64) @ matrix) + bias)))
-
-    scored = apply_scorer(df, scorer, features, out)
+    name = ship_model(df.sparkSession, {"weights": matrix, "bias": np.full(matrix.shape[1], float(bias))})
+    scored = apply_model(df, linear_model(name, scale), len(matrix), features, out)
     if decimals is None:
         return scored
     return scored.withColumn(out, F.transform(out, lambda s: F.round(s, decimals)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,18 +34,20 @@ def entity_table(label_rows: DataFrame, k: int = CLASSES) -> tuple[DataFrame, li
 
 
 def mode_members(entities: DataFrame, images: DataFrame, mode: str, max_bag: int | None = None,
-                 heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame, Heavy]:
+                 heavy_rows: int = HEAVY_ROWS,
+                 carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, Heavy]:
     """(members, annotations, heavy) of one mode's split.
 
     The split is applied to the catalogue before bagging, so other splits' images are not
     sorted.  One count of images per entity finds the heavy ones for all the steps here.
+    ``carry`` names columns of the catalogue that stay with an image.
     """
     heavy = find_heavy(images, "sid", heavy_rows)
     chosen = splits.in_split(entities, mode).select("sid", "gt")
     wanted = spread_join(images, chosen.select("sid"), "sid", "path",
                          heavy_rows=heavy_rows, heavy=heavy)
     members = bags.make_bags(wanted, max_bag or MODES[mode]["max_bag"],
-                             heavy_rows=heavy_rows, heavy=heavy)
+                             heavy_rows=heavy_rows, heavy=heavy, carry=carry)
     return members, chosen, heavy
 
 
@@ -84,12 +88,11 @@ def pretrain_samples(entities: DataFrame, images: DataFrame,
     what :func:`polybag.operators.views.render_views` draws for an image with this path as its key.
     """
     # Bags of one image: bag and image coincide, so no list has to be packed and unpacked.
-    members, chosen, heavy = mode_members(entities, images, "pretrain")
+    members, chosen, heavy = mode_members(entities, images, "pretrain", carry=("height", "width"))
     table = saved(bags.label_bags(members, chosen, heavy=heavy), "samples")
     batched = batches.assign_batches(
         table, batch_size or MODES["pretrain"]["batch_size"], "shuffled")
-    sized = batched.join(images.select("path", "height", "width").dropDuplicates(["path"]), "path")
-    planned = views.with_choices(sized, views.PRETRAIN_VIEWS, "path")
+    planned = views.with_choices(batched, views.PRETRAIN_VIEWS, "path")
 
     def whole(view: str):
         augmented = "augment" in views.RECIPES[view]

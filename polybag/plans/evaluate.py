@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-
 from pyspark.sql import functions as F
 
 from polybag.operators import auc, metrics, scoring
 from polybag.operators.bags import label_bags
-from polybag.operators.skew import Heavy
+from polybag.operators.skew import BROADCAST_ROWS, Heavy
 
 
 def evaluated_bags(instance_scores: DataFrame, annotations: DataFrame, n_classes: int,
@@ -24,6 +23,22 @@ def evaluated_bags(instance_scores: DataFrame, annotations: DataFrame, n_classes
     return scoring.with_predictions(label_bags(pooled, annotations, heavy=heavy))
 
 
+def instance_scores(members: DataFrame, scored: DataFrame, chosen: DataFrame,
+                    limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(bag_id, sid, path, scores): the scores of bags' members, their arrays shuffled once.
+
+    ``scored`` has (sid, path, scores) of any entities, ``chosen`` the sids of the members.  Both
+    join keys deal the rows, so an entity of very many images is spread.  A short list of
+    entities, which is counted, is broadcast to drop other entities' arrays before the shuffle; a
+    longer one is not worth a shuffle of its own, as the join drops them anyhow.
+    """
+    sids = chosen.select("sid").distinct()
+    wanted = scored.select("sid", "path", "scores")
+    if sids.count() <= limit:
+        wanted = wanted.join(F.broadcast(sids), "sid", "left_semi")
+    return members.select("bag_id", "sid", "path").join(wanted, ["sid", "path"])
+
+
 def full_report(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All report metrics, overall and per label: (by, metric, label_idx, value).
 

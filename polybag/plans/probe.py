@@ -8,17 +8,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from polybag.session import map_arrow, saved
 
 
+# Numbers of a sum that travel as one row.
+BLOCK = 1 << 16
+# Parts in which the tasks' blocks are added up first.
+WAYS = 32
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _block_sum(blocks: pa.Array) -> list[float]:
+    """Blocks of one place, added number by number."""
+    width = len(blocks[0])
+    return blocks.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).sum(axis=0).tolist()
+
+
 def _summed(rows: DataFrame, features: str, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum of ``part(vectors with a leading 1, annotations)`` over all rows.
 
-    A task adds up its batches and hands on one array; arrays are summed by place, so what comes to
-    the driver is one array, of a size that the model gives and not the table.
+    A task adds up its batches and hands on the sum in blocks of ``BLOCK`` numbers.  Blocks of one
+    place are added in ``WAYS`` groups and then in one, so that a task of either step holds few
+    blocks, however wide the sum is and however many tasks made one.  What comes to the driver
+    is the sum, of a size that the model gives and not the table.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         total = None
         for batch in batches:
             if batch.num_rows:
@@ -27,13 +45,18 @@ def _summed(rows: DataFrame, features: str, part: Callable[[np.ndarray, np.ndarr
                     for c in (features, "gt"))
                 sums = part(np.hstack([np.ones((len(x), 1)), x]), y).ravel()
                 total = sums if total is None else total + sums
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
+        way = TaskContext.get().partitionId() % WAYS
+        for place, start in enumerate(range(0, 0 if total is None else len(total), BLOCK)):
+            block = total[start:start + BLOCK]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([place], pa.int32()), pa.array([way], pa.int32()),
+                 pa.ListArray.from_arrays(np.array([0, len(block)], dtype=np.int32), pa.array(block))],
+                ["place", "way", "block"])
 
-    parts = map_arrow(rows, run, "sums array<double>")
-    places = parts.select(F.posexplode("sums").alias("place", "value")).groupBy("place").agg(
-        F.sum("value").alias("value")).orderBy("place").collect()
-    return np.array([r.value for r in places])
+    parts = map_arrow(rows, run, "place int, way int, block array<double>")
+    sums = parts.groupBy("place", "way").agg(_block_sum("block").alias("block")).groupBy("place").agg(
+        _block_sum("block").alias("block")).orderBy("place").collect()
+    return np.concatenate([np.empty(0), *(np.array(r.block) for r in sums)])
 
 
 def fit_probe(train: DataFrame, n_classes: int, features: str = "embedding",
@@ -53,7 +76,7 @@ def fit_probe(train: DataFrame, n_classes: int, features: str = "embedding",
     n = gram[0, 0]
     # The intercept is not penalised.
     ridge = np.r_[0.0, np.full(size - 1, penalty)]
-    step = np.linalg.pinv(gram / (4 * n) + np.diag(ridge))
+    step = np.linalg.pinv(gram / (4 * n) + np.diag(ridge), hermitian=True)
     weights = before = np.zeros((size, n_classes))
     for i in range(iterations):
         ahead = weights + i / (i + 3) * (weights - before)
