@@ -171,9 +171,9 @@ def held_out() -> Column:
 
 def _encoded(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: encode(t).ravel().astype(np.float32))
+        return texts.map(lambda t: encode(t).astype(np.float32).tobytes())
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<float>")(text)
+    return F.pandas_udf(run, "binary")(text)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select(
         "doc_id", "label", F.md5("text").alias("key"), _encoded(F.col("text")).alias("code")).orderBy(
         order, "doc_id", "label", "key").limit(sample).collect()
-    return fit([np.array(r.code, dtype=np.float64).reshape(-1, WIDTH) for r in rows], np.array([r.label for r in rows]))
+    return fit([np.frombuffer(r.code, dtype=np.float32).reshape(-1, WIDTH) for r in rows], np.array([r.label for r in rows]))
 
 
 def _score(model: Model) -> Column:
