@@ -196,6 +196,15 @@ def test_urls_against_brute_force(spark):
     assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
 
 
+def test_very_long_urls(spark):
+    host, path = ".".join(["a"] * 20_000) + ".net", "/x" * 50_000
+    urls = [f"http://{host}/en/", f"http://example.net/en{path}", f"http://example.net/en/{path}?{path}#{path}",
+            "s" * 100_000, "://" + "y" * 100_000, f"http://{path}"]
+    pages = spark.createDataFrame([(i, u, None, "", "", "") for i, u in enumerate(urls)], PAGES)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in op2_url_filters.url_digest(pages).collect()}
+    assert got == {i: brute(u, op2_url_filters.RULES) for i, u in enumerate(urls)}
+
+
 def test_url_tables_may_be_empty(spark):
     none = spark.createDataFrame([], PAGES)
     assert op2_url_filters.url_digest(none).count() == 0

@@ -5,10 +5,11 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from polybag.llm import (
@@ -98,6 +99,43 @@ def test_levels_balance(docs_of):
             sum(r.shard == shard for r in rows)))
 
 
+def plain_differencing(sizes, parts):
+    """Partitions as sorted lists of sums, the two of largest spread combined until one is left."""
+    found = [(i, sorted([size] + [0] * (parts - 1))) for i, size in enumerate(sizes)]
+    fresh = len(found)
+    while len(found) > 1:
+        found.sort(key=lambda p: (p[1][0] - p[1][-1], p[0]))
+        (_, a), (_, b), *rest = found
+        found = [*rest, (fresh, sorted(x + y for x, y in zip(a, reversed(b))))]
+        fresh += 1
+    return found[0][1]
+
+
+@pytest.mark.parametrize("parts", [2, 3, 7, 40])
+def test_differencing_against_a_plain_one(parts):
+    random.seed(parts)
+    for n in (1, 2, 5, 60, 200):
+        sizes = [random.choice([1, 7, random.randint(1, 10_000)]) for _ in range(n)]
+        sums = np.zeros((n, parts))
+        sums[:, -1] = sizes
+        home = op7_sharding.difference(sums)
+        assert all(sorted(row) == list(range(parts)) for row in home)
+        got = np.bincount(home[:, -1], sizes, parts)
+        assert sorted(got) == plain_differencing(sizes, parts)
+
+
+def test_mixing_keeps_the_bound_of_its_draws(spark, sf_dir):
+    """Taken words differ from the target by draws alone: four standard deviations at most."""
+    docs = table(spark, sf_dir, "documents")
+    rows = op3_mixing.mix_digest(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        rate = own[0].target / own[0].source_size
+        part = rate - math.floor(rate)
+        spread = math.sqrt(sum(r["size"] ** 2 for r in own) * part * (1 - part))
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4 * spread + 1e-6
+
+
 def test_licenses(docs_of):
     docs = docs_of([
         (1, "x\nReleased under the MIT License.\ny under the\nmit license", "s"),
@@ -197,36 +235,102 @@ def test_licenses_of_awkward_rows(awkward):
         (0, None, None, "", "", 0.0)}
 
 
-def sketch_of(spark, text):
-    df = spark.createDataFrame([(text,)], "text string")
-    return op4_fingerprints.with_anchors(df, "text", "found").first().found
+def hashed(*values):
+    """Spark's xxhash64: each value hashed with the hash before as its seed."""
+    seed = 42
+    for value in values:
+        raw = value.encode() if isinstance(value, str) else (value % 2**64).to_bytes(8, "little")
+        if isinstance(value, Short):
+            raw = (value % 2**32).to_bytes(4, "little")
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - 2**64 if seed >> 63 else seed
 
 
-def test_anchors_are_context_free(spark):
+class Short(int):
+    """An int column's value, of four bytes."""
+
+
+def brute_units(text):
+    units, now = [], ""
+    for c in text:
+        now += c
+        if c in "aeoAEO" or ord(c) <= 0x20 or ord(c) >= 0x80:
+            units, now = units + [now], ""
+    return units + [now] if now else units
+
+
+def brute_anchors(text):
+    units, found = brute_units(text), []
+    for i in range(len(units) - 4):
+        inner = [hashed(units[i + k], units[i + k + 1]) for k in range(4)]
+        if min(inner[0], inner[3]) <= min(inner[1], inner[2]):
+            found.append((i, hashed(inner[0], inner[2], units[i + 4])))
+    return units, found
+
+
+def brute_numbers(text):
+    units, found = brute_anchors(text)
+    if units and not found:
+        found = [(0, hashed(*units))]
+    links = {hashed(a, b, Short(y - x)) for (x, a), (y, b) in zip(found, found[1:])}
+    return {a for _, a in found} | links
+
+
+def anchors_of(spark, text):
+    df = spark.createDataFrame([(text,)], "text string").withColumn("units", op4_fingerprints.units_of(F.col("text")))
+    return op4_fingerprints.with_anchors(df, "units", "found").first()
+
+
+def test_anchors_against_brute_force(spark):
     random.seed(4)
-    passage = [f"p{random.randint(0, 999)}" for _ in range(60)]
-    inside = sketch_of(spark, " ".join(["before", "it"] + passage + ["after", "it"]))
-    alone = sketch_of(spark, " ".join(passage))
-    shifted = {(a.at + 2, a.anchor) for a in alone}
-    assert shifted <= {(a.at, a.anchor) for a in inside} and len(alone) > 20
+    texts = ["".join(random.choices("abcdeostnr  .\n-é漢🎉\x80AEO", k=random.choice([0, 3, 9, 40, 300]))) for _ in range(40)]
+    texts += ["x" * 500, "a" * 50, "漢字" * 30]
+    for text in texts:
+        row = anchors_of(spark, text)
+        units, found = brute_anchors(text)
+        assert row.units == units and [tuple(f) for f in row.found] == found
 
 
-def test_fingerprints(docs_of):
+def test_anchors_are_context_free(spark):
+    random.seed(5)
+    for letters in ("abcdefghijklmnop qrstuvw", "漢字仮名交文", "bcdfgh-"):
+        passage = "".join(random.choices(letters, k=400)) + "a"
+        alone = anchors_of(spark, passage)
+        inside = anchors_of(spark, "Before it, a " + passage + "and after it")
+        off = len(brute_units("Before it, a "))
+        assert {(f.at + off, f.anchor) for f in alone.found} <= {(f.at, f.anchor) for f in inside.found}
+        # Any 2 * K - S units in a row hold an anchor.
+        places = [f.at for f in alone.found]
+        assert not places or max(b - a for a, b in zip(places, places[1:])) <= 2 * op4_fingerprints.K
+
+
+def test_fingerprints_against_brute_force(docs_of):
     random.seed(8)
-    texts = [" ".join(f"w{random.randint(0, 5000)}" for _ in range(n)) for n in (300, 1, 40, 300, 7)]
-    texts += [texts[0], "", None, "漢字" * 500]
+    words = ["the", "of", "and", "stone", "ocean", "brrr", "x", "漢字", "é", "well-known", "a"]
+    texts = [" ".join(random.choices(words, k=n)) for n in (300, 1, 40, 300, 7, 2, 3, 5, 6, 9, 0, 12, 60)]
+    texts += [texts[0], "", None, "漢字" * 100, "y" * 90, "z" * 91, "ab" * 50, texts[2], texts[2] + "!"]
     docs = docs_of([(10 * i, t, "s") for i, t in enumerate(texts)])
     got = op4_fingerprints.fingerprint_digest(docs.repartition(3)).orderBy("doc_id").collect()
-    whole = [t or "" for t in texts]
+    whole, prints = [t or "" for t in texts], defaultdict(set)
+
+    def near(a, b):
+        x, y = brute_numbers(a), brute_numbers(b)
+        return len(x & y) / len(x | y) if x | y else 1.0
+
     for i, r in enumerate(got):
         text, after = whole[i], whole[(i + 1) % len(whole)]
         half = len(text) // 2
         edited = text[:len(text) - half] + after[:half]
         assert r.n_chars == len(text)
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
-    assert got[0].fingerprint == got[5].fingerprint and got[6].near_next == 1
+        assert (r.near_edited, r.near_next) == pytest.approx((near(text, edited), near(text, after)))
+        prints[text].add(r.fingerprint)
+        prints[edited].add(r.edited_fingerprint)
+    assert all(len(p) == 1 for p in prints.values())
     assert got[0].near_edited > 0.2 > got[0].near_next
+    # Halves left as they were are seen in short texts too.
+    short = [r for r, text in zip(got, whole) if 8 <= len(brute_units(text[:len(text) - len(text) // 2])) < 30]
+    assert short and all(r.near_edited > 0 for r in short)
 
 
 def brute_repeats(texts, window=35):
