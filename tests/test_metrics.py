@@ -187,6 +187,16 @@ def test_user_scorer_sees_whole_batches(spark):
     assert all(r.scores == [r.id, 1.0, 2.0 * r.id + 1.0] for r in out.collect())
 
 
+def test_console_report(spark, golden, capsys):
+    report = evaluate.full_report(golden)
+    files.print_report(report)
+    shown = {line.split("|")[1].strip(): line.split("|")[2].strip()
+             for line in capsys.readouterr().out.splitlines() if line.startswith("|")}
+    shown.pop("metric")
+    assert set(shown) == set(metrics.REPORT_METRICS) | {r.metric for r in report.collect() if r.label_idx is None}
+    assert float(shown["example_subset_accuracy"]) == pytest.approx(0.25)
+
+
 def test_report_files(spark, golden, tmp_path):
     report = evaluate.full_report(golden).persist()
     table = str(tmp_path / "table")
