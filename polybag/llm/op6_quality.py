@@ -2,9 +2,9 @@
 
 A document is a bag of passages.  Each passage is encoded by what it says, its words and its runs of
 three bytes, hashed to ``WORDS`` and ``GRAMS`` numbers, and by how it looks, a few counts of
-characters and word shapes.  A learned layer projects the code; gated attention, learned from document labels alone, weighs the
-passages, and the document is scored on the weighted sum of their codes.  (Ilse, Tomczak, Welling:
-Attention-based Deep Multiple Instance Learning, 2018.)
+characters and word shapes.  A learned layer projects the code; gated attention, learned from
+document labels alone, weighs the passages, and the document is scored on the weighted sum of their
+codes.  (Ilse, Tomczak, Welling: Attention-based Deep Multiple Instance Learning, 2018.)
 
 The model is fitted on at most ``SAMPLE`` labelled documents, those first in the order of a hash
 of the id; only their passages' numbers come to the driver.  Rows whose crc32 of the id, as text,
