@@ -15,8 +15,8 @@ how many of its terms have each count, and only terms that both hold are met one
 row that lists the sources of a term.  Tasks add these up per pair of sources before the shuffle.
 
 ``CountVectorizer`` keeps its vocabulary on the driver and broadcasts it.  Beyond ``VOCABULARY``
-kept terms the same counts come from plain rows, one per (group, term), which shuffle.
-Either way the result is the same.
+kept terms the sums come from the table that told which terms are kept: occurrences and documents
+per (group, term), added up in the tasks and shuffled.  Either way the result is the same.
 
 Counts are exact up to 2^53 (vectors hold doubles), shares use 38-digit integers.  Null text, lang
 and source count as ''.  A text without terms still makes its group appear; a language whose terms
@@ -26,6 +26,7 @@ own.  Ties in value are ranked by the bytes of the item.  An empty table gives n
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ SCALE = 1_000_000_000
 VOCABULARY = 500_000
 ALL_TERMS = 2**31 - 1
 _BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
+# The same on bytes: A-Z in lower case, a space for what stands between.
+_FLAT = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 # Partial sums a task holds before it emits them.
 _HELD_PAIRS = 1_000_000
 
@@ -80,10 +83,41 @@ def tokenized(docs: DataFrame, groups: DataFrame) -> tuple[DataFrame, list[str]]
     return rows.select(*keys, terms_of(F.col("text")).alias("terms")), keys
 
 
-def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, text) rows to (name, term, n, docs): occurrences and documents, added up per batch."""
+    for batch in batches:
+        n: dict[str, Counter] = defaultdict(Counter)
+        docs: dict[str, Counter] = defaultdict(Counter)
+        for group, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            terms = text.as_py().translate(_FLAT).split()
+            n[group].update(terms)
+            docs[group].update(set(terms))
+        for group, counts in n.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group] * len(counts)), pa.array(list(counts), pa.binary()).cast(pa.string()),
+                 pa.array(list(counts.values()), pa.int64()),
+                 pa.array([docs[group][t] for t in counts], pa.int64())], ["name", "term", "n", "docs"])
+
+
+def _name(lang: Column, source: Column) -> Column:
+    """A group's names as one text that no other group has."""
+    return F.to_json(F.array(lang, source))
+
+
+def term_counts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, at, term, n, docs) of every term of every group, from one reading of the texts.
+
+    Tasks add up batches of documents before the shuffle; groups get their numbers after it.
+    """
+    rows = docs.select(_name(text_of("lang"), text_of("source")).alias("name"), text_of().alias("text"))
+    tallied = map_arrow(rows, _tallied, "name string, term string, n bigint, docs bigint")
+    return tallied.groupBy("name", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).join(
+        groups.select("lang", "at", _name(F.col("lang"), F.col("source")).alias("name")), "name").drop("name")
+
+
+def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term) of the terms that at least ``min_docs`` documents of the language hold."""
-    return docs.select(text_of("lang").alias("lang"), F.explode(F.array_distinct(terms_of(text_of()))).alias(
-        "term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(
+    return counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(
         F.col("docs") >= min_docs).select("lang", "term")
 
 
@@ -105,20 +139,16 @@ def counts_by_vectors(tokens: DataFrame, keys: list[str], kept: DataFrame) -> Da
     return sums.join(vocabulary, "place").select(*keys, "term", "n")
 
 
-def counts_by_rows(tokens: DataFrame, keys: list[str], kept: DataFrame) -> DataFrame:
-    """The same counts, of every term, for a vocabulary of any size."""
-    return tokens.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(
-        F.count(F.lit(1)).alias("n"))
-
-
 def term_rows(docs: DataFrame, groups: DataFrame, min_docs: int = MIN_DOCS,
               vocabulary: int = VOCABULARY) -> DataFrame:
     """One row per kept term: (lang, term, n, held), ``held`` an array of (at, n)."""
-    kept = saved(kept_terms(docs, min_docs), "kept")
-    counted = counts_by_vectors if 0 < kept.count() <= vocabulary else counts_by_rows
-    tokens, keys = tokenized(docs, groups)
+    counts = saved(term_counts(docs, groups), "term-counts")
+    kept = saved(kept_terms(counts, min_docs), "kept")
+    if 0 < kept.count() <= vocabulary:
+        tokens, keys = tokenized(docs, groups)
+        counts = counts_by_vectors(tokens, keys, kept).join(groups, keys)
     # A term may be kept in one language and occur in another.
-    return counted(tokens, keys, kept).join(groups, keys).groupBy("lang", "term").agg(
+    return counts.groupBy("lang", "term").agg(
         F.sum("n").alias("n"), F.collect_list(F.struct("at", "n")).alias("held")).join(kept, ["lang", "term"])
 
 
