@@ -41,6 +41,8 @@ SEED = 11
 LOOKS, WORDS, GRAMS = 14, 64, 64
 WIDTH = LOOKS + WORDS + GRAMS
 SOFTER = 3.0
+# Documents scored at once.
+SCORED = 256
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _DIGITS, _HIGH = bytes(range(48, 58)), bytes(range(128, 256))
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"?-()")
@@ -194,7 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 def _score(model: Model) -> Column:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series(model.scores([encode(t) for t in batch])) if len(batch) else pd.Series([], dtype=float)
+            # Some documents at a time: the codes of all in a batch would be larger than their texts.
+            parts = [model.scores([encode(t) for t in batch.iloc[i:i + SCORED]]) for i in range(0, len(batch), SCORED)]
+            yield pd.Series(np.concatenate([np.empty(0), *parts]))
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "double")(text_of())
 
