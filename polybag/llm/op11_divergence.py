@@ -94,7 +94,7 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs[group].update(set(terms))
         for group, counts in n.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([group] * len(counts)), pa.array(list(counts), pa.binary()).cast(pa.string()),
+                [pa.array([group] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()),
                  pa.array(list(counts.values()), pa.int64()),
                  pa.array([docs[group][t] for t in counts], pa.int64())], ["name", "term", "n", "docs"])
 
