@@ -728,7 +728,9 @@ def expire_outputs(spark, d):
     """Outputs of each run and epoch are written as folders; the newest two of a run are left."""
     root, log = scratch_path(spark, "outputs"), t.step_log(t.table(spark, d, "events"))
     steps = log.withColumn("epoch", runs.epoch_of("step", t.STEPS_PER_EPOCH)).select("run_id", "epoch", "step")
-    steps.repartition("run_id", "epoch").write.partitionBy("run_id", "epoch").parquet(root)
+    # A folder costs more than its few rows: tasks are not to be merged by their bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    steps.repartition(tasks, "run_id", "epoch").write.partitionBy("run_id", "epoch").parquet(root)
     retention.expire_outputs(spark, root, keep=2)
     left = spark.read.schema(steps.schema).option("basePath", root).parquet(root)
     return left.groupBy("run_id", "epoch").agg(F.count(F.lit(1)).alias("steps"), F.max("step").alias("last_step"))

@@ -1,13 +1,23 @@
-"""Folders in whatever file system Spark writes to: list, commit marks, age, removal."""
+"""Folders in whatever file system Spark writes to: list, commit marks, age, removal.
+
+A call to the JVM takes longer than a look at a local folder.  So what lies in the machine's own file
+system is listed and removed from here, and elsewhere a path costs as few calls as it can.
+"""
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
 # The file Spark's writers leave when all of a job's output is in place.
 COMMITTED = "_SUCCESS"
+# Hadoop keeps one of these beside each local file and lists none.
+_CHECKSUM = re.compile(r"\..*\.crc", re.DOTALL)
 
 
 class Entry(NamedTuple):
@@ -32,8 +42,34 @@ def entries(spark: SparkSession, path: str) -> list[Entry]:
     files, target = _place(spark, path)
     if not files.exists(target):
         return []
-    return sorted(Entry(s.getPath().getName(), s.getPath().toString(), s.isDirectory(),
-                        s.getModificationTime()) for s in files.listStatus(target))
+    here = files.makeQualified(target).toUri().getPath() if _is_local(files) else ""
+    if os.path.isdir(here):
+        with os.scandir(here) as found:
+            return sorted(e for e in map(_local_entry, found) if e and not _CHECKSUM.fullmatch(e.name))
+    return sorted(map(_entry, files.listStatus(target)))
+
+
+def _is_local(files) -> bool:
+    return files.getUri().getScheme() == "file"
+
+
+def _local_entry(found: os.DirEntry) -> Entry | None:
+    try:
+        return Entry(found.name, f"file:{found.path}", found.is_dir(), found.stat().st_mtime_ns // 1_000_000)
+    except FileNotFoundError:  # it has gone in the meantime
+        return None
+
+
+def _entry(status) -> Entry:
+    path = status.getPath().toString()
+    return Entry(path.rpartition("/")[2], path, status.isDirectory(), status.getModificationTime())
+
+
+def grandchildren(spark: SparkSession, path: str, name: str) -> list[Entry]:
+    """The entries of that name in the folders that lie in a folder, found in one call."""
+    exact = re.sub(r"([][{}*?\\])", r"\\\1", path.rstrip("/"))
+    files, pattern = _place(spark, f"{exact}/*/{name}")
+    return sorted(map(_entry, files.globStatus(pattern) or []))
 
 
 def committed(spark: SparkSession, path: str) -> bool:
@@ -47,6 +83,20 @@ def remove(spark: SparkSession, path: str) -> bool:
     return files.delete(target, True)
 
 
+def remove_all(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Remove folders of one file system."""
+    if not paths:
+        return
+    files, _ = _place(spark, paths[0])
+    place, local = spark._jvm.org.apache.hadoop.fs.Path, _is_local(files)
+    for path in paths:
+        here = re.sub("^file:(//)?(?=/)", "", path) if local else ""
+        if local:
+            shutil.rmtree(here, ignore_errors=True)
+        if not local or os.path.lexists(here):
+            files.delete(place(path), True)
+
+
 def write_text(spark: SparkSession, path: str, text: str = "") -> None:
     """Write one small file, in place of an earlier one; its time of modification becomes now."""
     files, target = _place(spark, path)

@@ -4,15 +4,17 @@ Below ``root`` lies a folder per run, in it a folder per output, such as ``run=a
 number at the end of an output's name orders it; outputs without one are older than all that have
 one and go by their time.  An output that is held (see ``hold``) stays until its lease runs out,
 and does not count against ``keep``.  Only names and times pass through the driver, one run's at
-a time.
+a time; all leases of a run are found in one call.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import batched
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,7 @@ from polybag.sources import folders
 
 LEASE = "_LEASE"
 HOUR = 3600.0
+AT_ONCE = 1000
 _NUMBER = re.compile(r"(\d+)$")
 
 
@@ -57,7 +60,10 @@ def expired(spark: SparkSession, root: str, keep: int, lease_seconds: float = HO
             continue
         outputs = [o for o in folders.entries(spark, run.path)
                    if o.is_folder and not o.name.startswith(("_", "."))]
-        free = [o for o in sorted(outputs, key=_age) if not is_held(spark, o.path, lease_seconds, now)]
+        since = (time.time() if now is None else now) - lease_seconds
+        held_now = {os.path.dirname(lease.path) for lease in folders.grandchildren(spark, run.path, LEASE)
+                    if lease.modified_ms / 1000 > since}
+        free = [o for o in sorted(outputs, key=_age) if o.path not in held_now]
         yield from (o.path for o in free[:len(free) - keep] if keep < len(free))
 
 
@@ -65,9 +71,9 @@ def expire_outputs(spark: SparkSession, root: str, keep: int = 2, lease_seconds:
                    now: float | None = None) -> list[str]:
     """Remove all but the newest ``keep`` outputs of each run; the removed folders."""
     gone = []
-    for path in expired(spark, root, keep, lease_seconds, now):
-        folders.remove(spark, path)
-        gone.append(path)
+    for paths in batched(expired(spark, root, keep, lease_seconds, now), AT_ONCE):
+        folders.remove_all(spark, paths)
+        gone += paths
     return gone
 
 

@@ -232,6 +232,30 @@ def test_expire_outputs(spark, tmp_path):
         retention.expire_outputs(spark, str(tmp_path), keep=-1)
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_many_outputs_expire_in_few_calls(spark, tmp_path, monkeypatch, local):
+    """Listing, leases and removal do not ask the file system anew for each output."""
+    root, asked, place = tmp_path / "out{a}[1]", [], folders._place
+    for run in ("run=x{1}", "run=b*c"):
+        for n in range(60):
+            os.makedirs(root / run / f"epoch={n}")
+            (root / run / f"epoch={n}" / ".part.crc").touch()
+    (root / "run=b*c" / "epoch=99").touch()  # not an output
+    (root / "run=b*c" / ".epoch=98.crc").touch()
+    for held in ("run=x{1}/epoch=5", "run=b*c/epoch=59"):
+        retention.hold(spark, str(root / held))
+    monkeypatch.setattr(folders, "_is_local", lambda files: local)
+    assert [e.name for e in folders.entries(spark, str(root))] == ["run=b*c", "run=x{1}"]
+    assert "epoch=99" in {e.name for e in folders.entries(spark, str(root / "run=b*c"))}
+    assert not any(e.name.endswith(".crc") for e in folders.entries(spark, str(root / "run=b*c")))
+    monkeypatch.setattr(folders, "_place", lambda *a: asked.append(a) or place(*a))
+    gone = retention.expire_outputs(spark, str(root), keep=2)
+    assert len(asked) < 10 and len(gone) == len(set(gone)) == 57 + 57 and all(p.startswith("file:/") for p in gone)
+    assert sorted(str(p.relative_to(root)) for p in root.glob("*/epoch=*")) == [
+        "run=b*c/epoch=57", "run=b*c/epoch=58", "run=b*c/epoch=59", "run=b*c/epoch=99",
+        "run=x{1}/epoch=5", "run=x{1}/epoch=58", "run=x{1}/epoch=59"]
+
+
 def test_what_a_job_has_saved_goes_with_it(spark):
     with job_folder(spark) as outer:
         kept = saved(spark.range(5), "rows")
