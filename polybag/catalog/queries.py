@@ -18,7 +18,7 @@ from polybag.operators import (
 )
 from polybag.operators.skew import find_heavy
 from polybag.plans import datasets, evaluate, probe
-from polybag.session import saved, scratch_path
+from polybag.session import many_tasks, saved, scratch_path
 from polybag.sources import images as image_files
 from polybag.sources import labels as label_files
 from polybag.sources import manifest, retention, samples
@@ -729,8 +729,7 @@ def expire_outputs(spark, d):
     root, log = scratch_path(spark, "outputs"), t.step_log(t.table(spark, d, "events"))
     steps = log.withColumn("epoch", runs.epoch_of("step", t.STEPS_PER_EPOCH)).select("run_id", "epoch", "step")
     # A folder costs more than its few rows: tasks are not to be merged by their bytes.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    steps.repartition(tasks, "run_id", "epoch").write.partitionBy("run_id", "epoch").parquet(root)
+    steps.repartition(many_tasks(spark), "run_id", "epoch").write.partitionBy("run_id", "epoch").parquet(root)
     retention.expire_outputs(spark, root, keep=2)
     left = spark.read.schema(steps.schema).option("basePath", root).parquet(root)
     return left.groupBy("run_id", "epoch").agg(F.count(F.lit(1)).alias("steps"), F.max("step").alias("last_step"))

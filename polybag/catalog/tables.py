@@ -22,7 +22,7 @@ from polybag.functions import bind, hash_uniform
 from polybag.operators import labels as lab
 from polybag.operators import scoring
 from polybag.operators.skew import spread_join
-from polybag.session import saved, scratch_path
+from polybag.session import many_tasks, saved, scratch_path
 
 EVENT_CLASSES = 5
 VECTOR_CLASSES = 10
@@ -30,6 +30,7 @@ VECTOR_DIMS = 64
 SIDE = 8
 BATCH = 32
 STEPS_PER_EPOCH = 500
+ROW_GROUP = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,13 +117,18 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_batches(spark: SparkSession, sf_dir: str, batches: int) -> DataFrame:
-    """The same stream in ``batches`` micro-batches: events by their id modulo that number."""
+    """The same stream in ``batches`` micro-batches: events by their id modulo that number.
+
+    A batch is one file, of small row groups.  Few tasks read it, so its rows are dealt out before
+    they are scored.
+    """
     source, parts = table(spark, sf_dir, "events"), scratch_path(spark, "event-parts")
     part = F.col("event_id") % batches
-    source.withColumn("part", part).repartition(part).write.partitionBy("part").parquet(parts)
+    source.withColumn("part", part).repartition(part).write.partitionBy("part").option(
+        "parquet.block.size", ROW_GROUP).parquet(parts)
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).option(
         "recursiveFileLookup", True).parquet(parts)
-    return event_examples(stream)
+    return event_examples(stream.repartition(many_tasks(spark)))
 
 
 def event_examples(stream: DataFrame) -> DataFrame:

@@ -74,10 +74,14 @@ def confusion_of(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def areas_of(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Macro and micro AUC from :func:`outcome_counts`."""
-    merged = outcomes.groupBy(*by, "label_idx", "score").agg(
+    """Macro and micro AUC from :func:`outcome_counts`, or from several such tables put together.
+
+    Rows of a score are brought together by the one move that ranks the scores.
+    """
+    ranged = outcomes.select(*by, "label_idx", "score", "pos", "neg").repartitionByRange(*by, "score")
+    merged = ranged.groupBy(*by, "label_idx", "score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return _areas(auc_per_label(merged, by), by)
+    return _areas(_auc_of_ranges(merged, by), by)
 
 
 class _Tally:
@@ -153,10 +157,15 @@ def auc_per_label(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ``counts`` has (by, label_idx, score, pos, neg), one row per score.  AUC is NULL when one
     class is missing.
     """
+    return _auc_of_ranges(counts.repartitionByRange(*by, "score"), by)
+
+
+def _auc_of_ranges(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same for counts that are range-partitioned by score."""
     by = list(by)
     schema = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in by)
     pieces = map_pandas(
-        counts.repartitionByRange(*by, "score").sortWithinPartitions(*by, "score")
+        counts.sortWithinPartitions(*by, "score")
         .select(*by, "label_idx", "score", "pos", "neg"),
         _piece_sums(by),
         f"{schema + ', ' if by else ''}label_idx int, first_score double, p bigint, n bigint, "

@@ -32,7 +32,10 @@ def score_state(evaluated_stream: DataFrame, by: Sequence[str] = (),
 
 
 def metrics_of_state(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The report of the batch evaluation, (by, metric, label_idx, value), from the score state."""
+    """The report of the batch evaluation, (by, metric, label_idx, value), from the score state.
+
+    Counts of a key may be spread over several rows.
+    """
     overall, labels = metrics.metrics_of_counts(auc.confusion_of(state, by), by)
     return metrics.report_rows(overall, labels, auc.areas_of(state, by), by)
 
@@ -106,7 +109,7 @@ class StreamEvaluator:
 
     def report(self) -> DataFrame:
         """(by, metric, label_idx, value) over all that has been counted."""
-        return metrics_of_state(self.store.total(self.spark), self.by)
+        return metrics_of_state(self.store.rows(self.spark), self.by)
 
 
 def evaluated_stream(stream: DataFrame, by: Sequence[str] = ()) -> DataFrame:

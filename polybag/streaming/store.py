@@ -13,8 +13,9 @@ sorted files below ``path``; whoever wants the totals adds the runs up.
   level.  A row is thus rewritten at most log_fan(batches) times.  What a compaction replaced is
   removed by the next one, so that a reader that listed it before has time to finish.
 
-Rows of a run are range-partitioned and sorted by the keys, so its files cover narrow spans of
-scores: a filter on them skips files, and equal neighbours compress.
+Rows of a file are sorted by the keys, and a folded run is range-partitioned by them, so that its
+files cover narrow spans of scores: a filter on them skips files, and equal neighbours compress.  The
+run of a batch stays in the partitions it was counted in; its rows move once.
 """
 
 from __future__ import annotations
@@ -81,8 +82,7 @@ class CountStore:
         return spark.read.schema(self.schema).parquet(*(f"{self.path}/{r.name}" for r in runs))
 
     def _write(self, rows: DataFrame, run: Run) -> None:
-        (rows.repartitionByRange(*self.keys).sortWithinPartitions(*self.keys)
-         .write.mode("overwrite").parquet(f"{self.path}/{run.name}"))
+        rows.sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(f"{self.path}/{run.name}")
 
     def append(self, counts: DataFrame, batch: int) -> None:
         """Add the counts of a batch, once however often it is repeated, and compact if due."""
@@ -105,7 +105,9 @@ class CountStore:
                 return folds
             if not folds:
                 self._remove_dead(spark)
-            self._write(self._added(self._read(spark, due)), Run(due[0].level + 1, due[0].first, due[-1].last))
+            # Rows of a key meet in their range, so the sums need no move of their own.
+            ranged = self._read(spark, due).repartitionByRange(*self.keys)
+            self._write(self._added(ranged), Run(due[0].level + 1, due[0].first, due[-1].last))
             folds += 1
 
     def _remove_dead(self, spark: SparkSession) -> None:
@@ -114,6 +116,10 @@ class CountStore:
             if any(o.covers(run) for o in found):
                 folders.remove(spark, f"{self.path}/{run.name}")
 
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The counts of all live runs, a key as often as there are runs that have it."""
+        return self._read(spark, self.runs(spark))
+
     def total(self, spark: SparkSession) -> DataFrame:
         """The sums over all batches added so far; of the schema, and empty before the first."""
-        return self._added(self._read(spark, self.runs(spark)))
+        return self._added(self.rows(spark))

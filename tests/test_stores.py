@@ -4,6 +4,7 @@ import datetime
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,38 @@ def test_evaluator_resumes_and_reports_in_between(spark, tmp_path):
     assert seen == [0, 1, 2]
 
 
+def test_a_batch_is_scored_by_many_tasks(spark, tmp_path):
+    """A part stays one batch; its file, which one task reads, does not say how many score it."""
+    rows = [(i if i % 7 else None, START, i, "view", 0.5, "{}") for i in range(400)]
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+
+    def look(batch, _):
+        seen.append((batch.count(), batch.rdd.getNumPartitions()))
+
+    stream = t.event_batches(spark, str(tmp_path), 8)
+    stream.writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path / "mark")).trigger(
+        availableNow=True).start().awaitTermination()
+    assert sorted(n for n, _ in seen) == sorted([58] + [len([i for i in range(400) if i % 7 and i % 8 == k])
+                                                        for k in range(8)])
+    assert all(tasks >= 8 for _, tasks in seen)
+
+
+def test_the_report_moves_the_rows_of_the_runs_once(spark, tmp_path):
+    """Scores that come again in other runs and batches count as one, without sums of their own."""
+    store, parts = store_for(spark, tmp_path / "s", fan=2), []
+    for batch in range(3):
+        parts.append(scoring.with_predictions(examples(spark, 40, seed=batch, places=1)))
+        store.append(auc.outcome_counts(parts[-1]), batch)
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert store.rows(spark).count() > store.total(spark).count()
+    want = values(evaluate.full_report(rows))
+    assert values(live.metrics_of_state(store.rows(spark))) == pytest.approx(want, abs=1e-12)
+    plan = auc.areas_of(store.rows(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(score" in plan and not re.search(r"hashpartitioning\(label_idx#\d+, score", plan)
+
+
 def test_streams_without_anything(spark, tmp_path):
     os.mkdir(tmp_path / "in")
     stream = scoring.with_predictions(stream_of(spark, tmp_path / "in", EXAMPLES))
