@@ -544,15 +544,15 @@ def view_plan(spark, d):
 
 @query
 def augment_views(spark, d):
-    done = views.augment_views(t.rasters(spark, d), ("aux",))
-    return views.with_levels(done).select(
+    done = views.augment_views(t.rasters(spark, d), ("aux",), as_levels=True)
+    return done.select(
         "image_id", "view", join_numbers("pixels").alias("pixels"))
 
 
 @query
 def augment_once(spark, d):
-    done = views.augment_views(t.rasters(spark, d), ("aux",), n=1)
-    return views.with_levels(done).select(
+    done = views.augment_views(t.rasters(spark, d), ("aux",), n=1, as_levels=True)
+    return done.select(
         "image_id", "view", join_numbers("pixels").alias("pixels"))
 
 
@@ -584,8 +584,8 @@ MOVES = [("ShearX", 0.25), ("ShearY", 0.25), ("TranslateXabs", 3.0), ("Translate
 
 
 def _kernels(spark, d, chosen) -> DataFrame:
-    done = views.apply_kernels(t.rasters(spark, d), chosen)
-    return views.with_levels(done).select(
+    done = views.apply_kernels(t.rasters(spark, d), chosen, as_levels=True)
+    return done.select(
         "image_id", F.col("view").alias("op"), join_numbers("pixels").alias("pixels"))
 
 

@@ -298,3 +298,18 @@ def test_images_from_directories(spark, tmp_path):
     rendered = views.render_views(image_ids(decoded), size=4)
     assert rendered.count() == 15
     assert rendered.select(F.size("payload")).distinct().collect()[0][0] == 48
+
+
+def test_levels_come_from_the_workers_of_the_kernels(spark):
+    """As with_levels gives them, by one Python worker for a task instead of two."""
+    images = spark.createDataFrame([(i, 6, 7, [(i * 31 + k * 7) % 256 for k in range(126)]) for i in range(300)],
+                                   "image_id bigint, height int, width int, pixels array<int>")
+    kernels = [("ToBLUR", 0.0), ("Sharpness", 0.5)]
+    done = views.apply_kernels(images, kernels, as_levels=True)
+    assert dict(done.dtypes)["pixels"] == "array<int>"
+    assert "EvalPython" not in done._jdf.queryExecution().executedPlan().toString()
+    plain = views.with_levels(views.apply_kernels(images, kernels))
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, plain.collect()))
+    seen = views.augment_views(images, ("aux",), as_levels=True)
+    assert sorted(map(tuple, seen.collect())) == sorted(
+        map(tuple, views.with_levels(views.augment_views(images, ("aux",))).collect()))
